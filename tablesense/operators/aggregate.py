@@ -198,7 +198,8 @@ def histogram(df: DataFrame, measure: str, bins=20) -> DataFrame:
     values = df.select(clean(df.schema, measure).alias("v")).where(F.col("v").isNotNull())
     bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
                         F.approx_count_distinct("v").alias("d"))
-    lo, hi, estimate = (bounds.select(c).scalar() for c in ("lo", "hi", "d"))
+    found = bounds.select(F.struct("lo", "hi", "d")).scalar()
+    lo, hi, estimate = found["lo"], found["hi"], found["d"]
     # The exact distinct count matters only while it may be below the number of bins;
     # otherwise the filter empties the input of the distinct step.
     few = values.where(estimate <= 5 * bins).distinct().agg(F.count(F.lit(1)).alias("n"))

@@ -34,13 +34,12 @@ def dense_index(df: DataFrame, order_by, within=(), name="row_no") -> DataFrame:
     ).drop("_part", "_pos", "_offset")
     if not within:
         return numbered
-    starts = numbered.groupBy(*within).agg(F.min(name).alias("_start"))
-    keys = [numbered[c].eqNullSafe(starts[c]) for c in within]
-    on = keys[0]
-    for key in keys[1:]:
-        on = on & key
-    joined = numbered.join(starts, on)
-    return joined.select(
-        *[numbered[c] for c in df.columns],
-        (numbered[name] - starts["_start"]).alias(name),
-    )
+    starts = numbered.groupBy(
+        *[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(within)]
+    ).agg(F.min(name).alias("_start"))
+    same_group = None
+    for i, c in enumerate(within):
+        same = F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}"))
+        same_group = same if same_group is None else same_group & same
+    return numbered.join(starts, same_group).select(
+        *df.columns, (F.col(name) - F.col("_start")).alias(name))

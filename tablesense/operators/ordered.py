@@ -52,7 +52,7 @@ def percentile_of_current(df: DataFrame, measures, order_by, digits=1) -> DataFr
     current = F.broadcast(current_and_previous(df, measures, order_by))
     share = F.avg((F.col("v") <= F.col("current_val")).cast("double")) * 100
     return _long(df, measures).join(current, "column").groupBy("column").agg(
-        F.first("current_val").alias("current_val"),
+        F.max("current_val").alias("current_val"),
         F.when(F.count("v") > 1, rounded(share, digits)).alias("percentile"))
 
 

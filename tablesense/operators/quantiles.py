@@ -2,8 +2,9 @@
 
 `percentile` keeps every distinct value of a column in one final task.  Here a sketch
 first brackets each wanted rank, counts then locate it in 4096 slices of the bracket,
-and only the values of the slice that holds the rank are ranked.  Counts decide at
-every step, so the result is exact even where the sketch is off.
+and only the values of the slice that holds the rank are ranked.  Counts decide, so the
+result is exact even where the sketch is off (what lies outside the bracket is a slice
+of its own, only larger).
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -32,84 +33,66 @@ def _holding(counted: DataFrame, keys, order, base) -> DataFrame:
         Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = counted.withColumn(
-        "below", F.col(base) + F.coalesce(F.sum("n_in").over(earlier), F.lit(0))
+        "below", base + F.coalesce(F.sum("n_in").over(earlier), F.lit(0))
     )
-    inside = [
-        (F.col("below") <= F.col(r)) & (F.col(r) < F.col("below") + F.col("n_in"))
-        for r in ("rank_lo", "rank_hi")
-    ]
-    return placed.where(inside[0] | inside[1])
+    return placed.where(_within("rank_lo") | _within("rank_hi"))
+
+
+def _within(rank):
+    return (F.col("below") <= F.col(rank)) & (F.col(rank) < F.col("below") + F.col("n_in"))
 
 
 def exact_quantiles(df: DataFrame, columns, probs) -> DataFrame:
     """Linearly interpolated quantiles: rows of (column, prob, quantile)."""
-    values = long_measures(df, columns)
+    columns, probs = list(columns), [float(p) for p in probs]
+    cells = [F.struct(F.lit(i).alias("c"), clean(df.schema, name).alias("v"))
+             for i, name in enumerate(columns)]
+    values = df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
     cuts = []
     for p in probs:
         cuts += [max(0.0, p - _MARGIN), min(1.0, p + _MARGIN)]
-    sketch = values.groupBy("column").agg(
+    sketch = values.groupBy("c").agg(
         F.count("v").alias("n"),
         F.percentile_approx("v", cuts, _ACCURACY).alias("cuts"),
     )
     wanted = sketch.select(
-        "column", "n",
+        "c",
         F.inline(F.array(*[
-            F.struct(F.lit(float(p)).alias("prob"), F.col("cuts")[2 * i].alias("lo"),
-                     F.col("cuts")[2 * i + 1].alias("hi"))
+            F.struct(F.lit(i).alias("p"), F.col("cuts")[2 * i].alias("lo"),
+                     F.col("cuts")[2 * i + 1].alias("hi"),
+                     (F.lit(p) * (F.col("n") - 1)).alias("pos"))
             for i, p in enumerate(probs)
         ])),
-    ).select(
-        "column", "prob", "lo", "hi",
-        (F.col("prob") * (F.col("n") - 1)).alias("pos"),
-    ).withColumn("rank_lo", F.floor("pos")).withColumn("rank_hi", F.ceil("pos"))
-    # One row per (column, prob): small enough to broadcast whatever the data size.
-    wanted = F.broadcast(wanted)
-    rank = [F.first(c).alias(c) for c in ("pos", "rank_lo", "rank_hi")]
-
-    key = ["column", "prob"]
-    zoned = values.join(wanted, "column").withColumn(
-        "zone",
-        F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") <= F.col("hi"), 1).otherwise(2),
-    )
-    zones = zoned.groupBy(*key, "zone").agg(
-        F.count("v").alias("n_in"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), *rank
-    )
-    zones = _holding(zones.withColumn("zero", F.lit(0)), key, "zone", "zero").select(
-        *key, "zone", "v_min", "v_max", "pos", "rank_lo", "rank_hi",
-        F.col("below").alias("zone_below"),
-    )
-    width = F.col("v_max") - F.col("v_min")
-    sliced = values.join(F.broadcast(zones), "column").where(
-        F.col("v").between(F.col("v_min"), F.col("v_max"))
-    ).withColumn(
-        "slice",
-        F.coalesce(
-            F.least(F.floor(F.try_divide(F.col("v") - F.col("v_min"), width) * _SLICES),
-                    F.lit(_SLICES - 1)),
-            F.lit(0),
-        ),
-    )
-    slices = sliced.groupBy(*key, "zone", "slice").agg(
-        F.count("v").alias("n_in"), F.first("zone_below").alias("zone_below"), *rank
+    ).select("*", F.floor("pos").alias("rank_lo"), F.ceil("pos").alias("rank_hi"))
+
+    # one row per (column, prob): small enough to broadcast whatever the data size
+    share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
+    sliced = values.join(F.broadcast(wanted), "c").select(
+        "c", "p", "v", "pos", "rank_lo", "rank_hi",
+        F.when(F.col("v") < F.col("lo"), -1)
+        .when(F.col("v") > F.col("hi"), _SLICES)
+        .otherwise(F.coalesce(F.least(F.floor(share * _SLICES), F.lit(_SLICES - 1)), F.lit(0)))
+        .cast("int").alias("slice"),
     )
-    slices = _holding(slices, [*key, "zone"], "slice", "zone_below").select(
-        *key, "zone", "slice", F.col("below").alias("slice_below")
+    rank = [F.max(c).alias(c) for c in ("pos", "rank_lo", "rank_hi")]
+    slices = sliced.groupBy("c", "p", "slice").agg(F.count("v").alias("n_in"), *rank)
+    slices = _holding(slices, ["c", "p"], "slice", F.lit(0)).select(
+        "c", "p", "slice", F.col("below").alias("slice_below")
     )
-    ranked = sliced.join(F.broadcast(slices), [*key, "zone", "slice"]).groupBy(
-        *key, "zone", "slice", "v"
-    ).agg(F.count("v").alias("n_in"), F.first("slice_below").alias("slice_below"), *rank)
-    ranked = _holding(ranked, [*key, "zone", "slice"], "v", "slice_below")
-    at_lo = (F.col("below") <= F.col("rank_lo")) & (
-        F.col("rank_lo") < F.col("below") + F.col("n_in"))
-    at_hi = (F.col("below") <= F.col("rank_hi")) & (
-        F.col("rank_hi") < F.col("below") + F.col("n_in"))
-    found = ranked.groupBy(*key).agg(
-        F.max(F.when(at_lo, F.col("v"))).alias("a"),
-        F.max(F.when(at_hi, F.col("v"))).alias("b"),
-        F.first(F.col("pos") - F.col("rank_lo")).alias("part"),
+    # at most two slices per (column, prob)
+    ranked = sliced.join(F.broadcast(slices), ["c", "p", "slice"]).groupBy(
+        "c", "p", "slice", "v"
+    ).agg(F.count("v").alias("n_in"), F.max("slice_below").alias("slice_below"), *rank)
+    ranked = _holding(ranked, ["c", "p", "slice"], "v", F.col("slice_below"))
+    found = ranked.groupBy("c", "p").agg(
+        F.max(F.when(_within("rank_lo"), F.col("v"))).alias("a"),
+        F.max(F.when(_within("rank_hi"), F.col("v"))).alias("b"),
+        F.max(F.col("pos") - F.col("rank_lo")).alias("part"),
     )
     return found.select(
-        *key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile")
+        F.get(F.array(*[F.lit(c) for c in columns]), F.col("c")).alias("column"),
+        F.get(F.array(*[F.lit(p) for p in probs]), F.col("p")).alias("prob"),
+        (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"),
     )
 
 

@@ -96,10 +96,9 @@ def iqr_bounds(df: DataFrame, measures, k: float) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, measure: str, k=1.5) -> DataFrame:
     """Rows outside the fences of one measure."""
-    bounds = iqr_bounds(df, [measure], k)
+    fences = iqr_bounds(df, [measure], k).select(F.struct("lo", "hi")).scalar()
     v = clean(df.schema, measure)
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    return df.where((v < lo) | (v > hi))
+    return df.where((v < fences["lo"]) | (v > fences["hi"]))
 
 
 def iqr_anomalies(df: DataFrame, measures, k=2.5, max_measures=5) -> DataFrame:

@@ -235,7 +235,7 @@ def summary_text(roles: DataFrame) -> DataFrame:
             F.lit(f"{title}: "), F.array_join(names, ", "), F.lit(".")))
     return roles.groupBy("source_id").agg(F.concat_ws(
         " ",
-        F.concat(F.first("source_id"), F.lit(": "), F.format_number(F.max("n_rows"), 0),
+        F.concat(F.max("source_id"), F.lit(": "), F.format_number(F.max("n_rows"), 0),
                  F.lit(" rows × "), F.count(F.lit(1)).cast("string"), F.lit(" columns.")),
         part("Dimensions", "dimension"), part("Measures", "measure"),
         part("Time fields", "time", 50), part("Geographic fields", "geographic", 50),
