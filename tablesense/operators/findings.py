@@ -118,6 +118,12 @@ def relationships(df: DataFrame, roles: TableRoles, max_rows=15) -> DataFrame:
     return _union(parts).orderBy(F.desc("strength"), "rel_type", "col_a", "col_b").limit(max_rows)
 
 
+TEMPORAL_SCHEMA = (
+    "time_col string, measure_col string, trend_dir string, trend_slope double, "
+    "min_period string, max_period string, n_periods bigint, latest_val double, "
+    "baseline_val double, pct_change double, is_seasonal boolean")
+
+
 def temporal_patterns(df: DataFrame, roles: TableRoles, grain=None, max_times=2) -> DataFrame:
     """Patterns of the first measures over the first time columns."""
     return _union([ordered.temporal_patterns(df, t, roles.measures, grain)

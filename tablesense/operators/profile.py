@@ -1,14 +1,21 @@
 """Column profiles: one row of facts per column, read in one or two scans."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
-    ArrayType, BooleanType, DateType, MapType, NumericType, StringType, StructType,
-    TimestampNTZType, TimestampType,
+    ArrayType, BooleanType, DateType, DoubleType, FloatType, MapType, NumericType,
+    StringType, StructType, TimestampNTZType, TimestampType,
 )
 
 from tablesense.functions import words
-from tablesense.functions.numbers import clean, rounded
+from tablesense.functions.numbers import rounded
 
+_STATISTICS = ("min", "max", "mean", "std", "sum")
+_LISTED = 30  # longest value list kept; no list of status words is longer
+_VISUAL_DATE = r"(?i)^\s*(?:" + words.VISUAL_DATE_VALUE.replace("^", "") + ")"
+_SEMANTIC_DATE = r"(?i)^\s*(?:" + words.SEMANTIC_DATE_VALUE.replace("^", "") + ")"
+_SAMPLED = 1000  # up to here samples are the five least values, beyond the extremes
 _SMALL = 1500  # estimated distinct values up to which a column's value set is gathered
 
 
@@ -18,12 +25,15 @@ def profiled_columns(df: DataFrame) -> list[str]:
             if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
 
 
+def _estimates(columns) -> list[str]:
+    return ["approx_count_distinct(`" + c.replace("`", "``") + "`, 0.02)" for c in columns]
+
+
 def estimate_distinct(df: DataFrame, columns) -> dict[str, int]:
     """HyperLogLog estimate per column: one scan, one row back."""
     if not columns:
         return {}
-    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}")
-                   for i, c in enumerate(columns)]).first()
+    row = df.selectExpr(*_estimates(columns)).first()
     return {c: row[i] for i, c in enumerate(columns)}
 
 
@@ -32,91 +42,96 @@ def profile_columns(df: DataFrame, source_id="table", exact=True, columns=None)
 
     A first scan estimates distinct counts.  The second reads everything else; columns
     with few values get their exact count from the value set, which map-side
-    aggregation keeps small.  The others are counted exactly (`exact=True`) or keep
-    the estimate, marked `n_unique_exact = false`; that is the setting for tables
-    where counting every distinct key is not worth a shuffle of the column.
+    aggregation keeps small.  The others are counted exactly (`exact=True`), each in its
+    own one-column subquery, or keep the estimate, marked `n_unique_exact = false`;
+    that is the setting for tables where counting every distinct key is not worth a
+    shuffle of the column.
     """
     columns = columns or profiled_columns(df)
-    estimate = estimate_distinct(df, columns)
-    aggregates = [F.count(F.lit(1)).alias("n_rows")]
-    records = []
+    return _described(df, source_id, exact, columns, estimate_distinct(df, columns))
+
+
+def _quoted(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _described(df: DataFrame, source_id: str, exact: bool, columns, estimate) -> DataFrame:
+    # SQL texts rather than column objects: a wide table has hundreds of expressions
+    aggregates, counters, records = ["count(1) AS n_rows"], {}, []
     for i, name in enumerate(columns):
-        field = df.schema[name]
-        kind = field.dataType
-        c = F.col(f"`{name}`")
-        numeric = isinstance(kind, NumericType)
-        boolean = isinstance(kind, BooleanType)
-        dated = isinstance(kind, (DateType, TimestampType, TimestampNTZType))
+        kind = df.schema[name].dataType
+        numeric, is_text = isinstance(kind, NumericType), isinstance(kind, StringType)
+        c = "`" + name.replace("`", "``") + "`"
+        if isinstance(kind, (DoubleType, FloatType)):
+            c = f"nanvl({c}, NULL)"  # NaN counts as missing
+        aggregates.append(f"count({c}) AS n{i}")
         few = estimate[name] <= _SMALL
-        if numeric:
-            c = clean(df.schema, name)
-        text = c.cast("string")
-        aggregates += [F.count(c).alias(f"n{i}")]
         if few:
-            aggregates.append(F.sort_array(F.collect_set(c)).alias(f"set{i}"))
-            unique, samples = F.size(f"set{i}").cast("long"), F.slice(f"set{i}", 1, 5)
+            aggregates.append(f"sort_array(collect_set({c})) AS set{i}")
+            unique = f"CAST(size(set{i}) AS BIGINT)"
+            samples = (f"CASE WHEN size(set{i}) <= {_SAMPLED} THEN slice(set{i}, 1, 5) "
+                       f"ELSE array(set{i}[0], element_at(set{i}, -1)) END")
+            values = f"CASE WHEN size(set{i}) <= {_LISTED} THEN set{i} END"
         else:
-            counter = F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.02)
-            aggregates += [counter.alias(f"u{i}"), F.min(c).alias(f"lo{i}"),
-                           F.max(c).alias(f"hi{i}")]
-            unique, samples = F.col(f"u{i}"), F.array(f"lo{i}", f"hi{i}")
+            if exact:
+                distinct = df.selectExpr(f"{c} AS v").where("v IS NOT NULL").distinct()
+                counters[f"u{i}"] = distinct.agg(F.count(F.lit(1))).scalar()
+            else:
+                aggregates.append(f"approx_count_distinct({c}, 0.02) AS u{i}")
+            aggregates += [f"min({c}) AS lo{i}", f"max({c}) AS hi{i}"]
+            unique, samples, values = f"u{i}", f"array(lo{i}, hi{i})", "NULL"
+        stats = ["NULL"] * 5
         if numeric:
-            aggregates += [F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
-                           F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"),
-                           F.sum(c).alias(f"sum{i}")]
-        if isinstance(kind, StringType):
-            low = F.lower(F.trim(c))
-            aggregates += [
-                F.avg(F.length(c)).alias(f"len{i}"),
-                F.count_if(low.rlike(words.VISUAL_DATE_VALUE)).alias(f"vdate{i}"),
-                F.count_if(low.rlike(words.SEMANTIC_DATE_VALUE)).alias(f"sdate{i}"),
-            ]
-        varied = unique > 1
-        stat = lambda s: F.when(varied, F.col(f"{s}{i}")) if numeric else F.lit(None)
-        values = F.transform(F.col(f"set{i}"), lambda v: F.lower(v.cast("string"))) if few else None
-
-        def within(allowed):
-            # only columns with at most ten values are ever asked this
-            if values is None:
-                return F.lit(False)
-            return (F.size(values) > 0) & (
-                F.size(F.array_except(values, F.array(*[F.lit(w) for w in allowed]))) == 0)
-
-        def touches(allowed):
-            if values is None:
-                return F.lit(False)
-            return F.arrays_overlap(values, F.array(*[F.lit(w) for w in allowed]))
-
-        is_text = isinstance(kind, StringType)
-        records.append(F.struct(
-            F.lit(source_id).alias("source_id"),
-            F.lit(i).alias("position"),
-            F.lit(name).alias("column"),
-            F.lit(kind.simpleString()).alias("dtype"),
-            F.lit(numeric).alias("is_numeric"),
-            F.lit(boolean).alias("is_boolean"),
-            F.lit(dated).alias("is_dated"),
-            F.lit(is_text).alias("is_text"),
-            F.col("n_rows").alias("n_rows"),
-            (F.col("n_rows") - F.col(f"n{i}")).alias("n_null"),
-            unique.alias("n_unique"),
-            F.lit(few or exact).alias("n_unique_exact"),
-            F.transform(samples, lambda v: v.cast("string")).alias("samples"),
-            stat("min").cast("double").alias("min"),
-            stat("max").cast("double").alias("max"),
-            stat("mean").cast("double").alias("mean"),
-            stat("std").cast("double").alias("std"),
-            stat("sum").cast("double").alias("sum"),
-            (F.col(f"len{i}") if is_text else F.lit(0.0)).alias("mean_length"),
-            (F.col(f"vdate{i}") if is_text else F.lit(0)).cast("long").alias("visual_dates"),
-            (F.col(f"sdate{i}") if is_text else F.lit(0)).cast("long").alias("semantic_dates"),
-            within(words.PROFILE_RAG_VALUES).alias("profile_rag"),
-            within(words.VISUAL_RAG_VALUES).alias("visual_rag"),
-            within(words.STATUS_LIKE_VALUES).alias("status_like"),
-            within(words.BOOLEAN_LIKE_VALUES).alias("boolean_like"),
-            touches(words.SEMANTIC_RAG_VALUES).alias("semantic_rag"),
-        ))
-    return df.agg(*aggregates).select(F.inline(F.array(*records)))
+            aggregates += [f"min({c}) AS min{i}", f"max({c}) AS max{i}", f"avg({c}) AS mean{i}",
+                           f"stddev_samp({c}) AS std{i}", f"sum(CAST({c} AS DOUBLE)) AS sum{i}"]
+            stats = [f"{s}{i}" for s in _STATISTICS]
+        length, visual, semantic = "0", "0", "0"
+        if is_text:
+            aggregates += [f"avg(length({c})) AS len{i}",
+                           f"count_if({c} RLIKE {_quoted(_VISUAL_DATE)}) AS vdate{i}",
+                           f"count_if({c} RLIKE {_quoted(_SEMANTIC_DATE)}) AS sdate{i}"]
+            length, visual, semantic = f"len{i}", f"vdate{i}", f"sdate{i}"
+        flag = lambda b: "true" if b else "false"
+        dated = isinstance(kind, (DateType, TimestampType, TimestampNTZType))
+        fields = {
+            "position": str(i), "column": _quoted(name), "dtype": _quoted(kind.simpleString()),
+            "is_numeric": flag(numeric), "is_boolean": flag(isinstance(kind, BooleanType)),
+            "is_dated": flag(dated), "is_text": flag(is_text), "n_null": f"n_rows - n{i}",
+            "n_unique": unique, "n_unique_exact": flag(few or exact),
+            "samples": f"CAST({samples} AS ARRAY<STRING>)",
+            "value_list": f"CAST({values} AS ARRAY<STRING>)",
+            **{s: f"CAST({e} AS DOUBLE)" for s, e in zip(_STATISTICS, stats)},
+            "mean_length": f"CAST({length} AS DOUBLE)",
+            "visual_dates": f"CAST({visual} AS BIGINT)",
+            "semantic_dates": f"CAST({semantic} AS BIGINT)",
+        }
+        records.append("named_struct(" + ", ".join(
+            f"'{k}', {v}" for k, v in fields.items()) + ")")
+    gathered = df.selectExpr(*aggregates)
+    if counters:
+        gathered = gathered.withColumns(counters)
+    rows = gathered.selectExpr(f"{_quoted(source_id)} AS source_id", "n_rows",
+                               f"inline(array({', '.join(records)}))")
+    keep = [c for c in rows.columns if c not in _STATISTICS]
+    return rows.selectExpr(*keep[:12], *[
+        f"CASE WHEN n_unique > 1 THEN {s} END AS {s}" for s in _STATISTICS], *keep[12:])
+
+
+def value_flags(profile: DataFrame) -> DataFrame:
+    """Whether the values of a column with few of them look like statuses or flags."""
+    low = F.transform("value_list", lambda v: F.lower(v))
+    listed = lambda ws: F.split(F.lit("|".join(ws)), r"\|")
+    within = lambda ws: F.coalesce(
+        (F.size(low) > 0) & (F.size(F.array_except(low, listed(ws))) == 0), F.lit(False))
+    return profile.withColumns({
+        "profile_rag": within(words.PROFILE_RAG_VALUES),
+        "visual_rag": within(words.VISUAL_RAG_VALUES),
+        "status_like": within(words.STATUS_LIKE_VALUES),
+        "boolean_like": within(words.BOOLEAN_LIKE_VALUES),
+        "semantic_rag": F.coalesce(
+            F.arrays_overlap(low, listed(words.SEMANTIC_RAG_VALUES)), F.lit(False)),
+    })
 
 
 def null_percent(profile: DataFrame) -> DataFrame:
@@ -126,12 +141,20 @@ def null_percent(profile: DataFrame) -> DataFrame:
 
 
 def profile_catalogue(tables: dict[str, DataFrame], exact=True) -> DataFrame:
-    """The profile rows of many tables in one DataFrame, keyed by source."""
-    parts = [profile_columns(df, name, exact) for name, df in tables.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """The profile rows of many tables in one DataFrame, keyed by source.
+
+    All estimates come from one job, all profiles from another.
+    """
+    columns = {name: profiled_columns(df) for name, df in tables.items()}
+    estimates = reduce(DataFrame.unionByName, [
+        df.selectExpr(f"{_quoted(name)} AS source_id",
+                      f"array({', '.join(_estimates(columns[name]))}) AS estimates")
+        for name, df in tables.items() if columns[name]])
+    found = {r["source_id"]: dict(zip(columns[r["source_id"]], r["estimates"]))
+             for r in estimates.collect()}
+    return reduce(DataFrame.unionByName, [
+        _described(df, name, exact, columns[name], found[name])
+        for name, df in tables.items() if columns[name]])
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesense.functions import words
 from tablesense.functions.text import matches, token_matches
+from tablesense.operators.profile import profile_columns, value_flags
 
 
 def _name() -> Column:
@@ -115,13 +116,15 @@ def semantic_roles(profile: DataFrame, mode="strict") -> DataFrame:
 
 
 def _apply(profile: DataFrame, rules, otherwise) -> DataFrame:
+    profile = value_flags(profile)
     role, sub = None, None
     for condition, name, detail in rules:
         hit = F.coalesce(condition, F.lit(False))
         role = F.when(hit, name) if role is None else role.when(hit, name)
         sub = F.when(hit, detail) if sub is None else sub.when(hit, detail)
-    return profile.withColumn("sub_role", sub.otherwise(otherwise[1])).withColumn(
-        "role", role.otherwise(F.lit(otherwise[0])))
+    found = profile.withColumns({
+        "sub_role": sub.otherwise(otherwise[1]), "role": role.otherwise(F.lit(otherwise[0]))})
+    return found.drop("profile_rag", "visual_rag", "status_like", "boolean_like", "semantic_rag")
 
 
 VOCABULARIES = {"profile": profile_roles, "visual": visual_roles, "semantic": semantic_roles}
@@ -233,7 +236,5 @@ def read_roles(roles: DataFrame) -> TableRoles:
 def table_roles(df: DataFrame, vocabulary="profile", source_id="table", mode="strict",
                 exact=True) -> TableRoles:
     """Profile a table, classify its columns and pair its value columns."""
-    from tablesense.operators.profile import profile_columns
-
     roles = VOCABULARIES[vocabulary](profile_columns(df, source_id, exact), mode)
     return read_roles(partner_columns(roles))

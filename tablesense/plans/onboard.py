@@ -1,6 +1,7 @@
 """From a raw table to everything known about it."""
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,17 +29,32 @@ class Onboarded:
     order_by: tuple
     grain: str | None = None
 
-    def kpis(self):
-        return findings.kpi_signals(self.table, self.semantic, self.order_by)
+    @cached_property
+    def kpis(self) -> DataFrame:
+        """KPI signals, at most eight rows."""
+        return _settled(findings.kpi_signals(self.table, self.semantic, self.order_by))
 
-    def temporal(self):
+    @cached_property
+    def temporal(self) -> DataFrame | None:
+        """Temporal patterns, at most eight rows; None without time or measures."""
         if not self.semantic.times or not self.semantic.measures:
             return None
-        return findings.temporal_patterns(self.table, self.semantic, self.grain)
-
-    def anomalies(self):
-        return findings.anomaly_signals(self.table, self.semantic, self.profile, self.kpis(),
-                                        self.grain)
+        return _settled(findings.temporal_patterns(self.table, self.semantic, self.grain))
+
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        """Anomaly signals, at most twelve rows."""
+        return _settled(findings.anomaly_signals(
+            self.table, self.semantic, self.profile, self.kpis, self.grain))
+
+    @cached_property
+    def narrative(self) -> DataFrame:
+        """The one-row plain-language summary."""
+        temporal = self.temporal
+        if temporal is None:
+            temporal = self.table.sparkSession.createDataFrame([], findings.TEMPORAL_SCHEMA)
+        return _settled(findings.narrative(self.source_name, self.semantic, self.kpis,
+                                           temporal, self.anomalies))
 
     def facts(self):
         return factsearch.fact_documents(self.table, self.semantic, self.order_by, self.grain)
@@ -82,6 +98,11 @@ def onboard(df: DataFrame, source_id: str, source_name=None, order_by=None, grai
         tuple(order_by), grain)
 
 
+def _settled(found: DataFrame) -> DataFrame:
+    """Compute a finding table once; its few rows then serve every reader."""
+    return found.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
 def _gathered(df, *order):
     """A bounded finding table as one array value."""
     if df is None:
@@ -98,7 +119,7 @@ def portable_document(o: Onboarded, max_questions=10) -> DataFrame:
     flags = capability_flags(visual_roles(o.profile)).collect()[0]
     shapes = structure.chart_shapes(visual_roles(o.profile))
     kind = structure.dashboard_type(o.profile)
-    kpis, temporal, anomalies = o.kpis(), o.temporal(), o.anomalies()
+    kpis, temporal, anomalies = o.kpis, o.temporal, o.anomalies
     blocks = o.blocks()
     offered = ask.generate_questions(
         ask.question_context(profile_roles(o.profile), kinds=kind), max_questions)
@@ -123,8 +144,7 @@ def portable_document(o: Onboarded, max_questions=10) -> DataFrame:
                  F.lit(flags["has_threshold"]).alias("thresholds"),
                  F.lit(flags["has_multi_measure"]).alias("multi_measure")).alias("capabilities"),
         profiles.fingerprint(o.table).select("fingerprint").scalar().alias("fingerprint"),
-        (findings.narrative(o.source_name, o.semantic, kpis, temporal, anomalies).scalar()
-         if temporal is not None else F.lit("")).alias("narrative"),
+        o.narrative.scalar().alias("narrative"),
         text(o.roles.dimensions).alias("dimensions"), text(o.roles.measures).alias("measures"),
         text(o.roles.times).alias("time_cols"), text(o.roles.statuses).alias("status_cols"),
         structure.schema_text(visual_roles(o.profile)).select("schema_text").scalar()
