@@ -1 +1,181 @@
-"""Registered queries."""
+"""Questions over whole tables: intents, columns, answers, routing, suggestions."""
+
+from pyspark.sql import functions as F
+
+from catalogue.tables import monthly_kpis, query
+from tablesense.functions import words
+from tablesense.operators import ask, factsearch, profile as prof, structure
+from tablesense.operators.roles import profile_roles, read_roles, partner_columns
+from tablesense.plans.onboard import onboard
+
+# A question per order, worded by its priority; the top-n questions take their n from it.
+_QUESTIONS_SQL = """
+  SELECT o_orderkey AS question_id, CASE o_orderpriority
+    WHEN '1-URGENT' THEN 'Which are the top ' || (1 + o_custkey % 9) || ' orders by o_totalprice?'
+    WHEN '2-HIGH' THEN 'What is the average o_totalprice per o_orderstatus?'
+    WHEN '3-MEDIUM' THEN 'Show the o_orderpriority breakdown'
+    WHEN '4-NOT SPECIFIED' THEN 'How many orders are there?'
+    ELSE 'Total o_totalprice please' END AS question FROM orders"""
+
+
+def _questions(t):
+    p = F.col("o_orderpriority")
+    return t["orders"].select(
+        F.lit("orders").alias("source_id"), F.col("o_orderkey").alias("question_id"),
+        F.when(p == "1-URGENT", F.format_string("Which are the top %d orders by o_totalprice?",
+                                                1 + F.col("o_custkey") % 9))
+        .when(p == "2-HIGH", "What is the average o_totalprice per o_orderstatus?")
+        .when(p == "3-MEDIUM", "Show the o_orderpriority breakdown")
+        .when(p == "4-NOT SPECIFIED", "How many orders are there?")
+        .otherwise("Total o_totalprice please").alias("question"))
+
+
+def _intent_sql(text, prefix):
+    import re
+    cases = []
+    for intent, keys in words.INTENT_WORDS:
+        if prefix:
+            alternatives = "|".join(
+                "(?:^|[^a-z0-9])" + re.escape(k)
+                + ("(?:$|[^a-z0-9])" if k in words.WHOLE_WORD_INTENTS else "") for k in keys)
+            cond = f"regexp_matches(lower({text}), '{alternatives}')"
+        else:
+            cond = " OR ".join(f"contains(lower({text}), '{k}')" for k in keys)
+        cases.append(f"WHEN {cond} THEN '{intent}'")
+    return f"CASE {' '.join(cases)} ELSE 'summary' END"
+
+
+@query(f"""SELECT conv_id, turn, {_intent_sql('text', False)} AS intent FROM conversations
+           WHERE role = 'user'""")
+def question_intents_by_substring(t):
+    asked = t["conversations"].where(F.col("role") == "user")
+    return asked.select("conv_id", "turn",
+                        ask.classify_intent(F.col("text"), "substring").alias("intent"))
+
+
+@query(f"""SELECT doc_id, {_intent_sql('text', True)} AS intent FROM documents
+           WHERE NOT contains(lower(text), 'previous')""")
+def question_intents(t):
+    docs = t["documents"].where(~F.lower("text").contains("previous"))
+    return docs.select("doc_id", ask.classify_intent(F.col("text")).alias("intent"))
+
+
+@query(r"""SELECT doc_id, coalesce(TRY_CAST(regexp_extract(text,
+             '(?:^|[^\p{L}\p{N}_])(\d+)(?:$|[^\p{L}\p{N}_])', 1) AS INTEGER), 5) AS n
+           FROM documents""")
+def numbers_in_questions(t):
+    return t["documents"].select("doc_id", ask.extract_n(F.col("text"), 5).alias("n"))
+
+
+@query(f"""SELECT question_id, CASE WHEN contains(question, 'top') THEN 'highest'
+                  WHEN contains(question, 'average') THEN 'average'
+                  WHEN contains(question, 'breakdown') THEN 'distribution'
+                  ELSE 'count_sum' END AS intent,
+                  CASE WHEN contains(question, 'top')
+                       THEN CAST(regexp_extract(question, '\\d+') AS INTEGER) ELSE 5 END AS n,
+                  'o_totalprice' AS measure,
+                  CASE WHEN contains(question, 'o_orderstatus') THEN 'o_orderstatus'
+                       ELSE 'o_orderpriority' END AS dim
+           FROM ({_QUESTIONS_SQL})""")
+def resolved_questions(t):
+    described = profile_roles(prof.profile_columns(t["orders"], "orders"))
+    return ask.resolve_questions(_questions(t), described).select(
+        "question_id", "intent", "n", "measure", "dim")
+
+
+def _answers(t):
+    orders = t["orders"]
+    rows = partner_columns(profile_roles(prof.profile_columns(orders, "orders")))
+    resolved = ask.resolve_questions(_questions(t), rows)
+    return ask.answer_questions(orders, read_roles(rows), resolved)
+
+
+_ANSWERS_SQL = f"""
+  WITH q AS ({_QUESTIONS_SQL}), top AS (
+    SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey::VARCHAR
+                              || '/' || o_custkey) AS row_no, o_orderpriority AS label,
+           'o_totalprice' AS series, o_totalprice AS value FROM orders),
+  best AS (SELECT * FROM top WHERE row_no <= 9),
+  mean AS (SELECT row_number() OVER (ORDER BY o_orderstatus) AS row_no, o_orderstatus AS label,
+                  'avg_o_totalprice' AS series, round(avg(o_totalprice), 4) AS value
+           FROM orders GROUP BY o_orderstatus),
+  spread AS (SELECT row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS row_no,
+                    o_orderpriority AS label, 'count' AS series, count(*)::DOUBLE AS value
+             FROM orders GROUP BY o_orderpriority),
+  states AS (SELECT row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) AS row_no,
+                    o_orderstatus AS label, 'count' AS series, count(*)::DOUBLE AS value
+             FROM orders GROUP BY o_orderstatus)
+  SELECT question_id, 'highest' AS intent, row_no, label, series, value FROM q JOIN best
+    ON contains(question, 'top') AND row_no <= CAST(regexp_extract(question, '\\d+') AS INTEGER)
+  UNION ALL SELECT question_id, 'average', row_no, label, series, value FROM q JOIN mean
+    ON contains(question, 'average')
+  UNION ALL SELECT question_id, 'distribution', row_no, label, series, value FROM q JOIN spread
+    ON contains(question, 'breakdown')
+  UNION ALL SELECT question_id, 'count_sum', row_no, label, series, value FROM q JOIN states
+    ON contains(question, 'How many')
+  UNION ALL SELECT question_id, 'count_sum', 1, 'o_totalprice', 'total',
+    round((SELECT sum(o_totalprice) FROM orders), 2) FROM q WHERE contains(question, 'Total')"""
+
+
+@query(_ANSWERS_SQL)
+def answered_questions(t):
+    return _answers(t).select(
+        "question_id", "intent", F.col("row_no").cast("long").alias("row_no"), "label",
+        "series", F.round("value", 4).alias("value"))
+
+
+@query(f"""SELECT question_id, 1 AS tier, 'DIRECT' AS tier_label, 1.0::DOUBLE AS confidence,
+                  CASE WHEN contains(question, 'top')
+                       THEN CAST(regexp_extract(question, '\\d+') AS INTEGER)
+                       WHEN contains(question, 'average') OR contains(question, 'How many') THEN 3
+                       WHEN contains(question, 'breakdown') THEN 5 ELSE 1 END::BIGINT AS row_count
+           FROM ({_QUESTIONS_SQL})""")
+def routed_questions(t):
+    known = onboard(t["orders"], "orders", order_by=["o_orderdate", "o_orderkey"],
+                    grain="month", normalised=True)
+    facts = known.facts()
+    replies = ask.replies(_answers(t))
+    hits = factsearch.search(factsearch.build_index(facts), _questions(t), 6)
+    routed = ask.route(replies, hits, facts)
+    return routed.join(replies.select("question_id", "row_count"), "question_id").select(
+        "question_id", "tier", "tier_label", "confidence", "row_count")
+
+
+@query("""SELECT p_brand AS label, 'p_size' AS series, p_size::DOUBLE AS value FROM part
+          UNION ALL SELECT p_brand, 'p_retailprice', p_retailprice FROM part""")
+def chart_series(t):
+    return ask.chart_series(t["part"], "p_brand", ["p_size", "p_retailprice"])
+
+
+@query("""SELECT 'kpis' AS source_id, rank, question FROM (SELECT unnest([
+            'Which KRIs are currently breaching their threshold?',
+            'How many KRIs have exceeded their limits?',
+            'Which records have current_value below red_threshold?',
+            'Show all items where rag_status is Red.',
+            'Which kri_name has the most Red / Fail statuses?',
+            'Compare current_value and red_threshold trends over report_month.',
+            'Which KRIs are in breach?', 'Are there any chronic Red KRIs?']) AS question,
+            unnest(range(1, 9)) AS rank)""")
+def suggested_questions(t):
+    months = monthly_kpis(t)
+    rows = partner_columns(profile_roles(prof.profile_columns(months, "kpis")))
+    kpis = structure.kpi_patterns(months, read_roles(rows)).withColumn(
+        "source_id", F.lit("kpis"))
+    context = ask.question_context(rows, kpis, kinds=structure.dashboard_type(rows))
+    return ask.generate_questions(context).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def supplemented_questions(t):
+    known = onboard(t["orders"], "orders", grain="month", normalised=True)
+    offered = ask.generate_questions(ask.question_context(profile_roles(known.profile)))
+    return ask.supplement_questions(offered, known.anomalies, known.temporal)
+
+
+@query()
+def fact_replies(t):
+    known = onboard(t["orders"], "orders", order_by=["o_orderdate", "o_orderkey"],
+                    grain="month", normalised=True)
+    facts = known.facts()
+    hits = factsearch.search(factsearch.build_index(facts), _questions(t), 6)
+    return ask.fact_replies(_questions(t).select("question_id", "question"), hits, facts)
