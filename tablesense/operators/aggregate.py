@@ -42,13 +42,14 @@ def count_by(df: DataFrame, dim: str) -> DataFrame:
 def distribution(df: DataFrame, column: str, of="present", digits=1) -> DataFrame:
     """(value, count, pct); `of="rows"` divides by all rows instead of non-null ones.
 
-    The total comes from the grouped rows, so the table is read once.
+    The total of present values comes from the grouped rows, whose exchange is reused;
+    the row count reads no column at all.
     """
     counts = df.groupBy(F.col(f"`{column}`").cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
-    base = counts if of == "rows" else counts.where(F.col("value").isNotNull())
-    whole = base.agg(F.sum("count")).scalar()
-    return counts.where(F.col("value").isNotNull()).select(
+    present = counts.where(F.col("value").isNotNull())
+    whole = (df.agg(F.count(F.lit(1))) if of == "rows" else present.agg(F.sum("count"))).scalar()
+    return present.select(
         "value", "count", percent(F.col("count"), whole, digits).alias("pct"))
 
 
@@ -87,8 +88,7 @@ def top_values(df: DataFrame, columns, n=5) -> DataFrame:
              for c in columns]
     counts = df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("count"))
-    # every column contributes each row once, null or not
-    whole = counts.agg(F.sum("count") / len(columns)).scalar()
+    whole = df.agg(F.count(F.lit(1))).scalar()
     best = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
     return (
         counts.where(F.col("value").isNotNull())

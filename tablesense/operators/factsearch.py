@@ -9,6 +9,8 @@ from tablesense.functions.text import format_fact, spaced, words as tokens
 from tablesense.operators import aggregate, ordered
 from tablesense.operators.roles import TableRoles
 
+_BROADCAST_TERMS = 100_000  # a vocabulary up to this size may be sent to every executor
+
 
 def fact_documents(df: DataFrame, roles: TableRoles, tie_break=(), grain=None) -> DataFrame:
     """Everything worth finding in a table, one text per fact.
@@ -61,8 +63,13 @@ def fact_documents(df: DataFrame, roles: TableRoles, tie_break=(), grain=None) -
                         F.format_string("%+.1f", "pct_change"), F.lit("percent change period"),
                         "max_period").alias("text")))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    kinds = {"kind": "string", "dim": "string", "dim_val": "string", "measure": "string",
+             "value": "double", "pct": "double", "text": "string"}
+    facts = stacked.select(*[
+        (F.col(c) if c in stacked.columns else F.lit(None)).cast(k).alias(c)
+        for c, k in kinds.items()])
     key = F.concat_ws("|", "kind", "dim", "dim_val", "measure")
-    return stacked.withColumn("doc_id", F.substring(F.md5(key), 1, 12))
+    return facts.withColumn("doc_id", F.substring(F.md5(key), 1, 12))
 
 
 def _terms(docs: DataFrame, id_col: str, text_col: str, ngrams: int, stop_words) -> DataFrame:
@@ -90,12 +97,13 @@ def build_index(docs: DataFrame, id_col="doc_id", text_col="text", ngrams=2,
     terms kept."""
     counts = _terms(docs, id_col, text_col, ngrams, stop_words)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    # at most max_terms rows: the bound of this side of every join below
     terms = counts.groupBy("term").agg(
         F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")
     ).orderBy(F.desc("total"), "term").limit(max_terms).select(
         "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(F.broadcast(terms), "term").select(
+    if max_terms <= _BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    weighted = counts.join(terms, "term").select(
         id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     postings = weighted.join(norms, id_col).select(
@@ -113,7 +121,7 @@ def search(index, questions: DataFrame, k=5, id_col="doc_id", question_id="quest
     """
     postings, terms = index
     asked = _terms(questions, question_id, question_text, ngrams, stop_words).join(
-        F.broadcast(terms), "term").select(
+        terms, "term").select(
         question_id, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norms = asked.groupBy(question_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     asked = asked.join(norms, question_id).select(

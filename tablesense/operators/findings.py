@@ -22,7 +22,7 @@ def entities(df: DataFrame, dims, max_dims=8) -> DataFrame:
              for d in dims]
     counts = df.select(F.inline(F.array(*cells))).groupBy("name", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    n_rows = counts.agg(F.sum("n") / len(dims)).scalar()
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
     present = counts.where(F.col("value").isNotNull())
     best = Window.partitionBy("name").orderBy(F.desc("n"), "value")
     top = present.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 5)

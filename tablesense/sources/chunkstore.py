@@ -19,7 +19,9 @@ def save_chunks(chunks: DataFrame, path: str, ttl_seconds=3600, now: Column = No
     stored = chunks.withColumn("extracted_dt", _now(now)).withColumn(
         "expires_dt",
         F.col("extracted_dt") + F.make_dt_interval(secs=F.lit(ttl_seconds)))
-    stored.write.mode("append").partitionBy("source_id").parquet(path)
+    # few files per source, while a source of any size is still written by many tasks
+    balanced = stored.hint("rebalance", F.col("source_id"))
+    balanced.write.mode("append").partitionBy("source_id").parquet(path)
 
 
 def invalidate(spark: SparkSession, path: str, source_id: str, now: Column = None) -> None:
