@@ -1,6 +1,5 @@
 """Questions: intent, columns, operator, answer rows; many questions in one run."""
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,12 +14,20 @@ MAX_ANSWER_ROWS = 200  # fixed value: rows an answer may carry
 
 # --- reading a question ---------------------------------------------------------------
 
-def _intent_pattern(keys) -> str:
-    parts = []
-    for w in keys:
-        end = "(?![a-z0-9])" if w in words.WHOLE_WORD_INTENTS else ""
-        parts.append("(?<![a-z0-9])" + re.escape(w) + end)
-    return "|".join(parts)
+def _bound_to(value: Column, expression) -> Column:
+    """`expression(value)` with the value computed once per row, however often used."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
+
+
+def _spaced_words(question: Column) -> Column:
+    """The words of a question in lower case, each between single blanks."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(question), "[^a-z0-9]+", " "),
+                    F.lit(" "))
+
+
+def _begins_word(text: Column, keys) -> Column:
+    """True when a word of the text begins with (a short key: is) one of the keys."""
+    return has_any(text, [f" {w} " if w in words.WHOLE_WORD_INTENTS else f" {w}" for w in keys])
 
 
 def classify_intent(question: Column, mode="prefix") -> Column:
@@ -30,16 +37,20 @@ def classify_intent(question: Column, mode="prefix") -> Column:
     asks them to begin a word (short ones to be a word), and puts variance before trend
     when a previous period is mentioned.
     """
-    low = F.lower(question)
-    found = None
-    if mode == "prefix":
-        previous = low.contains("previous") & low.rlike(
-            _intent_pattern(dict(words.INTENT_WORDS)["variance"] + ["vs"]))
-        found = F.when(previous, "variance")
-    for intent, keys in words.INTENT_WORDS:
-        hit = has_any(low, keys) if mode == "substring" else low.rlike(_intent_pattern(keys))
-        found = F.when(hit, intent) if found is None else found.when(hit, intent)
-    return found.otherwise("summary")
+    prefix = mode == "prefix"
+    hit = _begins_word if prefix else has_any
+
+    def choose(text):
+        found = None
+        if prefix:
+            changes = dict(words.INTENT_WORDS)["variance"] + ["vs"]
+            found = F.when(text.contains("previous") & hit(text, changes), "variance")
+        for intent, keys in words.INTENT_WORDS:
+            found = (F.when(hit(text, keys), intent) if found is None
+                     else found.when(hit(text, keys), intent))
+        return found.otherwise("summary")
+
+    return _bound_to(_spaced_words(question) if prefix else F.lower(question), choose)
 
 
 def extract_n(question: Column, default) -> Column:
@@ -70,10 +81,10 @@ def resolve_questions(questions: DataFrame, roles: DataFrame, mode="prefix") ->
         F.concat(listed(is_role("dimension")), listed(is_role("status"))).alias("_dims"),
         listed(is_role("time")).alias("_times"), listed(is_role("status")).alias("_statuses"))
     q = F.col("question")
-    intent = classify_intent(q, mode)
-    return questions.join(per_source, "source_id", "left").select(
-        "source_id", "question_id", "question", intent.alias("intent"),
-        F.least(extract_n(q, F.when(intent == "ranking", 10).otherwise(5)),
+    classified = questions.withColumn("intent", classify_intent(q, mode))
+    return classified.join(per_source, "source_id", "left").select(
+        "source_id", "question_id", "question", "intent",
+        F.least(extract_n(q, F.when(F.col("intent") == "ranking", 10).otherwise(5)),
                 F.lit(MAX_ANSWER_ROWS)).alias("n"),
         resolve_column(q, F.col("_measures")).alias("measure"),
         resolve_column(q, F.col("_dims")).alias("dim"),
