@@ -1,6 +1,7 @@
 """Sort keys for period labels such as `Feb-26`, `2026-02`, `Q1 2026`, `FY26`."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: month abbreviations in calendar order
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -32,3 +33,13 @@ def period_key(label: Column) -> Column:
         .when(fiscal != "", _year(fiscal) * 12)
         .when(bare_year != "", _year(bare_year) * 12)
     )
+
+
+def period_order(df: DataFrame, column: str, min_share=0.85) -> Column:
+    """A sort key for a time column: its period key when it is text of which at least
+    `min_share` reads as periods, else NULL (the value itself then decides)."""
+    if not isinstance(df.schema[column].dataType, StringType):
+        return F.lit(None).cast("int")
+    key = period_key(F.col(f"`{column}`"))
+    read = F.when(F.col(f"`{column}`").isNotNull(), key.isNotNull().cast("double"))
+    return F.when(df.agg(F.avg(read)).scalar() >= min_share, key)

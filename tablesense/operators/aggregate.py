@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesense.functions import words
 from tablesense.functions.numbers import clean, pearson, percent, rounded
+from tablesense.functions.periods import period_order
 from tablesense.operators.quantiles import wide_quantiles
 
 
@@ -106,10 +107,11 @@ def trend(df: DataFrame, time: str, measure: str, digits=None) -> DataFrame:
 
 def trend_change(df: DataFrame, time: str, measure: str, digits=None) -> DataFrame:
     """Number of periods and change from the first to the last period's mean."""
-    periods = trend(df, time, measure)
+    periods = trend(df, time, measure).withColumn("_key", period_order(df, time))
+    order = F.struct("_key", time)
     return periods.agg(
         F.count(F.lit(1)).alias("n_periods"),
-        rounded(F.max_by("mean", time) - F.min_by("mean", time), digits).alias("change"))
+        rounded(F.max_by("mean", order) - F.min_by("mean", order), digits).alias("change"))
 
 
 def trend_by(df: DataFrame, time: str, dim: str, measure: str, values, digits=None) -> DataFrame:

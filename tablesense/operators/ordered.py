@@ -1,11 +1,13 @@
 """Operators that depend on row or period order.  Order is always explicit."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from tablesense.functions import words
 from tablesense.functions.numbers import (
     clean, guarded_change, relative_change, rounded,
 )
+from tablesense.functions.periods import period_order
 from tablesense.functions.text import short_hash, token_estimate
 from tablesense.operators.indexing import dense_index
 from tablesense.operators.profile import estimate_distinct
@@ -13,10 +15,17 @@ from tablesense.operators.profile import estimate_distinct
 _WINDOW_PERIODS = 100_000  # periods one window task may order
 
 
-def _ordered(order_by):
+def _ordered(df: DataFrame, order_by):
+    """Sort keys `_o0`, `_o1`, … as columns, and their names.  Text columns that read as
+    periods are ordered as periods before they are ordered as text."""
     if not order_by:
         raise ValueError("this operator needs explicit order_by columns")
-    return list(order_by)
+    keys = []
+    for name in order_by:
+        if isinstance(df.schema[name].dataType, StringType):
+            keys.append(period_order(df, name))
+        keys.append(F.col(f"`{name}`"))
+    return [k.alias(f"_o{i}") for i, k in enumerate(keys)], [f"_o{i}" for i in range(len(keys))]
 
 
 def _long(df: DataFrame, measures, keep=()) -> DataFrame:
@@ -31,9 +40,9 @@ def current_and_previous(df: DataFrame, measures, order_by) -> DataFrame:
     The rank filter is applied in every task before rows move, so at most two rows per
     task and measure are shuffled.
     """
-    order = _ordered(order_by)
+    keys, order = _ordered(df, order_by)
     newest = Window.partitionBy("column").orderBy(*[F.desc(c) for c in order])
-    ranked = _long(df, measures, order).withColumn("rn", F.row_number().over(newest)).where(
+    ranked = _long(df, measures, keys).withColumn("rn", F.row_number().over(newest)).where(
         F.col("rn") <= 2)
     return ranked.groupBy("column").agg(
         F.max(F.when(F.col("rn") == 1, F.col("v"))).alias("current_val"),
@@ -58,8 +67,8 @@ def percentile_of_current(df: DataFrame, measures, order_by, digits=1) -> DataFr
 
 def row_slopes(df: DataFrame, measures, order_by) -> DataFrame:
     """Least-squares slope of each measure over its row order, and its deviation."""
-    order = _ordered(order_by)
-    numbered = dense_index(_long(df, measures, order), order, within=["column"], name="i")
+    keys, order = _ordered(df, order_by)
+    numbered = dense_index(_long(df, measures, keys), order, within=["column"], name="i")
     return numbered.groupBy("column").agg(
         F.count("v").alias("n"),
         F.regr_slope("v", F.col("i").cast("double")).alias("slope"),
@@ -96,18 +105,19 @@ def period_rows(df: DataFrame, time: str, measures, grain=None) -> DataFrame:
     """
     period = F.col(f"`{time}`") if grain is None else F.date_trunc(grain, F.col(f"`{time}`"))
     source = df.withColumn("_period", period).where(F.col("_period").isNotNull())
-    means = source.groupBy("_period").agg(
+    label = period_order(df, time) if grain is None else F.lit(None).cast("int")
+    means = source.groupBy("_period", label.alias("_key")).agg(
         *[F.avg(clean(df.schema, m)).alias(f"m{i}") for i, m in enumerate(measures)])
     cells = [F.struct(F.lit(m).alias("measure"), F.col(f"m{i}").alias("mean"))
              for i, m in enumerate(measures)]
-    rows = means.select(F.col("_period").alias("period"), F.inline(F.array(*cells))).where(
+    rows = means.select("_key", F.col("_period").alias("period"), F.inline(F.array(*cells))).where(
         F.col("mean").isNotNull())
     if grain is not None or estimate_distinct(df, [time])[time] <= _WINDOW_PERIODS:
-        by_period = Window.partitionBy("measure").orderBy("period")
+        by_period = Window.partitionBy("measure").orderBy("_key", "period")
         return rows.select(
             "*", (F.row_number().over(by_period) - 1).cast("long").alias("ordinal"),
             F.lag("mean").over(by_period).alias("prev_mean"))
-    numbered = dense_index(rows, ["period"], within=["measure"], name="ordinal")
+    numbered = dense_index(rows, ["_key", "period"], within=["measure"], name="ordinal")
     before = numbered.select("measure", (F.col("ordinal") + 1).alias("ordinal"),
                              F.col("mean").alias("prev_mean"))
     return numbered.join(before, ["measure", "ordinal"], "left")
@@ -121,8 +131,8 @@ def temporal_patterns(df: DataFrame, time: str, measures, grain=None, max_measur
         "step", F.col("mean") - F.col("prev_mean"))
     stats = rows.groupBy("measure").agg(
         F.count(F.lit(1)).alias("n_periods"),
-        F.min("period").cast("string").alias("min_period"),
-        F.max("period").cast("string").alias("max_period"),
+        F.min_by("period", "ordinal").cast("string").alias("min_period"),
+        F.max_by("period", "ordinal").cast("string").alias("max_period"),
         F.min_by("mean", "ordinal").alias("baseline"),
         F.max_by("mean", "ordinal").alias("latest"),
         F.regr_slope("mean", F.col("ordinal").cast("double")).alias("slope"),
@@ -189,7 +199,9 @@ def lowest(df: DataFrame, measure: str, n=5, tie_break=()) -> DataFrame:
 def ranking(df: DataFrame, measure=None, n=10, tie_break=()) -> DataFrame:
     """The n best rows by a measure, or the first n rows in `tie_break` order."""
     if measure is None:
-        return df.orderBy(*_ordered(tie_break)).limit(n)
+        if not tie_break:
+            raise ValueError("a ranking without a measure needs tie_break columns")
+        return df.orderBy(*tie_break).limit(n)
     return highest(df, measure, n, tie_break)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesense.functions import words
 from tablesense.functions.numbers import clean, percent
+from tablesense.functions.periods import period_order
 from tablesense.functions.text import has_any
 from tablesense.operators.quantiles import long_measures, wide_quantiles
 
@@ -166,9 +167,12 @@ def status_word(text: Column) -> Column:
 
 def last_status(df: DataFrame, status: str, order_by) -> DataFrame:
     """The latest status text by `order_by`, and how it reads."""
-    c = F.col(status).cast("string")
-    return df.agg(
-        F.max_by(c, F.when(c.isNotNull(), F.struct(*order_by))).alias("last_status")
+    keys = [k.alias(f"_o{2 * i + j}") for i, name in enumerate(order_by)
+            for j, k in enumerate((period_order(df, name), F.col(f"`{name}`")))]
+    rows = df.select(F.col(f"`{status}`").cast("string").alias("_status"), F.struct(*keys)
+                     .alias("_order")).where(F.col("_status").isNotNull())
+    return rows.agg(
+        F.max_by("_status", "_order").alias("last_status")
     ).withColumn("status", status_word(F.coalesce("last_status", F.lit(""))))
 
 

@@ -181,6 +181,20 @@ def test_reversal_and_pattern(spark):
     assert ordered.temporal_patterns(series.where("t < 1"), "t", ["v"]).count() == 0
 
 
+def test_period_texts_are_ordered_as_periods(spark, kri):
+    found = ordered.temporal_patterns(kri, "REPORT_MONTH", ["CURRENT_VALUE"]).first()
+    assert (found["min_period"], found["max_period"]) == ("Jan-26", "Feb-26")
+    assert found["baseline_val"] == pytest.approx(0.6833) and found["latest_val"] == 1.066
+    change = aggregate.trend_change(kri, "REPORT_MONTH", "CURRENT_VALUE").first()["change"]
+    assert change == pytest.approx(1.066 - 2.05 / 3)
+    now = ordered.current_and_previous(kri, ["CURRENT_VALUE"], ["REPORT_MONTH", "KRI_ID"]).first()
+    assert (now["current_val"], now["prev_val"]) == (2.47, 0.89)  # Feb-26, UK-K43 then UK-K42
+    last = select.last_status(kri, "RAG_STATUS", ["REPORT_MONTH", "KRI_ID"]).first()
+    assert last["status"] == "breaching"
+    words = spark.createDataFrame([("b", 1.0), ("a", 3.0)], "t string, v double")
+    assert ordered.temporal_patterns(words, "t", ["v"]).first()["max_period"] == "b"
+
+
 def test_many_periods_take_the_distributed_way(spark, monkeypatch):
     series = spark.createDataFrame([(i, float((i * 7) % 5)) for i in range(40)], "t int, v double")
     near = ordered.temporal_patterns(series, "t", ["v"]).collect()
