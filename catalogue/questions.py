@@ -83,11 +83,13 @@ def resolved_questions(t):
         "question_id", "intent", "n", "measure", "dim")
 
 
+def _known(t):
+    return onboard(t["orders"], "orders", order_by=["o_orderdate", "o_orderkey"],
+                   grain="month", normalised=True)
+
+
 def _answers(t):
-    orders = t["orders"]
-    rows = partner_columns(profile_roles(prof.profile_columns(orders, "orders")))
-    resolved = ask.resolve_questions(_questions(t), rows)
-    return ask.answer_questions(orders, read_roles(rows), resolved)
+    return _known(t).answer(_questions(t).drop("source_id"))
 
 
 _ANSWERS_SQL = f"""
@@ -131,10 +133,9 @@ def answered_questions(t):
                        WHEN contains(question, 'breakdown') THEN 5 ELSE 1 END::BIGINT AS row_count
            FROM ({_QUESTIONS_SQL})""")
 def routed_questions(t):
-    known = onboard(t["orders"], "orders", order_by=["o_orderdate", "o_orderkey"],
-                    grain="month", normalised=True)
+    known = _known(t)
     facts = known.facts()
-    replies = ask.replies(_answers(t))
+    replies = ask.replies(known.answer(_questions(t).drop("source_id")))
     hits = factsearch.search(factsearch.build_index(facts), _questions(t), 6)
     routed = ask.route(replies, hits, facts)
     return routed.join(replies.select("question_id", "row_count"), "question_id").select(
@@ -174,8 +175,6 @@ def supplemented_questions(t):
 
 @query()
 def fact_replies(t):
-    known = onboard(t["orders"], "orders", order_by=["o_orderdate", "o_orderkey"],
-                    grain="month", normalised=True)
-    facts = known.facts()
+    facts = _known(t).facts()
     hits = factsearch.search(factsearch.build_index(facts), _questions(t), 6)
     return ask.fact_replies(_questions(t).select("question_id", "question"), hits, facts)

@@ -77,6 +77,12 @@ def _terms(docs: DataFrame, id_col: str, text_col: str, ngrams: int, stop_words)
 
     Terms are counted per document with map-side combination, whole texts at a time.
     """
+    if ngrams == 1:
+        # the stop words are dropped after unfolding, in compiled code
+        found = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
+        if stop_words:
+            found = found.where(~F.col("term").isin(list(stop_words)))
+        return found.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     kept = F.filter(tokens(F.col(text_col)),
                     lambda w: ~w.isin(list(stop_words)) if stop_words else F.lit(True))
     words_of = docs.select(id_col, kept.alias("_w"))
