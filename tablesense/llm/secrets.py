@@ -144,10 +144,12 @@ def secrets(versions: DataFrame, ledger: DataFrame | None = None,
     def joined(column):
         return F.array_join(F.transform(column, lambda s: s["text"]), ",")
 
+    def of_rule(i):
+        return F.filter(all_found, lambda s: s["place"] == i)
+
     return paths.join(by_blob, "blob", "left").select(
         F.col("path").alias("doc_id"),
-        *[F.size(F.filter(all_found, lambda s, i=i: s["place"] == i)).cast("long").alias(
-            f"n_{r.kind}") for i, r in enumerate(rules)],
+        *[F.size(of_rule(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)],
         F.sha2(joined(F.filter(all_found, lambda s: s["place"] < base)).cast("binary"), 256).alias(
             "base_sha256"),
         joined(all_found).alias("spans"), F.lower(F.hex("blob")).alias("blob"))
