@@ -10,7 +10,9 @@ cannot fill goes on, as tokens, to a block of the next level.
 
 import bisect
 import os
+import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,21 @@ END = 1
 #: Tokens packed at once; bounds a task's memory besides its longest document.
 BLOCK_TOKENS = 1 << 20
 #: Words whose ids a task keeps at hand; the store starts anew when it is full.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 #: Blocks whose left-over tokens are packed together at the next level.
 FAN_IN = 512
 #: Sequences per step group.
 GROUP = 16
 
 VOCABULARY = "word_bpe_49k.json"
+#: Stands between words that are encoded together: a control character of one id.
+_MARK = b" \x01 "
+#: What special tokens begin with.
+_SPECIAL = b"<|"
+#: The vocabulary ignores case, but for special tokens and before combining marks, which
+#: may compose with a small letter alone.
+_CASED = (_SPECIAL, b"\xcc", b"\xcd")
+_TAIL = re.compile(rb"(.*[a-z0-9])([!-/:-@\[-`{-~]+)", re.DOTALL)
 
 _PIECE = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -54,6 +64,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        self._mark, = self._tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self._clear()
 
     def _clear(self):
@@ -61,37 +72,71 @@ class Encoder:
         self._ends = np.zeros(1, dtype=np.int64)
         self._ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, words: list[bytes]):
-        """Add the words that are not at hand."""
-        new = [w for w in dict.fromkeys(words) if w not in self._place]
-        if not new:
-            return
-        coded = [x.ids for x in self._tokenizer.encode_batch_fast(
-            [w.decode() for w in new], add_special_tokens=False)]
+    def _coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and where each word's ids end.
+
+        Words are encoded together, a mark between them that the splitter keeps apart.
+        """
+        coded = np.array(self._tokenizer.encode(
+            b"".join(w + _MARK for w in words).decode(), add_special_tokens=False).ids,
+            dtype=np.uint32)
+        ends = np.flatnonzero(coded == self._mark)
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary does not keep the mark apart")
+        return np.delete(coded, ends), ends - np.arange(len(ends))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the stored words at these places, and where each word's ids end."""
+        starts, counts = self._ends[at], self._ends[at + 1] - self._ends[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._ids[np.repeat(starts - ends + counts, counts) + np.arange(total)], ends
+
+    def _add(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray):
         first = len(self._place)
-        self._place.update(zip(new, range(first, first + len(new))))
-        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(
-            [len(x) for x in coded], dtype=np.int64)])
-        self._ids = np.concatenate([self._ids, np.fromiter(
-            (i for x in coded for i in x), dtype=np.uint32)])
+        self._place.update(zip(words, range(first, first + len(words))))
+        self._ends = np.concatenate([self._ends, self._ends[-1] + ends])
+        self._ids = np.concatenate([self._ids, ids])
+
+    def _learn(self, words: set[bytes]):
+        """Add words that are not at hand.
+
+        Marks after a letter or digit are a token run of their own, so a word has the ids
+        of its stem and then its tail, and the stems are shared. A word that may hold a
+        special token is left whole; one that holds the mark goes alone.
+        """
+        parted = [(w, m[1], m[2]) for w in words if _SPECIAL not in w and (m := _TAIL.fullmatch(w))]
+        joint = {w for w, _, _ in parted}
+        need = (words - joint).union(*[(a, b) for _, a, b in parted]) if parted else words
+        need = [w for w in need if w not in self._place]
+        plain = [w for w in need if _MARK[1:2] not in w]
+        if plain:
+            self._add(plain, *self._coded(plain))
+        for w in need:
+            if _MARK[1:2] in w:
+                own = self._tokenizer.encode(w.decode(), add_special_tokens=False).ids
+                self._add([w], np.array(own, dtype=np.uint32), np.array([len(own)]))
+        parted = [x for x in parted if x[0] not in self._place]
+        if parted:
+            place = self._place
+            ids, ends = self._gather(np.array([place[x] for _, a, b in parted for x in (a, b)]))
+            self._add([w for w, _, _ in parted], ids, ends[1::2])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, then END."""
-        words = [t.split() for t in texts]
+        split = [(t if any(x in t for x in _CASED) else t.lower()).split() for t in texts]
+        words = list(chain.from_iterable(split))
         if len(self._place) > WORDS_KEPT:
             self._clear()
-        self._learn([w for ws in words for w in ws])
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self._place.__getitem__, ws), dtype=np.int64, count=len(ws))
-            starts, counts = self._ends[at], self._ends[at + 1] - self._ends[at]
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.empty(total + 1, dtype=np.uint32)
-            ids[:-1] = self._ids[np.repeat(starts - ends + counts, counts) + np.arange(total)]
-            ids[-1] = END
-            out.append(ids)
-        return out
+        at = np.fromiter(map(self._place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn({words[i] for i in missing})
+            at[missing] = [self._place[words[i]] for i in missing]
+        ids, ends = self._gather(at)
+        cuts = np.concatenate([[0], ends])[np.cumsum([0] + [len(ws) for ws in split])]
+        end = np.array([END], dtype=np.uint32)
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
