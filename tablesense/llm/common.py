@@ -84,3 +84,16 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
     same = F.col(f"`{key}`") == F.col("_split_key")
     return (sure.unionByName(rest.join(keys, same, "left_anti")),
             rest.join(keys, same, "left_semi"))
+
+
+def hashed_sample(df: DataFrame, keys: list[str], most: int, total: int) -> DataFrame:
+    """At most `most` of `total` rows, the first by the hash of their keys.
+
+    Rows beyond twice that share of the hashes never leave their task, so what a task
+    sends does not add up with the number of tasks.
+    """
+    span = 1 << 40
+    at = F.pmod(F.xxhash64(F.lit(most), *keys), F.lit(span))
+    share = min(1.0, 2.0 * most / max(1, total))
+    return df.where(at < F.lit(int(share * span) if share < 1 else span)).orderBy(
+        at, *keys).limit(most)

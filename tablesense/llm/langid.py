@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.llm.common import broadcast_value, fold, own_columns, texts_of
+from tablesense.llm.common import (
+    broadcast_value, fold, hashed_sample, own_columns, texts_of)
 
 #: Bytes of a window; short texts and last windows are filled up with zero bytes.
 WINDOW = 256
@@ -134,8 +135,10 @@ def training_sample(docs: DataFrame, docs_most: int = TRAIN_DOCS) -> list[tuple[
     raw = F.col("text").cast("binary")
     cut = F.concat(*[F.rpad(F.substring(raw, F.floor(step * i).cast("int") + 1, F.lit(WINDOW)),
                             WINDOW, F.lit(b"\0")) for i in range(TRAIN_WINDOWS)])
-    chosen = own.select("lang", F.xxhash64(F.lit(7), "doc_id").alias("_at"), "doc_id",
-                        cut.alias("cut")).orderBy("_at", "doc_id", "cut").limit(docs_most)
+    total = docs.select("doc_id", "lang").where(
+        F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).count()
+    chosen = hashed_sample(own.select("lang", "doc_id", cut.alias("cut")),
+                           ["doc_id", "cut"], docs_most, total)
     return [(r["lang"], bytes(r["cut"])) for r in chosen.collect()]
 
 

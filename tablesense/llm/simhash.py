@@ -15,7 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.llm.common import own_columns, split_by_keys, stored, texts_of, words_of
+from tablesense.llm.common import (
+    hashed_sample, own_columns, split_by_keys, stored, texts_of, words_of)
 from tablesense.llm.components import components
 
 #: Fingerprints in the sample that estimates correlations and candidate counts.
@@ -146,7 +147,7 @@ def close_pairs(prints: DataFrame, bits: int) -> DataFrame:
     join, so no candidate leaves it.
     """
     rows = prints.count()
-    sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("print")).limit(SAMPLE).collect()],
+    sample = np.array([r[0] for r in hashed_sample(prints, ["print"], SAMPLE, rows).collect()],
                       dtype=np.int64).view(np.uint64)
     if rows < 2:
         return prints.select(F.col("print").alias("a"), F.col("print").alias("b")).limit(0)

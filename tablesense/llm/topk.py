@@ -178,7 +178,10 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         "less", "vec_id").sortWithinPartitions("less", "vec_id"), "vectors")
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     turn = directions(rows, width)
-    seeds = rows.orderBy("less", "vec_id").limit(LONGEST).select("vec_id", "v").toArrow()
+    # First how long the longest are, from one number a row; then only those rows.
+    least = [r[0] for r in rows.select("less").orderBy("less").limit(LONGEST).tail(1)]
+    seeds = rows.where(F.col("less") <= F.lit(least[0] if least else 0.0)).orderBy(
+        "less", "vec_id").limit(LONGEST).select("vec_id", "v").toArrow()
     seeds = (seeds.column("vec_id").to_numpy(), _matrix(seeds.column("v"), width))
     asked = dense_index(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct(),
                         ["vec_id"], name="place")
