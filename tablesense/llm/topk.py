@@ -19,6 +19,8 @@ from tablesense.operators.indexing import dense_index
 PASS = 16384
 #: Queries and vectors whose products are held at once in a task.
 QUERIES, VECTORS = 1024, 2048
+#: Pairs scored exactly at once.
+PAIRS = 1 << 16
 #: The longest vectors, which give every query a first floor; also bounds what is sent.
 LONGEST = 1024
 #: Leading directions summed before each residual bound.
@@ -72,7 +74,8 @@ def directions(rows: DataFrame, width: int) -> np.ndarray:
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row inner products of long vectors; in doubles where those are exact."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[-1] < 2 ** 53:
+    largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    if largest * a.shape[-1] < 2 ** 53:
         return np.einsum("ij,ij->i", a.astype(float), b.astype(float)).astype(np.int64)
     return np.einsum("ij,ij->i", a, b)
 
@@ -123,6 +126,11 @@ def search(found: Found, queries, query_ids, rows, row_ids, turn: np.ndarray) ->
         for cut in (*[c for c in CUTS if c < width], width):
             if alive is None:
                 partial += q[:, done:cut] @ r_turned[:last, done:cut].T
+                if cut == width and last > found.k:
+                    # k rows besides the query's own reach this, so no lower one matters.
+                    reached = np.partition(partial, last - found.k - 1, axis=1)[:, -found.k - 1]
+                    slack = 1e-9 * (np.abs(reached) + rest[:, 0] * r_rest[0, 0]) + 1
+                    floors = np.maximum(floors, reached - slack)
                 stay = partial + rest[:, cut, None] * r_rest[None, :last, cut] >= floors[:, None]
                 if cut == width or stay.mean() < 0.05:
                     alive = np.nonzero(stay)
@@ -136,7 +144,9 @@ def search(found: Found, queries, query_ids, rows, row_ids, turn: np.ndarray) ->
         i, j = alive
         other = query_ids[some][i] != row_ids[j]
         i, j = i[other], j[other]
-        found.add(q0 + i, row_ids[j], _exact(queries[q0 + i], rows[j]))
+        for at in range(0, len(i), PAIRS):
+            some_i, some_j = q0 + i[at:at + PAIRS], j[at:at + PAIRS]
+            found.add(some_i, row_ids[some_j], _exact(queries[some_i], rows[some_j]))
 
 
 def _best_of_vectors(sent, width: int, k: int):
