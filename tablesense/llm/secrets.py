@@ -125,7 +125,7 @@ def secrets(versions: DataFrame, ledger: DataFrame | None = None,
         ledger = spark.createDataFrame([], LEDGER)
     ledger = updated(ledger, versions, paths, rules)
     order = {r.kind: i for i, r in enumerate(rules)}
-    place = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), "kind")
+    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("kind")]
     current = F.struct(*[F.lit(r.version).alias(r.kind) for r in rules])
     valid = F.lit(False)
     for r in rules:
