@@ -1,8 +1,6 @@
 """Helpers the operators share: texts as bytes in Arrow batches, stored intermediate
 tables, fold numbers, and stratified counting."""
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -66,26 +64,34 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
         return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
 
     at = slot("_split_key")
-    words = keys.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at % 64)).alias("bits")
-    ).toArrow()
-    held = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    held[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = broadcast_value(df, held)
-
-    @F.pandas_udf("boolean")
-    def maybe(slots: pd.Series) -> pd.Series:
-        slots = slots.to_numpy()
-        return pd.Series(sent.value[slots >> 6] >> (slots & 63) & 1 == 1)
-
-    doubt = maybe(slot(f"`{key}`"))
-    sure = df.where(~doubt | F.col(f"`{key}`").isNull())
-    rest = df.where(doubt & F.col(f"`{key}`").isNotNull())
+    # FILTER_BITS / 64 rows at most, which bounds the broadcast.
+    words = stored(keys.groupBy(F.floor(at / 64).cast("int").alias("_split_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at % 64)).alias(
+            "_split_bits")), "filter")
+    place = slot(f"`{key}`")
+    marked = df.join(F.broadcast(words), F.floor(place / 64).cast("int") == F.col("_split_word"),
+                     "left")
+    bit = F.call_function("shiftright", F.col("_split_bits"), place % 64).bitwiseAND(F.lit(1))
+    doubt = F.coalesce(bit == 1, F.lit(False)) & F.col(f"`{key}`").isNotNull()
+    sure = marked.where(~doubt).drop("_split_word", "_split_bits")
+    rest = marked.where(doubt).drop("_split_word", "_split_bits")
     same = F.col(f"`{key}`") == F.col("_split_key")
     return (sure.unionByName(rest.join(keys, same, "left_anti")),
             rest.join(keys, same, "left_semi"))
 
 
+def slices(texts: list[bytes], most: int = 1 << 20):
+    """(start, stop) of runs of texts of about `most` bytes, one text at least."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > most:
+            yield start, i
+            start, held = i, 0
+        held += len(text) + 64
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def hashed_sample(df: DataFrame, keys: list[str], most: int, total: int) -> DataFrame:
     """At most `most` of `total` rows, the first by the hash of their keys.
 

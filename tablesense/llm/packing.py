@@ -19,7 +19,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablesense.llm.common import own_columns, stored, texts_of
+from tablesense.llm.common import own_columns, slices, stored, texts_of
 
 #: Window lengths, longest first. The longest is the padded length.
 TIERS = (2048, 1024, 512, 256)
@@ -28,7 +28,7 @@ END = 1
 #: Tokens packed at once; bounds a task's memory besides its longest document.
 BLOCK_TOKENS = 1 << 20
 #: Words whose ids a task keeps at hand; the store starts anew when it is full.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 400_000
 #: Blocks whose left-over tokens are packed together at the next level.
 FAN_IN = 512
 #: Sequences per step group.
@@ -249,9 +249,9 @@ def _packed_texts(path: str, tiers):
 
         for batch in batches:
             texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 256):
-                coded = encoder(path).encode(texts[at:at + 256])
-                for doc_id, tokens in zip(ids[at:at + 256], coded):
+            for at, stop in slices(texts):
+                coded = encoder(path).encode(texts[at:stop])
+                for doc_id, tokens in zip(ids[at:stop], coded):
                     key = (task << 33) + row
                     row += 1
                     keys[key] = (key, doc_id, len(tokens))
