@@ -249,7 +249,7 @@ def _packed_texts(path: str, tiers):
 
         for batch in batches:
             texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
-            for at, stop in slices(texts):
+            for at, stop in slices(texts, 4 << 20):
                 coded = encoder(path).encode(texts[at:stop])
                 for doc_id, tokens in zip(ids[at:stop], coded):
                     key = (task << 33) + row
