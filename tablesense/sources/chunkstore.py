@@ -5,7 +5,7 @@ there, and an upsert costs what it writes rather than what a source already hold
 Invalidation appends a marker; `compact` rewrites the live rows elsewhere.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _KEY = ("source_id", "chunk_id")
 
@@ -24,9 +24,18 @@ def save_chunks(chunks: DataFrame, path: str, ttl_seconds=3600, now: Column = No
     balanced.write.mode("append").partitionBy("source_id").parquet(path)
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows, with source ids as they were written: the folder names alone
+    would make numbers of ids such as 007."""
+    schema = T.StructType([
+        T.StructField(f.name, T.StringType() if f.name == "source_id" else f.dataType)
+        for f in spark.read.parquet(path).schema.fields])
+    return spark.read.schema(schema).parquet(path)
+
+
 def invalidate(spark: SparkSession, path: str, source_id: str, now: Column = None) -> None:
     """Append a marker that hides everything the source stored before it."""
-    schema = spark.read.parquet(path).schema
+    schema = _read(spark, path).schema
     marker = spark.range(1).select(*[
         (F.lit(source_id) if f.name == "source_id"
          else _now(now) if f.name == "extracted_dt"
@@ -41,8 +50,7 @@ def live_chunks(spark: SparkSession, path: str, now: Column = None, source_id=No
     The key includes the chunk, so a source of any size spreads over all tasks; a
     source filter prunes partitions.
     """
-    stored = spark.read.parquet(path)
-    stored = stored.withColumn("source_id", F.col("source_id").cast("string"))
+    stored = _read(spark, path)
     if source_id is not None:
         stored = stored.where(F.col("source_id") == source_id)
     markers = stored.where(F.col("chunk_id").isNull()).groupBy("source_id").agg(

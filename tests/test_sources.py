@@ -71,3 +71,16 @@ def test_json_records_have_no_nan(spark):
     assert [r["record"] for r in export.json_records(df, ["k"]).collect()] == [
         '{"k":1,"v":null}', '{"k":2,"v":0.5}']
     assert "Rows: 2" in export.preview_text(df, ["k"]).first()[0]
+
+
+def test_number_like_source_ids_stay_as_written(spark, tmp_path):
+    from tablesense.sources import chunkstore
+    path = str(tmp_path / "store")
+    chunks = spark.createDataFrame(
+        [("007", "a", "schema"), ("1e3", "b", "schema")],
+        "source_id string, chunk_id string, chunk_type string")
+    chunkstore.save_chunks(chunks, path)
+    assert {r.source_id for r in chunkstore.live_chunks(spark, path).collect()} == {"007", "1e3"}
+    assert chunkstore.load_chunks(spark, path, "007").count() == 1
+    chunkstore.invalidate(spark, path, "1e3")
+    assert chunkstore.load_chunks(spark, path, "1e3").count() == 0
