@@ -82,7 +82,7 @@ def onboard(df: DataFrame, source_id: str, source_name=None, order_by=None, grai
     Row order defaults to the first time column, then the id columns.  The profile rows
     (one per column) are the only data collected.
     """
-    table = df if normalised else normalise(df)
+    table = df if normalised else normalise(df, order_by or ())
     profile = profiles.profile_columns(table, source_id, exact)
     described = read_roles(partner_columns(profile_roles(profile, mode)))
     spark = table.sparkSession
