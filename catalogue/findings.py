@@ -91,7 +91,8 @@ def kpi_rollup(t):
           FROM c WHERE abs(r) > 0.6
           UNION ALL SELECT 'l_shipdate', m, 'time_series', 0.8::DOUBLE,
                  m || ' can be trended over l_shipdate'
-          FROM (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey']) AS m)""")
+          FROM (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity',
+                               'l_extendedprice', 'l_discount', 'l_tax']) AS m)""")
 def relationships(t):
     # order and part numbers are measures here: the semantic id rule wants `_id` or `_key`
     lines = t["lineitem"]
@@ -145,15 +146,17 @@ def finding_context(t):
           FROM orders
           UNION ALL SELECT 'dist_o_orderstatus', count(DISTINCT o_orderstatus) FROM orders
           UNION ALL SELECT 'summary_stats', 3 UNION ALL SELECT 'correlation', 3
-          UNION ALL SELECT 'topn_' || m || '_o_orderpri', 5
-          FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalpri']) AS m)
-          UNION ALL SELECT 'topn_' || m || '_o_ordersta', 3
-          FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalpri']) AS m)
-          UNION ALL SELECT 'xtab_o_ordersta_o_orderpri', 3
+          UNION ALL SELECT 'topn_' || m || '_o_orderpriority', 5
+          FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS m)
+          UNION ALL SELECT 'topn_' || m || '_o_orderstatus', 3
+          FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS m)
+          UNION ALL SELECT 'xtab_o_orderstatus_o_orderpriority',
+            count(DISTINCT (o_orderstatus, o_orderpriority)) FROM orders
           UNION ALL SELECT 'hist_o_orderkey', 20 UNION ALL SELECT 'hist_o_custkey', 20
           UNION ALL SELECT 'hist_o_totalprice', 20
-          UNION ALL SELECT 'ts_o_orderdat_' || m || '_o_ordersta', 100
-          FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalpri']) AS m)""")
+          UNION ALL SELECT 'ts_o_orderdate_' || m || '_o_orderstatus',
+            (SELECT count(DISTINCT (o_orderdate, o_orderstatus)) FROM orders)
+          FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS m)""")
 def aggregation_block_rows(t):
     orders = t["orders"]
     blocks = aggregation_blocks(orders, table_roles(orders, "visual", "orders"))

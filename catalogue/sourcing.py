@@ -214,6 +214,14 @@ def rows_from_chunks(t):
                 "o_orderpriority string")
 
 
+@query("SELECT 'documents' AS source_id, '=' || text AS text, doc_id, lang FROM documents")
+def texts_from_chunks(t):
+    """Whole texts with line breaks and a leading equals sign, through chunks and back."""
+    docs = t["documents"].select(F.concat(F.lit("="), "text").alias("text"), "doc_id", "lang")
+    stored = chunk_ops.row_chunks(docs, ["doc_id"], "documents", "Documents")
+    return chunk_ops.rows_from_chunks(stored, docs.schema.simpleString()[7:-1].replace(":", " "))
+
+
 _CHUNKS_SQL = """
   SELECT source AS source_id, substring(md5(text), 1, 12) AS chunk_id,
          max(lang) AS chunk_type, max(length(text) // 4)::BIGINT AS token_count

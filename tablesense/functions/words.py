@@ -256,11 +256,6 @@ STOP_WORDS = [
 
 # --- fixed values: limits that are part of the results ---
 
-MAX_CATEGORY_VALUES = 50
-MAX_BLOCK_ROWS = 100
-MAX_GEO_VALUES = 500
-MAX_CROSS_VALUES = 30
-MAX_SERIES_VALUES = 15
 ROWS_PER_CHUNK = 50
 CONTEXT_TOKENS = 6000
 INDEX_TERMS = 3000

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablesense.functions import words
 from tablesense.functions.numbers import clean, pearson, percent, rounded
 from tablesense.functions.periods import period_order
 from tablesense.operators.quantiles import wide_quantiles
@@ -54,9 +53,9 @@ def distribution(df: DataFrame, column: str, of="present", digits=1) -> DataFram
         "value", "count", percent(F.col("count"), whole, digits).alias("pct"))
 
 
-def summary_stats(df: DataFrame, measures, max_measures=10) -> DataFrame:
+def summary_stats(df: DataFrame, measures) -> DataFrame:
     """count, sum, mean, min, max and sample deviation per measure, in one scan."""
-    chosen = list(measures)[:max_measures]
+    chosen = list(measures)
     aggs = []
     for i, m in enumerate(chosen):
         c = clean(df.schema, m)
@@ -76,7 +75,7 @@ def summary_stats(df: DataFrame, measures, max_measures=10) -> DataFrame:
 def describe(df: DataFrame, measures, digits=3) -> DataFrame:
     """count, mean, deviation, minimum, exact quartiles and maximum per measure."""
     quartiles = wide_quantiles(df, measures, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    stats = summary_stats(df, measures, len(measures))
+    stats = summary_stats(df, measures)
     joined = stats.join(quartiles, "column", "left")
     return joined.select("column", "count", *[
         rounded(F.col(c), digits).alias(c)
@@ -120,11 +119,11 @@ def trend_by(df: DataFrame, time: str, dim: str, measure: str, values, digits=No
         rounded(F.avg(clean(df.schema, measure)), digits))
 
 
-def time_series(df: DataFrame, time: str, measure: str, dim=None, dim_values=None) -> DataFrame:
-    """Block form: sum per (period, series), or sum, mean and count per period when
-    there is no dimension with few values."""
+def time_series(df: DataFrame, time: str, measure: str, dim=None) -> DataFrame:
+    """Block form: sum per (period, series), or sum, mean and count per period when no
+    dimension is given."""
     value = clean(df.schema, measure)
-    if dim is not None and (dim_values or 0) <= words.MAX_SERIES_VALUES:
+    if dim is not None:
         return _keyed(df, time, dim).groupBy(
             F.col(time).alias("period"), F.col(dim).cast("string").alias("series")
         ).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("value"))
@@ -147,12 +146,19 @@ def cross_tab(df: DataFrame, rows: str, cols: str, measure: str, values) -> Data
         F.sum(clean(df.schema, measure))).na.fill(0.0)
 
 
-def correlation_pairs(df: DataFrame, measures, digits=3, max_measures=8, max_rows=30) -> DataFrame:
+def cross_cells(df: DataFrame, rows: str, cols: str, measure: str) -> DataFrame:
+    """The cells of a cross-tab in long form, for columns with any number of values."""
+    return _keyed(df, rows, cols, measure).groupBy(
+        F.col(f"`{rows}`").alias("row"), F.col(f"`{cols}`").alias("col")
+    ).agg(F.sum(clean(df.schema, measure)).alias("value"))
+
+
+def correlation_pairs(df: DataFrame, measures, digits=3) -> DataFrame:
     """Pearson correlation of every pair of measures, strongest first, in one scan.
 
     The number of pairs depends on the number of measures, never on the data.
     """
-    cols = list(measures)[:max_measures]
+    cols = list(measures)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     row = df.agg(*[pearson(clean(df.schema, a), clean(df.schema, b)).alias(f"r{i}")
                    for i, (a, b) in enumerate(pairs)])
@@ -164,7 +170,7 @@ def correlation_pairs(df: DataFrame, measures, digits=3, max_measures=8, max_row
             for i, (a, b) in enumerate(pairs)])))
         .withColumn("strength",
                     F.when(r > 0.7, "strong").when(r > 0.4, "moderate").otherwise("weak"))
-        .orderBy(F.desc_nulls_last(r), "col_a", "col_b").limit(max_rows)
+        .orderBy(F.desc_nulls_last(r), "col_a", "col_b")
     )
 
 
@@ -185,13 +191,13 @@ def correlation_matrix(df: DataFrame, measures, digits=3) -> DataFrame:
         for a in cols])))
 
 
-def geo_aggregate(df: DataFrame, geo: str, measure: str, max_rows=words.MAX_BLOCK_ROWS) -> DataFrame:
+def geo_aggregate(df: DataFrame, geo: str, measure: str) -> DataFrame:
     """Sum, mean and count per place, largest sum first."""
     value = clean(df.schema, measure)
     return _keyed(df, geo).groupBy(F.col(geo).cast("string").alias("geo")).agg(
         F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"), F.avg(value).alias("mean"),
         F.count(value).alias("count")
-    ).orderBy(F.desc("sum"), "geo").limit(max_rows)
+    ).orderBy(F.desc("sum"), "geo")
 
 
 def histogram(df: DataFrame, measure: str, bins=20) -> DataFrame:
@@ -220,11 +226,11 @@ def histogram(df: DataFrame, measure: str, bins=20) -> DataFrame:
     ).join(placed, "bin", "left").na.fill(0, ["count"])
 
 
-def bin_aggregate(df: DataFrame, bin_col: str, measure: str, max_rows=50) -> DataFrame:
+def bin_aggregate(df: DataFrame, bin_col: str, measure: str) -> DataFrame:
     """Sum per value of an already binned column, in bin order."""
     return _keyed(df, bin_col).groupBy(F.col(bin_col).alias("bin")).agg(
         F.coalesce(F.sum(clean(df.schema, measure)), F.lit(0.0)).alias("value")
-    ).orderBy("bin").limit(max_rows)
+    ).orderBy("bin")
 
 
 def flag_summary(df: DataFrame, flag: str, measure: str, digits=4) -> DataFrame:
@@ -242,9 +248,9 @@ def distinct_values(df: DataFrame, dim: str) -> DataFrame:
     return _keyed(df, dim).select(dim).distinct()
 
 
-def kpi_cards(df: DataFrame, status, measures, max_measures=4) -> DataFrame:
-    """Summary cards: rows per status value, then mean and range of the first measures."""
-    cards = averages_with_range(df, list(measures)[:max_measures])
+def kpi_cards(df: DataFrame, status, measures) -> DataFrame:
+    """Summary cards: rows per status value, then mean and range of every measure."""
+    cards = averages_with_range(df, measures)
     if status is None:
         return cards
     shares = distribution(df, status, of="rows", digits=0).select(
@@ -255,7 +261,7 @@ def kpi_cards(df: DataFrame, status, measures, max_measures=4) -> DataFrame:
 
 
 def averages_with_range(df: DataFrame, measures) -> DataFrame:
-    return summary_stats(df, measures, len(measures)).select(
+    return summary_stats(df, measures).select(
         F.lit("measure").alias("card"), F.col("column").alias("label"),
         F.col("mean").alias("number"), F.col("min").alias("low"), F.col("max").alias("high"))
 
@@ -268,12 +274,12 @@ def kpi_rollup(signals: DataFrame) -> DataFrame:
           for s in ("breaching", "at_risk", "on_track")])
 
 
-def group_means(df: DataFrame, dims, measures, digits=4, max_dims=5, max_measures=3) -> DataFrame:
+def group_means(df: DataFrame, dims, measures, digits=4) -> DataFrame:
     """Mean of every measure per value of every dimension: one scan, one shuffle.
 
     Rows are unfolded by dimension and pre-aggregated before they move.
     """
-    dims, measures = list(dims)[:max_dims], list(measures)[:max_measures]
+    dims, measures = list(dims), list(measures)
     # unfolding before the aggregate keeps partial sums per (dimension, value)
     cells = [F.struct(F.lit(d).alias("dim"), F.col(f"`{d}`").cast("string").alias("dim_val"))
              for d in dims]

@@ -2,15 +2,16 @@
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesense.functions import words
+from tablesense.functions.periods import period_order
 from tablesense.functions.text import has_any
 from tablesense.operators import aggregate, ordered, select
+from tablesense.operators.indexing import dense_index
 from tablesense.operators.roles import TableRoles
 
-MAX_ANSWER_ROWS = 200  # fixed value: rows an answer may carry
-
 
 # --- reading a question ---------------------------------------------------------------
 
@@ -84,8 +85,7 @@ def resolve_questions(questions: DataFrame, roles: DataFrame, mode="prefix") ->
     classified = questions.withColumn("intent", classify_intent(q, mode))
     return classified.join(per_source, "source_id", "left").select(
         "source_id", "question_id", "question", "intent",
-        F.least(extract_n(q, F.when(F.col("intent") == "ranking", 10).otherwise(5)),
-                F.lit(MAX_ANSWER_ROWS)).alias("n"),
+        extract_n(q, F.when(F.col("intent") == "ranking", 10).otherwise(5)).alias("n"),
         resolve_column(q, F.col("_measures")).alias("measure"),
         resolve_column(q, F.col("_dims")).alias("dim"),
         F.get("_times", F.lit(0)).alias("time_col"),
@@ -105,19 +105,16 @@ class Ask:
     n: int
 
 
-def _rows(df: DataFrame, label, value, series="value", order=()) -> DataFrame:
-    """Tidy (row_no, label, series, value), at most MAX_ANSWER_ROWS rows."""
-    order = list(order) or [F.asc("label"), F.asc("series")]
-    tidy = df.select(
-        label.cast("string").alias("label"),
+def _rows(df: DataFrame, label, value, series="value", rank=None, tie=None) -> DataFrame:
+    """Tidy (label, series, value) rows with their order: `_rank` (a column, least first,
+    nulls last), then `_tie` (the label unless given), then the series."""
+    label = label.cast("string")
+    return df.select(
+        label.alias("label"),
         (F.lit(series) if isinstance(series, str) else series.cast("string")).alias("series"),
-        value.cast("double").alias("value"))
-    top = tidy.orderBy(*order).limit(MAX_ANSWER_ROWS)
-    return top.withColumn("row_no", F.row_number().over(Window.orderBy(*order)))
-
-
-def _desc():
-    return [F.desc_nulls_last("value"), F.asc("label")]
+        value.cast("double").alias("value"),
+        (F.lit(0.0) if rank is None else rank.cast("double")).alias("_rank"),
+        (label if tie is None else tie).alias("_tie"))
 
 
 def _threshold_pairs(roles: TableRoles):
@@ -144,7 +141,7 @@ def answer_rag(df, roles, ask):
     matched = _rows(counted, F.col(status), F.col("c"), "matching")
     # with no status word found in the data the answer is the distribution
     none = counted.agg(F.count(F.lit(1)) == 0).scalar()
-    spread = _rows(shares, F.col("value"), F.col("count"), "count", _desc())
+    spread = _rows(shares, F.col("value"), F.col("count"), "count", -F.col("count"))
     return matched.unionByName(spread.where(none))
 
 
@@ -152,11 +149,12 @@ def answer_trend(df, roles, ask):
     if not roles.times or ask.measure is None:
         return None
     time = roles.times[0]
-    if ask.dim and roles.unique(ask.dim) <= words.MAX_CROSS_VALUES:
+    if ask.dim:
         means = df.dropna(subset=[time, ask.dim, ask.measure]).groupBy(time, ask.dim).agg(
             F.avg(ask.measure).alias("m"))
-        return _rows(means, F.col(time), F.col("m"), F.col(ask.dim))
-    return _rows(aggregate.trend(df, time, ask.measure), F.col(time), F.col("mean"), ask.measure)
+        return _rows(means, F.col(time), F.col("m"), F.col(ask.dim), period_order(df, time))
+    return _rows(aggregate.trend(df, time, ask.measure), F.col(time), F.col("mean"), ask.measure,
+                 period_order(df, time))
 
 
 def _extreme(df, roles, ask, highest):
@@ -164,21 +162,28 @@ def _extreme(df, roles, ask, highest):
         return None
     keys = roles.names("id") or [c for c in df.columns if c != ask.measure]
     pick = ordered.highest if highest else ordered.lowest
-    rows = pick(df, ask.measure, ask.n, keys)
-    label = F.col(roles.dimensions[0]) if roles.dimensions else F.concat_ws(
-        "/", *[F.col(k).cast("string") for k in keys])
-    tied = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    direction = F.desc_nulls_last if highest else F.asc_nulls_last
-    order = [direction("value"), F.asc("_key")]
-    tidy = rows.select(label.cast("string").alias("label"), F.lit(ask.measure).alias("series"),
-                       F.col(ask.measure).cast("double").alias("value"), tied.alias("_key"))
-    return tidy.withColumn("row_no", F.row_number().over(Window.orderBy(*order))).drop("_key")
+    tied = F.concat_ws("/", *[F.col(f"`{k}`").cast("string") for k in keys])
+    # rows are picked and numbered in one order, ties included
+    rows = pick(df.withColumn("_tied", tied), ask.measure, ask.n, ["_tied"])
+    label = F.col(f"`{roles.dimensions[0]}`") if roles.dimensions else F.col("_tied")
+    value = F.col(f"`{ask.measure}`").cast("double")
+    return _rows(rows, label, value, ask.measure, -value if highest else value, F.col("_tied"))
 
 
 def answer_highest(df, roles, ask):
     return _extreme(df, roles, ask, True)
 
 
+def answer_ranking(df, roles, ask):
+    """The best rows of the measure, or without one the first rows by their keys."""
+    if ask.measure is not None:
+        return _extreme(df, roles, ask, True)
+    keys = roles.names("id") or list(df.columns)
+    tied = F.concat_ws("/", *[F.col(f"`{k}`").cast("string") for k in keys])
+    rows = ordered.ranking(df.withColumn("_tied", tied), None, ask.n, ["_tied"])
+    return _rows(rows, F.col("_tied"), F.lit(None), "row")
+
+
 def answer_lowest(df, roles, ask):
     return _extreme(df, roles, ask, False)
 
@@ -204,7 +209,7 @@ def answer_count_sum(df, roles, ask):
     else:
         return _rows(aggregate.count_rows(df), F.lit("rows"), F.col("count"), "count")
     return _rows(aggregate.count_by(df, column), F.col(column), F.col("count"), "count",
-                 _desc())
+                 -F.col("count"))
 
 
 def answer_variance(df, roles, ask):
@@ -225,7 +230,7 @@ def answer_distribution(df, roles, ask):
     if column is None:
         return answer_summary(df, roles, ask)
     shares = aggregate.distribution(df, column, of="rows")
-    return _rows(shares, F.col("value"), F.col("count"), "count", _desc())
+    return _rows(shares, F.col("value"), F.col("count"), "count", -F.col("count"))
 
 
 def answer_compare(df, roles, ask):
@@ -246,7 +251,7 @@ def answer_correlation(df, roles, ask):
         return None
     pairs = aggregate.correlation_pairs(df, roles.measures)
     return _rows(pairs, F.concat("col_a", F.lit("↔"), "col_b"), F.col("correlation"),
-                 "correlation", [F.desc_nulls_last(F.abs("value")), F.asc("label")])
+                 "correlation", -F.abs("correlation"))
 
 
 def answer_summary(df, roles, ask):
@@ -263,7 +268,7 @@ HANDLERS = {
     "highest": answer_highest, "lowest": answer_lowest, "average": answer_average,
     "count_sum": answer_count_sum, "variance": answer_variance,
     "distribution": answer_distribution, "compare": answer_compare,
-    "ranking": answer_highest, "outliers": answer_outliers,
+    "ranking": answer_ranking, "outliers": answer_outliers,
     "correlation": answer_correlation, "summary": answer_summary,
 }
 # fixed values: chart shape per intent, and confidence where it is not 1
@@ -275,6 +280,8 @@ CHARTS = {
 }
 MISSING_CONFIDENCE = {"rag_filter": 0.5, "variance": 0.3}
 NO_COLUMN_CONFIDENCE = 0.4
+UNRANKED_CONFIDENCE = 0.7  # a ranking without a measure
+FAILED_CONFIDENCE = 0.3
 
 
 def _detail(low: Column) -> Column:
@@ -313,33 +320,44 @@ def answer_questions(df: DataFrame, roles: TableRoles, resolved: DataFrame) -> D
 
     Only the distinct combinations come to the driver; their number is bounded by
     intents × columns, whatever the number of questions.  Each runs once, with the
-    largest n asked for, and its rows are joined back to the questions.
+    largest n asked for, and its rows are joined back to the questions.  The rows of all
+    are numbered together in one distributed sort.  A handler that cannot be planned
+    costs its own answer only.
     """
     planned = plan_questions(resolved)
     keys = ["intent", "measure", "dim", "detail"]
     combos = planned.groupBy(*keys).agg(F.max("n").alias("n")).orderBy(*keys).collect()
     parts = []
-    for c in combos:
+    for i, c in enumerate(combos):
         ask = Ask(c["intent"], c["measure"], c["dim"], c["detail"], c["n"] or 0)
-        rows = HANDLERS[ask.intent](df, roles, ask)
+        missing = MISSING_CONFIDENCE.get(ask.intent, NO_COLUMN_CONFIDENCE)
+        try:
+            rows = HANDLERS[ask.intent](df, roles, ask)
+        except (PySparkException, LookupError, ValueError):
+            rows, missing = None, FAILED_CONFIDENCE
         confidence = 1.0
         if rows is None:
-            confidence = MISSING_CONFIDENCE.get(ask.intent, NO_COLUMN_CONFIDENCE)
+            confidence = missing
             rows = df.sparkSession.range(1).select(
                 F.lit(None).cast("string").alias("label"),
                 F.lit(None).cast("string").alias("series"),
-                F.lit(None).cast("double").alias("value"), F.lit(1).alias("row_no"))
+                F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("_rank"),
+                F.lit("").alias("_tie"))
+        elif ask.intent == "ranking" and ask.measure is None:
+            confidence = UNRANKED_CONFIDENCE
         elif ask.intent == "variance" and not any(r["previous_partner"] for r in roles.rows):
             confidence = 0.7
         parts.append(rows.select(
-            *[F.lit(v).cast("string").alias(f"_{k}") for k, v in
+            F.lit(i).alias("_combo"), *[F.lit(v).cast("string").alias(f"_{k}") for k, v in
               zip(keys, (ask.intent, ask.measure, ask.dim, ask.detail))],
-            F.lit(confidence).alias("confidence"), "row_no", "label", "series", "value"))
+            F.lit(confidence).alias("confidence"), "label", "series", "value", "_rank", "_tie"))
     if not parts:
         raise ValueError("no questions to answer")
     answers = parts[0]
     for part in parts[1:]:
         answers = answers.unionByName(part)
+    answers = dense_index(answers, [F.asc_nulls_last("_rank"), "_tie", "series"], ["_combo"]
+                          ).withColumn("row_no", F.col("row_no") + 1)
     on = None
     for k in keys:
         same = planned[k].eqNullSafe(answers[f"_{k}"])

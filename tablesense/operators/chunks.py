@@ -115,17 +115,20 @@ def table_chunks(df: DataFrame, profile: DataFrame, roles: TableRoles, order_by,
 
 
 def rows_from_chunks(chunks: DataFrame, schema) -> DataFrame:
-    """Row chunks back to rows: banners and header lines are skipped, the rest parsed.
+    """Row chunks back to rows, each chunk on its own, so nothing is gathered.
 
-    Each chunk is parsed on its own, so nothing is gathered.  Values with line breaks
-    are quoted over several lines and cannot be told apart here.
+    The first line is the banner, the second the header, and the last line break ends
+    the last row; every line between is a row, whatever it holds.
     """
-    lines = chunks.where(F.col("chunk_type") == "rows").select(
-        "source_id", F.posexplode(F.filter(
-            F.split("content", "\n"), lambda x: ~x.startswith("=") & (x != ""))).alias("_i", "_line"))
-    parsed = lines.where(F.col("_i") > 0).select(
-        "source_id", F.from_csv("_line", schema).alias("_row"))
-    return parsed.select("source_id", "_row.*")
+    lines = F.split("content", "\n")
+    rows = chunks.where(F.col("chunk_type") == "rows").select(
+        "source_id", F.explode(F.slice(lines, F.lit(3), F.size(lines) - 3)).alias("_line"))
+    parsed = rows.select(
+        "source_id", F.from_csv("_line", schema, ordered.CSV_LINES).alias("_row"))
+    texts = {f.name for f in parsed.schema["_row"].dataType if f.dataType.simpleString() == "string"}
+    cell = lambda c: ordered.many_lines(F.col(f"_row.`{c}`")) if c in texts else F.col(f"_row.`{c}`")
+    return parsed.select(
+        "source_id", *[cell(f.name).alias(f.name) for f in parsed.schema["_row"].dataType])
 
 
 def budgeted_context(chunks: DataFrame, max_tokens=words.CONTEXT_TOKENS,

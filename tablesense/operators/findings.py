@@ -14,10 +14,10 @@ def _union(parts) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def entities(df: DataFrame, dims, max_dims=8) -> DataFrame:
+def entities(df: DataFrame, dims) -> DataFrame:
     """Per dimension: what kind of thing it names, its five most frequent values, how
     many rows name one, and an importance between 0 and 1."""
-    dims = list(dims)[:max_dims]
+    dims = list(dims)
     cells = [F.struct(F.lit(d).alias("name"), F.col(f"`{d}`").cast("string").alias("value"))
              for d in dims]
     counts = df.select(F.inline(F.array(*cells))).groupBy("name", "value").agg(
@@ -42,10 +42,10 @@ def entities(df: DataFrame, dims, max_dims=8) -> DataFrame:
         F.round(importance, 3).alias("importance"))
 
 
-def kpi_signals(df: DataFrame, roles: TableRoles, order_by, max_measures=8) -> DataFrame:
+def kpi_signals(df: DataFrame, roles: TableRoles, order_by) -> DataFrame:
     """Per measure: current and previous value, threshold, direction, status, trend,
     change and where the current value stands among all of them."""
-    measures, thresholds = roles.measures[:max_measures], roles.thresholds
+    measures, thresholds = roles.measures, roles.thresholds
 
     def partner(m):
         near = [t for t in thresholds if t.lower()[:4] == m.lower()[:4]
@@ -82,7 +82,7 @@ def kpi_signals(df: DataFrame, roles: TableRoles, order_by, max_measures=8) -> D
         "pct_change", "percentile")
 
 
-def relationships(df: DataFrame, roles: TableRoles, max_rows=15) -> DataFrame:
+def relationships(df: DataFrame, roles: TableRoles) -> DataFrame:
     """Threshold gaps, correlations, hierarchies and time series, strongest first."""
     measures, thresholds, dims = roles.measures, roles.thresholds, roles.dimensions
     parts = []
@@ -96,18 +96,18 @@ def relationships(df: DataFrame, roles: TableRoles, max_rows=15) -> DataFrame:
             .alias("note")))
     if len(measures) >= 2:
         r = F.col("correlation")
-        parts.append(aggregate.correlation_pairs(df, measures, None, 6).where(F.abs(r) > 0.6)
+        parts.append(aggregate.correlation_pairs(df, measures, None).where(F.abs(r) > 0.6)
                      .select("col_a", "col_b", F.lit("correlation").alias("rel_type"),
                              F.round(F.abs(r), 3).alias("strength"),
                              F.format_string("r=%.2f (%s correlation)", r,
                                              F.when(r > 0, "positive").otherwise("negative"))
                              .alias("note")))
     if len(dims) >= 2:
-        parts.append(structure.hierarchies(df, dims[:5]).select(
+        parts.append(structure.hierarchies(df, dims).select(
             F.col("parent").alias("col_a"), F.col("child").alias("col_b"),
             F.lit("hierarchy").alias("rel_type"), F.lit(0.9).alias("strength"),
             F.concat("parent", F.lit(" is a parent of "), "child").alias("note")))
-    over_time = [(t, m) for t in roles.times[:2] for m in measures[:3]]
+    over_time = [(t, m) for t in roles.times for m in measures]
     if over_time:
         row = df.sparkSession.range(1)
         parts.append(row.select(F.inline(F.array(*[
@@ -115,7 +115,7 @@ def relationships(df: DataFrame, roles: TableRoles, max_rows=15) -> DataFrame:
                      F.lit("time_series").alias("rel_type"), F.lit(0.8).alias("strength"),
                      F.lit(f"{m} can be trended over {t}").alias("note"))
             for t, m in over_time]))))
-    return _union(parts).orderBy(F.desc("strength"), "rel_type", "col_a", "col_b").limit(max_rows)
+    return _union(parts).orderBy(F.desc("strength"), "rel_type", "col_a", "col_b")
 
 
 TEMPORAL_SCHEMA = (
@@ -124,10 +124,10 @@ TEMPORAL_SCHEMA = (
     "baseline_val double, pct_change double, is_seasonal boolean")
 
 
-def temporal_patterns(df: DataFrame, roles: TableRoles, grain=None, max_times=2) -> DataFrame:
-    """Patterns of the first measures over the first time columns."""
+def temporal_patterns(df: DataFrame, roles: TableRoles, grain=None) -> DataFrame:
+    """Patterns of every measure over every time column."""
     return _union([ordered.temporal_patterns(df, t, roles.measures, grain)
-                   for t in roles.times[:max_times]])
+                   for t in roles.times])
 
 
 _SIGNAL = ("signal_type", "severity", "description", "column", "affected_rows", "value",
@@ -135,7 +135,7 @@ _SIGNAL = ("signal_type", "severity", "description", "column", "affected_rows",
 
 
 def anomaly_signals(df: DataFrame, roles: TableRoles, profile: DataFrame, kpis: DataFrame,
-                    grain=None, max_rows=12) -> DataFrame:
+                    grain=None, max_rows=None) -> DataFrame:
     """Breaching KPIs, outliers, missing data and reversals, most severe first."""
     n_rows = profile.agg(F.max("n_rows")).scalar()
     value = format_fact(F.col("current_val"))
@@ -187,10 +187,10 @@ def narrative(source_name: str, roles: TableRoles, kpis: DataFrame, temporal: Da
     n_rows, n_cols = roles.n_rows, len(roles.rows)
     head = f"{source_name} contains {n_rows:,} records across {n_cols} fields. "
     if roles.dimensions:
-        head += f"Key dimensions: {', '.join(roles.dimensions[:4])}. "
+        head += f"Key dimensions: {', '.join(roles.dimensions)}. "
     if roles.measures:
-        head += f"Measures tracked: {', '.join(roles.measures[:4])}. "
-    # KPI signals number at most eight rows
+        head += f"Measures tracked: {', '.join(roles.measures)}. "
+    # KPI signals are one row per measure
     state = kpis.agg(
         F.sort_array(F.collect_list(F.when(F.col("status") == "breaching", F.col("name"))))
         .alias("b"),
@@ -199,7 +199,7 @@ def narrative(source_name: str, roles: TableRoles, kpis: DataFrame, temporal: Da
     kpi_text = state.select(F.concat(
         F.when(F.size("b") > 0, F.concat(
             F.size("b").cast("string"), F.lit(" KPI(s) are currently breaching thresholds ("),
-            F.array_join(F.slice("b", 1, 3), ", "), F.lit("). "))).otherwise(F.lit("")),
+            F.array_join("b", ", "), F.lit("). "))).otherwise(F.lit("")),
         F.when(F.col("r") > 0, F.concat(F.col("r").cast("string"),
                                         F.lit(" KPI(s) are at risk. "))).otherwise(F.lit("")),
         F.when(F.col("t") > 0, F.concat(F.col("t").cast("string"),
@@ -220,18 +220,17 @@ def narrative(source_name: str, roles: TableRoles, kpis: DataFrame, temporal: Da
 
 def insights(anomalies: DataFrame, kpis: DataFrame, temporal: DataFrame,
              summary: DataFrame) -> DataFrame:
-    """Insight cards: the narrative, up to five anomalies, three breaching KPIs and the
-    strong trends among the first two."""
+    """Insight cards: the narrative, the anomalies, the breaching KPIs and the strong
+    trends."""
     color = (F.when(F.col("severity").isin("critical", "high"), "red")
              .when(F.col("severity") == "medium", "amber").otherwise("blue"))
     card = lambda df, group, kind, severity, shade, title, detail, category: df.select(
         F.lit(group).alias("card_group"), kind.alias("type"), severity.alias("severity"),
         shade.alias("color"), title.alias("title"), detail.alias("detail"),
         F.lit(category).alias("category"))
-    top = ordered.by_severity(anomalies, 5, ("signal_type", "column"))
-    breaching = kpis.where(F.col("status") == "breaching").orderBy("name").limit(3)
-    trends = temporal.orderBy("time_col", "measure_col").limit(2).where(
-        F.abs("pct_change") > 10)
+    top = anomalies
+    breaching = kpis.where(F.col("status") == "breaching")
+    trends = temporal.where(F.abs("pct_change") > 10)
     return _union([
         card(summary, 0, F.lit("summary"), F.lit("info"), F.lit("blue"),
              F.lit("Dashboard Summary"), F.col("narrative"), "summary"),
@@ -253,15 +252,16 @@ def insights(anomalies: DataFrame, kpis: DataFrame, temporal: DataFrame,
     ]).orderBy("card_group", "title")
 
 
-def context_text(sections, max_chars=6000) -> DataFrame:
-    """Finding tables as one capped text: `sections` is a list of (title, one-column
-    DataFrame of lines, row limit) in priority order."""
+def context_text(sections, max_chars=None) -> DataFrame:
+    """Finding tables as one text: `sections` is a list of (title, one-column DataFrame
+    of lines, row limit or None) in priority order; `max_chars` cuts the text."""
     parts = []
     for title, lines, n in sections:
         column = lines.columns[0]
-        gathered = lines.limit(n).agg(
+        gathered = (lines if n is None else lines.limit(n)).agg(
             F.array_join(F.collect_list(F.concat(F.lit("  "), column)), "\n").alias("body"))
         body = gathered.select("body").scalar()
         parts.append(F.when(F.length(body) > 0, F.concat(F.lit(f"{title}:\n"), body)))
     row = sections[0][1].sparkSession.range(1)
-    return row.select(F.substring(F.concat_ws("\n\n", *parts), 1, max_chars).alias("context"))
+    text = F.concat_ws("\n\n", *parts)
+    return row.select((text if max_chars is None else F.substring(text, 1, max_chars)).alias("context"))

@@ -23,23 +23,36 @@ def dense_index(df: DataFrame, order_by, within=(), name="row_no") -> DataFrame:
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS)).alias("_pos"),
     )
+    if within:
+        return _within_groups(df, stored, within, name)
     # One row per partition: a window without keys is bounded by the partition count.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored.groupBy("_part").count().select(
         "_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset")
     )
     # The offsets are one row per partition, which bounds the broadcast.
-    numbered = stored.join(F.broadcast(offsets), "_part").withColumn(
+    return stored.join(F.broadcast(offsets), "_part").withColumn(
         name, F.col("_offset") + F.col("_pos")
     ).drop("_part", "_pos", "_offset")
-    if not within:
-        return numbered
-    starts = numbered.groupBy(
-        *[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(within)]
-    ).agg(F.min(name).alias("_start"))
-    same_group = None
-    for i, c in enumerate(within):
-        same = F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}"))
-        same_group = same if same_group is None else same_group & same
-    return numbered.join(starts, same_group).select(
-        *df.columns, (F.col(name) - F.col("_start")).alias(name))
+
+
+def _within_groups(df: DataFrame, stored: DataFrame, within, name: str) -> DataFrame:
+    """Numbers that restart per group.
+
+    The sort keeps a group's rows together, so a row's number is its distance from the
+    group's first row in its partition plus the group's rows in earlier partitions.  The
+    join is on partition and group: a group of any size meets its counts in pieces.
+    """
+    groups = [f"_g{i}" for i in range(len(within))]
+    earlier = Window.partitionBy(*groups).orderBy("_p").rowsBetween(
+        Window.unboundedPreceding, -1)
+    pieces = stored.groupBy(
+        F.col("_part").alias("_p"), *[F.col(f"`{c}`").alias(g) for c, g in zip(within, groups)]
+    ).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")).select(
+        "_p", *groups,
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for c, g in zip(within, groups):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(g))
+    return stored.join(pieces, same).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("_pos") + F.col("_shift")).alias(name))

@@ -13,6 +13,7 @@ from tablesense.operators.indexing import dense_index
 from tablesense.operators.profile import estimate_distinct
 
 _WINDOW_PERIODS = 100_000  # periods one window task may order
+_CALENDAR = ("day", "week", "month", "quarter", "year")  # few periods by nature
 
 
 def _ordered(df: DataFrame, order_by):
@@ -99,8 +100,8 @@ def trend_label(direction: Column, pct_change: Column, slope: Column, std: Colum
 def period_rows(df: DataFrame, time: str, measures, grain=None) -> DataFrame:
     """Mean per period and measure with the period's ordinal and the mean before it.
 
-    Periods are few in practice and are ordered in one window per measure; when a raw
-    timestamp has more than 100,000 of them, they are numbered with a distributed sort
+    Periods are few in practice and are ordered in one window per measure; where a
+    raw timestamp or a grain finer than a day has more than 100,000 of them, they are numbered with a distributed sort
     and looked up by number instead.
     """
     period = F.col(f"`{time}`") if grain is None else F.date_trunc(grain, F.col(f"`{time}`"))
@@ -112,7 +113,7 @@ def period_rows(df: DataFrame, time: str, measures, grain=None) -> DataFrame:
              for i, m in enumerate(measures)]
     rows = means.select("_key", F.col("_period").alias("period"), F.inline(F.array(*cells))).where(
         F.col("mean").isNotNull())
-    if grain is not None or estimate_distinct(df, [time])[time] <= _WINDOW_PERIODS:
+    if grain in _CALENDAR or estimate_distinct(source, ["_period"])["_period"] <= _WINDOW_PERIODS:
         by_period = Window.partitionBy("measure").orderBy("_key", "period")
         return rows.select(
             "*", (F.row_number().over(by_period) - 1).cast("long").alias("ordinal"),
@@ -123,11 +124,10 @@ def period_rows(df: DataFrame, time: str, measures, grain=None) -> DataFrame:
     return numbered.join(before, ["measure", "ordinal"], "left")
 
 
-def temporal_patterns(df: DataFrame, time: str, measures, grain=None, max_measures=4,
-                      digits=4) -> DataFrame:
+def temporal_patterns(df: DataFrame, time: str, measures, grain=None, digits=4) -> DataFrame:
     """Per measure: first and latest period mean, change, slope over periods, direction
     and whether the steps vary strongly."""
-    rows = period_rows(df, time, list(measures)[:max_measures], grain).withColumn(
+    rows = period_rows(df, time, list(measures), grain).withColumn(
         "step", F.col("mean") - F.col("prev_mean"))
     stats = rows.groupBy("measure").agg(
         F.count(F.lit(1)).alias("n_periods"),
@@ -154,9 +154,9 @@ def temporal_patterns(df: DataFrame, time: str, measures, grain=None, max_measur
         .alias("is_seasonal"))
 
 
-def trend_reversals(df: DataFrame, time: str, measures, grain=None, max_measures=3) -> DataFrame:
+def trend_reversals(df: DataFrame, time: str, measures, grain=None) -> DataFrame:
     """Measures whose last step runs against the slope before it, by over twice its size."""
-    rows = period_rows(df, time, list(measures)[:max_measures], grain)
+    rows = period_rows(df, time, list(measures), grain)
     last = rows.groupBy("measure").agg(
         F.max("ordinal").alias("last"), F.count(F.lit(1)).alias("n_periods"),
         F.max_by("mean", "ordinal").alias("last_val"),
@@ -205,10 +205,9 @@ def ranking(df: DataFrame, measure=None, n=10, tie_break=()) -> DataFrame:
     return highest(df, measure, n, tie_break)
 
 
-def top_rows(df: DataFrame, measures, dims, n=3, tie_break=(), max_measures=3,
-             max_dims=3) -> DataFrame:
+def top_rows(df: DataFrame, measures, dims, n=3, tie_break=()) -> DataFrame:
     """The n best rows of each measure with their dimension values."""
-    dims, measures = list(dims)[:max_dims], list(measures)[:max_measures]
+    dims, measures = list(dims), list(measures)
     tie_break = list(tie_break)
     keep = list(dict.fromkeys([*dims, *tie_break]))
     best = Window.partitionBy("column").orderBy(F.desc("v"), *tie_break)
@@ -218,20 +217,42 @@ def top_rows(df: DataFrame, measures, dims, n=3, tie_break=(), max_measures=3,
         .select(F.col("column").alias("measure"), "place", F.col("v").alias("value"), *dims))
 
 
+CSV_LINES = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def one_line(text: Column) -> Column:
+    """A text without line breaks: backslash, line feed and return are escaped, and an
+    empty text is `\\0`, which a CSV field tells from null."""
+    for raw, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(raw), F.lit(escaped))
+    return F.when(text == "", "\\0").otherwise(text)
+
+
+def many_lines(text: Column) -> Column:
+    """The text that `one_line` escaped."""
+    plain = lambda part: F.replace(
+        F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.when(text != "\\0", F.array_join(
+        F.transform(F.split(text, r"\\\\"), plain), "\\")).when(text.isNotNull(), "")
+
+
 def row_batches(df: DataFrame, order_by, source_id=None, rows_per_chunk=words.ROWS_PER_CHUNK,
                 source_column=None) -> DataFrame:
     """Rows in `order_by` order as CSV chunks of `rows_per_chunk`, per source.
 
-    Each chunk has a banner, a header line and its rows; the numbering is global per
+    Each chunk has a banner, a header line and its rows, one line each (`one_line`);
+    the numbering is global per
     source, and every chunk is built from its own few rows.
     """
     within = [source_column] if source_column else []
     data = [c for c in df.columns if c != source_column]
     numbered = dense_index(df, order_by, within=within, name="_no")
     source = F.col(source_column) if source_column else F.lit(source_id)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    cell = lambda c: one_line(F.col(f"`{c}`")) if kinds[c] == "string" else F.col(f"`{c}`")
     lines = numbered.select(
         source.cast("string").alias("source_id"), "_no",
-        F.to_csv(F.struct(*[F.col(f"`{c}`") for c in data])).alias("_line"))
+        F.to_csv(F.struct(*[cell(c).alias(c) for c in data]), CSV_LINES).alias("_line"))
     sizes = lines.groupBy("source_id").agg(F.count(F.lit(1)).alias("total"))
     batches = lines.withColumn("batch_no", F.floor(F.col("_no") / rows_per_chunk)).groupBy(
         "source_id", "batch_no"
@@ -259,5 +280,6 @@ def by_status(signals: DataFrame) -> DataFrame:
     return signals.orderBy(rank_in("status", words.STATUS_ORDER), "name")
 
 
-def by_severity(signals: DataFrame, n=12, tie_break=()) -> DataFrame:
-    return signals.orderBy(rank_in("severity", words.SEVERITY_ORDER), *tie_break).limit(n)
+def by_severity(signals: DataFrame, n=None, tie_break=()) -> DataFrame:
+    ranked = signals.orderBy(rank_in("severity", words.SEVERITY_ORDER), *tie_break)
+    return ranked if n is None else ranked.limit(n)

@@ -13,7 +13,7 @@ def _leftovers(left: DataFrame, right: DataFrame, keys, column_map) -> DataFrame
     cols = list(column_map)
     l = left.select(*keys, *cols, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
     r = right.select(
-        *keys, *[F.col(f"`{column_map[c]}`").cast(left.schema[c].dataType).alias(c)
+        *keys, *[F.col(f"`{column_map[c]}`").try_cast(left.schema[c].dataType).alias(c)
                  for c in cols],
         F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     rows = l.unionByName(r).groupBy(*keys, *cols).agg(

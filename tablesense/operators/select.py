@@ -70,13 +70,13 @@ def rag_rows(df: DataFrame, status: str, question: str) -> DataFrame:
 
 
 def breach_analysis(df: DataFrame, value: str, threshold: str, keep=(), direction=None,
-                    order_by=None, max_rows=50) -> DataFrame:
-    """Breaching rows with their absolute gap, widest first, `max_rows` of them."""
+                    order_by=None, max_rows=None) -> DataFrame:
+    """Breaching rows with their absolute gap, widest first; all, or `max_rows` of them."""
     v, t = clean(df.schema, value), clean(df.schema, threshold)
     order = order_by or [F.desc("_gap"), *keep]
-    return breach_rows(df, value, threshold, direction).select(
-        *keep, value, threshold, F.round(F.abs(v - t), 4).alias("_gap")
-    ).orderBy(*order).limit(max_rows)
+    rows = breach_rows(df, value, threshold, direction).select(
+        *keep, value, threshold, F.round(F.abs(v - t), 4).alias("_gap")).orderBy(*order)
+    return rows if max_rows is None else rows.limit(max_rows)
 
 
 def breach_summary(df: DataFrame, value: str, threshold: str, direction=None) -> DataFrame:
@@ -102,9 +102,9 @@ def iqr_outliers(df: DataFrame, measure: str, k=1.5) -> DataFrame:
     return df.where((v < fences["lo"]) | (v > fences["hi"]))
 
 
-def iqr_anomalies(df: DataFrame, measures, k=2.5, max_measures=5) -> DataFrame:
+def iqr_anomalies(df: DataFrame, measures, k=2.5) -> DataFrame:
     """Per measure with outliers: how many, the three farthest, fences and severity."""
-    chosen = list(measures)[:max_measures]
+    chosen = list(measures)
     # one row per measure: bounded whatever the data size
     bounds = F.broadcast(iqr_bounds(df, chosen, k))
     values = long_measures(df, chosen)

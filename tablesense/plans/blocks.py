@@ -4,7 +4,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.functions import words
 from tablesense.operators import aggregate, select
 from tablesense.operators.roles import TableRoles
 
@@ -19,71 +18,61 @@ class Block:
     data: DataFrame
 
 
-def _values(roles: TableRoles, df: DataFrame, column: str) -> list:
-    """The value list of a column known to hold few values."""
-    rows = aggregate.distinct_values(df, column).orderBy(column).collect()
-    return [r[0] for r in rows]
-
-
 def aggregation_blocks(df: DataFrame, roles: TableRoles) -> list[Block]:
     """All blocks that fit a table with visual roles.  Nothing runs until a block is
-    read; only value lists of columns with at most 30 values are looked up here."""
+    read; every block has all its rows."""
     dims, meas = roles.dimensions, roles.measures
     times, stats, thresholds = roles.times, roles.statuses, roles.thresholds
     geos, bins, flags = (roles.names(r) for r in ("geographic", "bin", "boolean"))
-    few = lambda c, n=words.MAX_CATEGORY_VALUES: roles.unique(c) <= n
     out = []
     if meas:
         out.append(Block("summary_stats", "kpi", "Summary Statistics (all measures)",
                          aggregate.summary_stats(df, meas)))
-    for c in dims[:6] + stats[:3]:
-        if few(c):
-            out.append(Block(f"dist_{c[:20]}", "dist",
-                             f"Distribution: {c} ({roles.unique(c)} unique values)",
-                             aggregate.distribution(df, c).orderBy(F.desc("count"), "value")))
-    for t in times[:2]:
-        for m in meas[:4]:
-            series = dims[0] if dims and few(dims[0], words.MAX_SERIES_VALUES) else None
-            data = aggregate.time_series(df, t, m, series, roles.unique(series) if series else None)
-            suffix = f"_{series[:10]}" if series else ""
+    for c in dims + stats:
+        out.append(Block(f"dist_{c}", "dist",
+                         f"Distribution: {c} ({roles.unique(c)} unique values)",
+                         aggregate.distribution(df, c).orderBy(F.desc("count"), "value")))
+    series = dims[0] if dims else None
+    for t in times:
+        for m in meas:
+            data = aggregate.time_series(df, t, m, series)
+            suffix = f"_{series}" if series else ""
             order = ["period", "series"] if series else ["period"]
-            out.append(Block(f"ts_{t[:10]}_{m[:10]}{suffix}", "trend",
+            out.append(Block(f"ts_{t}_{m}{suffix}", "trend",
                              f"Trend: {m} over {t}" + (f" by {series}" if series else ""),
-                             data.orderBy(*order).limit(words.MAX_BLOCK_ROWS)))
-    for m in meas[:4]:
-        for d in dims[:3]:
-            if few(d):
-                out.append(Block(f"topn_{m[:10]}_{d[:10]}", "top_n", f"Top 10: {m} by {d}",
-                                 aggregate.top_n(df, m, d)))
-    if len(dims) >= 2 and meas and all(few(d, words.MAX_CROSS_VALUES) for d in dims[:2]):
+                             data.orderBy(*order)))
+    for m in meas:
+        for d in dims:
+            out.append(Block(f"topn_{m}_{d}", "top_n", f"Top 10: {m} by {d}",
+                             aggregate.top_n(df, m, d)))
+    if len(dims) >= 2 and meas:
         a, b = dims[:2]
-        out.append(Block(f"xtab_{a[:10]}_{b[:10]}", "cross",
-                         f"Cross-tab: {meas[0]} by {a} × {b}",
-                         aggregate.cross_tab(df, a, b, meas[0], _values(roles, df, b))))
+        out.append(Block(f"xtab_{a}_{b}", "cross", f"Cross-tab: {meas[0]} by {a} × {b}",
+                         aggregate.cross_cells(df, a, b, meas[0])))
     if len(meas) >= 2:
-        out.append(Block("correlation", "corr", f"Correlation Matrix ({len(meas[:8])} measures)",
+        out.append(Block("correlation", "corr", f"Correlation Matrix ({len(meas)} measures)",
                          aggregate.correlation_pairs(df, meas)))
-    for m in meas[:3]:
-        for t in thresholds[:2]:
-            out.append(Block(f"breach_{m[:10]}_{t[:10]}", "breach",
+    for m in meas:
+        for t in thresholds:
+            out.append(Block(f"breach_{m}_{t}", "breach",
                              f"Threshold Breach: {m} vs {t}",
                              select.breach_analysis(df, m, t, [*dims[:1], *stats[:1]])))
-    for g in geos[:2]:
-        if meas and few(g, words.MAX_GEO_VALUES):
-            out.append(Block(f"geo_{g[:10]}_{meas[0][:10]}", "geo",
+    for g in geos:
+        if meas:
+            out.append(Block(f"geo_{g}_{meas[0]}", "geo",
                              f"Geographic: {meas[0]} by {g}",
                              aggregate.geo_aggregate(df, g, meas[0])))
-    for m in meas[:3]:
+    for m in meas:
         if roles.unique(m) >= 5:
-            out.append(Block(f"hist_{m[:20]}", "hist", f"Distribution: {m} (histogram)",
+            out.append(Block(f"hist_{m}", "hist", f"Distribution: {m} (histogram)",
                              aggregate.histogram(df, m).orderBy("bin")))
-    for b in bins[:3]:
+    for b in bins:
         if meas:
-            out.append(Block(f"bin_{b[:20]}", "hist", f"Binned: {meas[0]} by {b}",
+            out.append(Block(f"bin_{b}", "hist", f"Binned: {meas[0]} by {b}",
                              aggregate.bin_aggregate(df, b, meas[0])))
-    for f in flags[:3]:
+    for f in flags:
         if meas:
-            out.append(Block(f"bool_{f[:20]}", "dist", f"Boolean/Set: {f}",
+            out.append(Block(f"bool_{f}", "dist", f"Boolean/Set: {f}",
                              aggregate.flag_summary(df, f, meas[0])))
     return out
 

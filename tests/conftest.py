@@ -17,27 +17,27 @@ def spark():
 
 
 KRI = [
-    ("UK-K40", "% high-risk DCs", 0.95, 0.88, 0.80, "Red", "UK", "Feb-26"),
-    ("UK-K41", "% DCs meeting SLA", 0.08, 0.19, 0.70, "Red", "UK", "Feb-26"),
-    ("UK-K42", "% open DCs", 0.89, 0.85, 0.65, "Red", "UK", "Feb-26"),
-    ("UK-K43", "# DQ issues", 2.47, 2.47, 1.00, "Red", "UK", "Feb-26"),
-    ("UK-K40", "% high-risk DCs", 0.94, 0.93, 0.80, "Red", "UK", "Jan-26"),
-    ("UK-K41", "% DCs meeting SLA", 0.19, 0.00, 0.70, "Red", "UK", "Jan-26"),
-    ("SGP-K1", "SGP DQ Score", 0.94, 0.93, 0.90, "Green", "SGP", "Feb-26"),
-    ("SGP-K1", "SGP DQ Score", 0.92, 0.91, 0.90, "Amber", "SGP", "Jan-26"),
+    ("PL-10", "late pallets %", 0.91, 0.86, 0.75, "Red", "PL", "Jun-25"),
+    ("PL-11", "scans on time %", 0.12, 0.21, 0.60, "Red", "PL", "Jun-25"),
+    ("PL-12", "open returns %", 0.83, 0.80, 0.55, "Red", "PL", "Jun-25"),
+    ("PL-13", "damaged crates", 3.10, 3.10, 1.50, "Red", "PL", "Jun-25"),
+    ("PL-10", "late pallets %", 0.90, 0.88, 0.75, "Red", "PL", "May-25"),
+    ("PL-11", "scans on time %", 0.21, 0.05, 0.60, "Red", "PL", "May-25"),
+    ("CZ-1", "depot score", 0.88, 0.87, 0.85, "Green", "CZ", "Jun-25"),
+    ("CZ-1", "depot score", 0.86, 0.84, 0.85, "Amber", "CZ", "May-25"),
 ]
 SALES = [
-    ("North", "A", 120000, 100000, "Yes", "Q1"), ("South", "B", 85000, 100000, "No", "Q1"),
-    ("East", "A", 150000, 120000, "Yes", "Q2"), ("West", "C", 60000, 90000, "No", "Q2"),
-    ("North", "B", 110000, 100000, "Yes", "Q2"), ("South", "A", 95000, 100000, "Yes", "Q1"),
+    ("Coast", "A", 41000, 50000, "Yes", "Q3"), ("Hills", "B", 30500, 50000, "No", "Q3"),
+    ("Lakes", "A", 72000, 60000, "Yes", "Q4"), ("Plain", "C", 18000, 35000, "No", "Q4"),
+    ("Coast", "B", 57000, 50000, "Yes", "Q4"), ("Hills", "A", 33500, 50000, "Yes", "Q3"),
 ]
 CDE = [
-    ("Security Id", 8, "Completeness", "Fail Red", "Feb-26"),
-    ("Currency Code", 4, "Completeness", "Fail Red", "Feb-26"),
-    ("Product Class", 4, "Completeness", "Fail Amber", "Feb-26"),
-    ("Market Value", 1, "Accuracy", "Fail Amber", "Feb-26"),
-    ("Notional", 0, "Completeness", "Pass", "Feb-26"),
-    ("Risk Sensitivity", 0, "Accuracy", "Pass", "Feb-26"),
+    ("Plate Number", 6, "Freshness", "Fail Red", "Jun-25"),
+    ("Cargo Class", 3, "Freshness", "Fail Red", "Jun-25"),
+    ("Depot Code", 3, "Freshness", "Fail Amber", "Jun-25"),
+    ("Axle Load", 2, "Range", "Fail Amber", "Jun-25"),
+    ("Toll Sum", 0, "Freshness", "Pass", "Jun-25"),
+    ("Fuel Level", 0, "Range", "Pass", "Jun-25"),
 ]
 
 
