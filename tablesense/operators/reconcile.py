@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, functions as F
 def _leftovers(left: DataFrame, right: DataFrame, keys, column_map) -> DataFrame:
     """One row per key: equal rows, unmatched rows per side, and their values."""
     cols = list(column_map)
-    l = left.select(*keys, *cols, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+    l = left.select(*keys, *cols, F.lit(1).alias("_l"), F.lit(0).alias("_r"),
+                    F.lit(False).alias("_odd"))
+    # a value the left type cannot hold is a change, never equal to a null
+    odd = F.lit(False)
+    for c in cols:
+        value = F.col(f"`{column_map[c]}`")
+        odd = odd | (value.isNotNull() & value.try_cast(left.schema[c].dataType).isNull())
     r = right.select(
         *keys, *[F.col(f"`{column_map[c]}`").try_cast(left.schema[c].dataType).alias(c)
                  for c in cols],
-        F.lit(0).alias("_l"), F.lit(1).alias("_r"))
-    rows = l.unionByName(r).groupBy(*keys, *cols).agg(
+        F.lit(0).alias("_l"), F.lit(1).alias("_r"), odd.alias("_odd"))
+    rows = l.unionByName(r).groupBy(*keys, *cols, "_odd").agg(
         F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
     same = F.least("_l", "_r")
     values = F.struct(*cols)

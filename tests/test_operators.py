@@ -279,3 +279,11 @@ def test_nothing_is_cut(spark):
     assert aggregate.summary_stats(df, measures).count() == 12
     assert aggregate.correlation_pairs(df, measures).count() == 66
     assert aggregate.group_means(df, ["place"], measures).count() == 3600
+
+
+def test_unreadable_values_are_changes(spark):
+    left = spark.createDataFrame([(1, 5), (2, 7), (3, None)], "k int, v int")
+    right = spark.createDataFrame([(1, "x"), (2, "7"), (3, "y")], "k int, w string")
+    rows = {r["k"]: r["status"] for r in
+            reconcile.compare_rows(left, right, ["k"], {"v": "w"}).collect()}
+    assert rows == {1: "changed", 2: "matched", 3: "changed"}

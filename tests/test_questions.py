@@ -130,3 +130,21 @@ def test_chart_shapes(kri):
     shapes = structure.chart_shapes(visual_roles(profile_columns(kri)))
     found = {r["shape"]: r["confidence"] for r in shapes.collect()}
     assert found["kpi_scorecard"] == 0.72 and found["map"] == 0.75 and found["data_table"] == 0.25
+
+
+def test_ranking_without_a_measure_and_a_failing_handler(spark, monkeypatch):
+    names = spark.createDataFrame([(f"n{i}", f"t{i % 3}") for i in range(6)],
+                                  "item_name string, team string")
+    known = onboard(names, "names", order_by=["item_name"])
+    asked = spark.createDataFrame([(1, "ranking of 2"), (2, "How many are there?")],
+                                  "question_id int, question string")
+    got = known.answer(asked).collect()
+    first = [r for r in got if r["question_id"] == 1]
+    assert [r["intent"] for r in first] == ["ranking"] * 2
+    assert {r["confidence"] for r in first} == {0.7}
+
+    def fails(df, roles, ask):
+        raise ValueError("no such column")
+    monkeypatch.setitem(ask.HANDLERS, "ranking", fails)
+    got = {r["question_id"]: r["confidence"] for r in known.answer(asked).collect()}
+    assert got == {1: 0.3, 2: 1.0}
