@@ -33,9 +33,9 @@ def schema_chunk(profile: DataFrame, source_id: str, source_name: str) -> DataFr
 
 
 def stats_chunk(df: DataFrame, roles: TableRoles, source_id: str, source_name: str) -> DataFrame:
-    """Statistics of numeric columns and the top values of the first text columns."""
+    """Statistics of numeric columns and the top values of text columns."""
     numeric = [r["column"] for r in roles.rows if r["is_numeric"]]
-    texts = [r["column"] for r in roles.rows if r["is_text"]][:5]
+    texts = [r["column"] for r in roles.rows if r["is_text"]]
     parts = [F.lit("=== STATISTICAL SUMMARY ===")]
     gather = lambda d, key, line: d.agg(F.array_join(F.sort_array(
         F.collect_list(F.struct(*key, line.alias("line")))).line, "\n").alias("t")).scalar()
