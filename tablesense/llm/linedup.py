@@ -10,13 +10,14 @@ are dropped.
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.llm.common import broadcast_value, own_columns, split_by_keys, stored, texts_of
+from tablesense.llm.common import broadcast_value, own_columns, slices, split_by_keys, stored, texts_of
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -82,14 +83,20 @@ def _leaf_counts(depth: int):
     return run
 
 
+def _parts(batch: pa.RecordBatch):
+    """The texts of a batch in runs of a few megabytes, which bounds what a run gives out."""
+    texts = texts_of(batch)
+    return (texts[at:stop] for at, stop in slices(texts, 4 << 20))
+
+
 def _leaf_lines(sent, depth: int):
     """A row for each distinct line of a text that lies in a leaf of several documents:
     hashes of the text, the line and each token."""
     def run(batches):
         bits = sent.value
-        for batch in batches:
+        for texts in chain.from_iterable(map(_parts, batches)):
             out = {"key": [], "leaf": [], "line": [], "tokens": []}
-            for text in texts_of(batch):
+            for text in texts:
                 lines = {b" ".join(t): t for t in map(tokens_of, text.split(b"\n"))
                          if len(t) >= LEAST_TOKENS}
                 leaves = np.array([leaf_of(t, depth) for t in lines.values()], dtype=np.int64)
