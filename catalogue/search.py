@@ -22,11 +22,11 @@ def _tf_sql(table, key, grams):
                FROM (SELECT id, unnest({terms}) AS term FROM ({source})) GROUP BY 1, 2"""
 
 
-def _index_sql(table, key, grams, top=words.INDEX_TERMS):
+def _index_sql(table, key, grams):
     return f"""
       tf AS ({_tf_sql(table, key, grams)}),
       terms AS (SELECT term, ln((1 + (SELECT count(*) FROM {table})) / (1 + count(*))) + 1 AS idf
-                FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {top}),
+                FROM tf GROUP BY term),
       w AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN terms USING (term)),
       postings AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight
                    FROM w)"""

@@ -258,7 +258,6 @@ STOP_WORDS = [
 
 ROWS_PER_CHUNK = 50
 CONTEXT_TOKENS = 6000
-INDEX_TERMS = 3000
 SEARCH_MIN_SCORE = 0.05
 ANSWER_MIN_CONFIDENCE = 0.70
 FACT_MIN_SCORE = 0.30

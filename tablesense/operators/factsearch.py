@@ -8,8 +8,7 @@ from tablesense.functions import words
 from tablesense.functions.text import format_fact, spaced, words as tokens
 from tablesense.operators import aggregate, ordered
 from tablesense.operators.roles import TableRoles
-
-_BROADCAST_TERMS = 100_000  # a vocabulary up to this size may be sent to every executor
+from tablesense.session import stored
 
 
 def fact_documents(df: DataFrame, roles: TableRoles, tie_break=(), grain=None) -> DataFrame:
@@ -33,7 +32,7 @@ def fact_documents(df: DataFrame, roles: TableRoles, tie_break=(), grain=None) -
             F.concat_ws(" ", "dim", "dim_val", "measure", format_fact(F.col("value")),
                         F.lit("average"), F.translate("dim", "_", " "), F.lower("dim_val"))
             .alias("text")))
-    for status in roles.statuses[:2]:
+    for status in roles.statuses:
         shares = aggregate.distribution(df, status, of="rows")
         parts.append(shares.select(
             F.lit("status").alias("kind"), F.lit(status).alias("dim"),
@@ -45,7 +44,7 @@ def fact_documents(df: DataFrame, roles: TableRoles, tie_break=(), grain=None) -
             .alias("text")))
     if meas:
         best = ordered.top_rows(df, meas, dims, tie_break=tie_break)
-        dim_text = [x for d in dims[:3]
+        dim_text = [x for d in dims
                     for x in (F.lit(d), F.coalesce(F.col(f"`{d}`").cast("string"), F.lit("")))]
         parts.append(best.select(
             F.lit("top_row").alias("kind"), "measure", "value",
@@ -53,7 +52,7 @@ def fact_documents(df: DataFrame, roles: TableRoles, tie_break=(), grain=None) -
             F.concat_ws(" ", F.lit("top highest maximum"), "measure",
                         format_fact(F.col("value")), *dim_text).alias("text")))
     if roles.times and meas:
-        trends = ordered.temporal_patterns(df, roles.times[0], meas[:3], grain)
+        trends = ordered.temporal_patterns(df, roles.times[0], meas, grain)
         word = F.when(F.col("pct_change") > 0, "increasing").otherwise("decreasing")
         parts.append(trends.select(
             F.lit("trend").alias("kind"), F.col("time_col").alias("dim"),
@@ -97,45 +96,50 @@ def _terms(docs: DataFrame, id_col: str, text_col: str, ngrams: int, stop_words)
 
 
 def build_index(docs: DataFrame, id_col="doc_id", text_col="text", ngrams=2,
-                max_terms=words.INDEX_TERMS, stop_words=tuple(words.STOP_WORDS)):
+                max_terms=None, stop_words=tuple(words.STOP_WORDS)):
     """Postings (id, term, weight) and terms (term, idf) of an L2-normalised TF-IDF
-    index: weight (1 + ln tf) · (ln((1+n)/(1+df)) + 1), the `max_terms` most frequent
-    terms kept."""
-    counts = _terms(docs, id_col, text_col, ngrams, stop_words)
+    index: weight (1 + ln tf) · (ln((1+n)/(1+df)) + 1).
+
+    All terms are indexed, or the `max_terms` most frequent ones where the caller asks for
+    it. Texts are tokenised once, their counted terms stored.
+    """
+    counts = stored(_terms(docs, id_col, text_col, ngrams, stop_words), "terms")
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    terms = counts.groupBy("term").agg(
-        F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")
-    ).orderBy(F.desc("total"), "term").limit(max_terms).select(
-        "term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    if max_terms <= _BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    found = counts.groupBy("term").agg(
+        F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if max_terms is not None:
+        found = found.orderBy(F.desc("total"), "term").limit(max_terms)
+    terms = found.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = counts.join(terms, "term").select(
         id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    postings = weighted.join(norms, id_col).select(
-        id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
-    return postings, terms
+    return weighted.select(id_col, "term", _scaled(id_col).alias("weight")), terms
+
+
+def _scaled(key: str):
+    """Weights over their length; a window holds the terms of one text."""
+    return F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
 
 
 def search(index, questions: DataFrame, k=5, id_col="doc_id", question_id="question_id",
            question_text="question", ngrams=2, stop_words=tuple(words.STOP_WORDS),
            min_score=words.SEARCH_MIN_SCORE) -> DataFrame:
-    """The k best documents per question by cosine, scores above `min_score`.
+    """The k best documents per question row by cosine, scores above `min_score`.
 
-    Postings meet question terms in an equi-join on the term; products are summed per
-    (question, document) before ranking, and each task ranks its own part first.
+    Equal texts are asked once. Postings meet question terms in an equi-join on the term;
+    products are summed per (text, document) before ranking, and each task ranks its own
+    part first.
     """
     postings, terms = index
-    asked = _terms(questions, question_id, question_text, ngrams, stop_words).join(
-        terms, "term").select(
-        question_id, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = asked.groupBy(question_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    asked = asked.join(norms, question_id).select(
-        question_id, "term", (F.col("w") / F.col("qn")).alias("qw"))
-    scores = postings.join(asked, "term").groupBy(question_id, id_col).agg(
+    named = questions.withColumn("_asked", F.sha2(question_text, 256))
+    texts = named.select("_asked", F.col(question_text).alias("_text")).where(
+        F.col("_asked").isNotNull()).distinct()
+    asked = _terms(texts, "_asked", "_text", ngrams, stop_words).join(terms, "term").select(
+        "_asked", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")).select(
+        "_asked", "term", _scaled("_asked").alias("qw"))
+    scores = postings.join(asked, "term").groupBy("_asked", id_col).agg(
         F.sum(F.col("weight") * F.col("qw")).alias("score")
     ).where(F.col("score") > min_score)
-    best = Window.partitionBy(question_id).orderBy(F.desc(F.round("score", 9)), id_col)
-    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+    best = Window.partitionBy("_asked").orderBy(F.desc(F.round("score", 9)), id_col)
+    ranked = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return named.select(question_id, "_asked").join(ranked, "_asked").select(
         question_id, "rank", id_col, F.round("score", 3).alias("score"))
-

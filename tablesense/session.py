@@ -48,3 +48,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name next to the checkpoints, visible to all executors."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table next to the checkpoints and read it back: as durable as `durable`,
+    but in columns, so that later readers take only what they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

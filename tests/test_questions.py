@@ -148,3 +148,24 @@ def test_ranking_without_a_measure_and_a_failing_handler(spark, monkeypatch):
     monkeypatch.setitem(ask.HANDLERS, "ranking", fails)
     got = {r["question_id"]: r["confidence"] for r in known.answer(asked).collect()}
     assert got == {1: 0.3, 2: 1.0}
+
+
+def test_search_keeps_rare_terms_and_repeated_questions(spark):
+    """Every term is searchable, however many are more frequent; equal texts all get hits."""
+    docs = spark.createDataFrame(
+        [(f"d{i:04}", " ".join(f"common{i % 7} filler{j}" for j in range(40)) +
+          (" zanzibar" if i == 123 else f" own{i}")) for i in range(4000)],
+        "doc_id string, text string")
+    asked = spark.createDataFrame(
+        [(1, "zanzibar"), (2, "zanzibar"), (3, ""), (4, None)],
+        "question_id int, question string")
+    hits = factsearch.search(factsearch.build_index(docs, ngrams=1), asked, 5, ngrams=1).collect()
+    assert sorted((r.question_id, r["rank"], r.doc_id) for r in hits) == [
+        (1, 1, "d0123"), (2, 1, "d0123")]
+
+
+def test_index_takes_only_the_terms_asked_for(spark):
+    docs = spark.createDataFrame([(1, "red red blue"), (2, "red green")],
+                                 "doc_id int, text string")
+    postings, _ = factsearch.build_index(docs, ngrams=1, max_terms=1)
+    assert {r.term for r in postings.collect()} == {"red"}
