@@ -126,9 +126,10 @@ def search(found: Found, queries, query_ids, rows, row_ids, turn: np.ndarray) ->
         for cut in (*[c for c in CUTS if c < width], width):
             if alive is None:
                 partial += q[:, done:cut] @ r_turned[:last, done:cut].T
-                if cut == width and last > found.k:
-                    # k rows besides the query's own reach this, so no lower one matters.
-                    reached = np.partition(partial, last - found.k - 1, axis=1)[:, -found.k - 1]
+                if cut == width and last >= found.k:
+                    # k rows reach this, none of the query's own id, so no lower one matters.
+                    partial[query_ids[some][:, None] == row_ids[None, :last]] = -np.inf
+                    reached = np.partition(partial, last - found.k, axis=1)[:, -found.k]
                     slack = 1e-9 * (np.abs(reached) + rest[:, 0] * r_rest[0, 0]) + 1
                     floors = np.maximum(floors, reached - slack)
                 stay = partial + rest[:, cut, None] * r_rest[None, :last, cut] >= floors[:, None]
