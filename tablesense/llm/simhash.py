@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tablesense.llm.common import (
-    hashed_sample, own_columns, split_by_keys, stored, texts_of, words_of)
+    hashed_sample, own_columns, stored, texts_of, words_of)
 from tablesense.llm.components import components
 
 #: Fingerprints in the sample that estimates correlations and candidate counts.
@@ -203,14 +203,3 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42)
     return prints.join(named, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id", "class_size", "links")
-
-
-def without_near_copies(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
-    """The documents whose id names their component, with all their columns.
-
-    Documents with a null id all stay, as no id can name them; repeated rows of one id
-    stay together.
-    """
-    dropped = near_groups(docs, words, bits).where(
-        F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return split_by_keys(docs, "doc_id", dropped)[0]
