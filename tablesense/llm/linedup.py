@@ -1,16 +1,17 @@
 """Line deduplication by a log-template tree.
 
 Lines are parsed to a fixed depth: the number of tokens, then the leading tokens, with
-tokens that hold a digit as a variable field. In a leaf, every further place has its most
-frequent token; a line that agrees with enough of them belongs to the leaf's template, and
-where the lines differ the template has a variable field. Other lines are templates of
-their own, but for their variable fields. Templates that recur across different documents
-are dropped.
+tokens that hold a digit as a variable field. A leaf has as many templates as its lines
+need: lines that agree with a centre line in enough of the places after the leaf are one
+template, with a variable field where they differ. Lines that agree on one group of places
+meet the most frequent line of that group first; those that this does not drop meet each
+other. Templates that recur across different documents are dropped.
 """
 
 import re
 from collections import Counter
 from itertools import chain
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,10 @@ from tablesense.llm.common import broadcast_value, own_columns, slices, split_by
 DEPTH = 3
 #: Shorter lines are never dropped.
 LEAST_TOKENS = 4
-#: Part of a line's places that must agree with the leaf's most frequent tokens.
+#: Part of a line's places after the leaf that must agree with its template's centre.
 ALIKE = 0.7
-#: Different documents a template must occur in to be dropped.
+#: Different texts a template must occur in to be dropped. All its lines go, none is kept, so
+#: at two every pair of near copies would lose what it shares in both.
 LEAST_DOCS = 3
 #: Bits of the filter that spares most lines the shuffle, whatever the number of leaves.
 FILTER_BITS = 1 << 24
@@ -116,6 +118,52 @@ def _leaf_lines(sent, depth: int):
     return run
 
 
+def _least_alike(places: int) -> int:
+    """Places after the leaf that must agree, of so many."""
+    return max(1, ceil(places * ALIKE - 1e-9))
+
+
+def _buckets(batches):
+    """(line, n, bucket): lines of a leaf that differ in at most d places agree on all of at
+    least one of d + 1 groups of places. Lines too short to differ have no bucket."""
+    for batch in batches:
+        out = {"line": [], "n": [], "bucket": []}
+        tokens = batch.column("tokens")
+        ends, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+        leaves, lines, counts = (batch.column(x).to_pylist() for x in ("leaf", "line", "n"))
+        for i, (leaf, line, n) in enumerate(zip(leaves, lines, counts)):
+            own = flat[ends[i]:ends[i + 1]]
+            differ = len(own) - _least_alike(len(own))
+            for g in range(differ + 1 if differ > 0 else 0):
+                for column, value in zip(out.values(), (line, n, _hash(
+                        b"%d %d " % (leaf, g) + own[g::differ + 1].tobytes()))):
+                    column.append(value)
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+
+def _alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """The (line, centre) of `pairs` that agree in enough places after the leaf."""
+    pairs = pairs.where("line != centre").distinct()
+    both = pairs.join(unique.select("line", "tokens"), "line").join(
+        unique.select(F.col("line").alias("centre"), F.col("tokens").alias("common")), "centre")
+    same = F.aggregate(F.zip_with("tokens", "common", lambda a, b: F.when(a == b, 1).otherwise(0)),
+                       F.lit(0), lambda x, y: x + y)
+    least = F.greatest(F.lit(1), F.ceil(F.size("tokens") * F.lit(ALIKE) - F.lit(1e-9)))
+    return both.where((F.size("tokens") == F.size("common")) & (same >= least)).select(
+        "line", "centre")
+
+
+def _often(alike: DataFrame, lines: DataFrame, least_docs: int) -> DataFrame:
+    """The lines of templates, each a centre with the lines alike to it, that occur in
+    `least_docs` different texts or more."""
+    centres = alike.select("centre").distinct()
+    members = stored(alike.union(centres.select(F.col("centre").alias("line"), "centre")), "members")
+    often = lines.select("key", "line").join(members, "line").select(
+        "centre", "key").distinct().groupBy("centre").agg(F.count("*").alias("docs")).where(
+        F.col("docs") >= least_docs).select("centre")
+    return members.join(often, "centre", "left_semi").select("line")
+
+
 def recurring(texts: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(key, line): lines, by the hash of their masked tokens, whose template occurs in
     `least_docs` different texts or more. `texts` has every different text once."""
@@ -130,26 +178,25 @@ def recurring(texts: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS
     lines = stored(texts.select("text").mapInArrow(
         _leaf_lines(broadcast_value(texts, bits), depth),
         "key binary, leaf long, line long, tokens array<long>"), "leaf-lines")
-    tokens = lines.groupBy("leaf", "line").agg(
-        F.count("*").alias("n"), F.first("tokens").alias("tokens"))
-    common = tokens.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy(
-        "leaf", "at", "token").agg(F.sum("n").alias("n")).groupBy("leaf", "at").agg(
-        F.max(F.struct("n", "token")).alias("top")).groupBy("leaf").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("at", "top.token"))),
-                    lambda x: x["token"]).alias("common"))
-    # One row per different line of a leaf decides; lines with the same tokens go together.
-    same = F.aggregate(F.zip_with("tokens", "common", lambda a, b: F.when(a == b, 1).otherwise(0)),
-                       F.lit(0), lambda x, y: x + y)
-    places = F.size("tokens")
-    fits = (same + depth) >= (places + depth) * F.lit(ALIKE)
-    named = tokens.join(common, "leaf", "left").select(
-        "leaf", "line",
-        F.when((places > 0) & fits, F.col("leaf")).otherwise(F.col("line")).alias("template"))
-    placed = stored(lines.select("key", "leaf", "line").join(named, ["leaf", "line"]).select(
-        "key", "line", "template"), "templates")
-    often = placed.select("template", "key").distinct().groupBy("template").agg(
-        F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("template")
-    return placed.join(often, "template", "left_semi").select("key", "line").distinct()
+    unique = stored(lines.groupBy("leaf", "line").agg(
+        F.count("*").alias("n"), F.first("tokens").alias("tokens")), "unique-lines")
+    # A text has each of its lines once, so n counts different texts.
+    same = unique.where(F.col("n") >= least_docs).select("line")
+    entries = stored(unique.mapInArrow(_buckets, "line long, n long, bucket long"), "buckets")
+    tops = entries.groupBy("bucket").agg(
+        F.max(F.struct("n", "line")).alias("top"), F.count("*").alias("lines")).where(
+        "lines > 1").select("bucket", F.col("top.line").alias("centre"))
+    first = stored(_alike(entries.join(tops, "bucket").select("line", "centre"), unique), "alike")
+    found = stored(same.union(_often(first, lines, least_docs)).distinct(), "found")
+    # Lines that no frequent line took along meet each other.
+    left = entries.join(found, "line", "left_anti").select("bucket", "line")
+    left = stored(left, "left")
+    several = left.groupBy("bucket").agg(F.count("*").alias("lines")).where("lines > 1")
+    left = left.join(several.select("bucket"), "bucket", "left_semi")
+    met = left.join(left.withColumnRenamed("line", "centre"), "bucket").select("line", "centre")
+    second = stored(_alike(met, unique), "alike")
+    found = found.union(_often(second, lines, least_docs)).distinct()
+    return lines.join(found, "line", "left_semi").select("key", "line").distinct()
 
 
 def without_recurring_lines(docs: DataFrame, depth: int = DEPTH,

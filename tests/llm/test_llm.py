@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tablesense.llm import (
-    exactdedup, langid, lattice, linedup, mixing, packing, quality, secrets, simhash, topk)
+    exactdedup, langid, lattice, linedup, minhash, mixing, packing, quality, secrets, simhash, topk)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, " \
     "digest string, key string, print long, word string"
@@ -232,3 +232,97 @@ def test_recurring_templates_are_dropped(spark):
     got = linedup.without_recurring_lines(spark.createDataFrame(
         list(enumerate(texts)), "doc_id long, text string")).collect()
     assert all("took" not in r.text for r in got)
+
+
+def _shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def _planted_copies(changes, size=200, each=20):
+    """Pairs of texts of `size` words, the second with some words replaced, and a family that
+    shares half of its text."""
+    rng = random.Random(8)
+    rows = []
+    for n in changes:
+        for _ in range(each):
+            words = [str(rng.random()) for _ in range(size)]
+            rows.append(" ".join(words))
+            for at in rng.sample(range(size), n):
+                words[at] = "other%d" % rng.randrange(10 ** 9)
+            rows.append(" ".join(words))
+    shared = " ".join(str(rng.random()) for _ in range(size))
+    rows += [shared + "".join(" %s" % rng.random() for _ in range(40 + i)) for i in range(40)]
+    return rows
+
+
+def test_near_stage_agrees_with_all_pairs(spark, docs, empty):
+    texts = _planted_copies([1, 2, 3, 4, 6])
+    rows = [*_rows(), *[(1000 + i, t, "en", "s", 1, 7, "d", "k", 3, "w") for i, t in enumerate(texts)]]
+    sets, links = [_shingles(r[1]) for r in rows], {}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if a == b or 5 * both >= 4 * (len(a) + len(b) - both):
+                links.setdefault(i, []).append(j)
+                links.setdefault(j, []).append(i)
+    want = {}
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            todo = [k for j in todo for k in links.get(j, ()) if k not in seen and not seen.add(k)]
+        want[i] = min((rows[k][0] for k in seen if rows[k][0] is not None), default=None)
+    df = spark.createDataFrame(rows, docs.schema).repartition(3)
+    got = minhash.near_copies(df).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted(
+        (str(r[0]), str(want[i])) for i, r in enumerate(rows))
+    kept = minhash.without_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
+        str(r[0]) for i, r in enumerate(rows) if r[0] is None or r[0] == want[i])
+    assert minhash.near_copies(empty).count() == 0
+
+
+def test_top_products_of_a_repeated_query_row(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(101)]
+    rows[50] = (50, [9.0] * 6)
+    rows += [rows[50]] * 4
+    got = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    whole = [(i, np.array([math.floor(256 * float(np.float32(x))) for x in v])) for i, v in rows]
+    own = dict(whole)[50]
+    best = sorted((-int(own @ w), j) for j, w in whole if j != 50)[:5]
+    assert [(r.vec_id, r.score) for r in got.where("query_id = 50").orderBy("rank").collect()] == [
+        (j, -s) for s, j in best]
+
+
+def _lines_left(spark, texts):
+    rows = linedup.without_recurring_lines(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: (r.text.split("\n") if r.text else []) for r in rows}
+
+
+def test_unlike_short_lines_stay(spark):
+    ends = ["high", "low", "unknown", "fair", "rising"]
+    texts = [f"the cost is {w}\nwe all went home {w}\nthis is not the {w} {w}end" for w in ends]
+    left = _lines_left(spark, texts)
+    assert all(left[i] == t.split("\n") for i, t in enumerate(texts))
+
+
+def test_all_templates_of_a_leaf_are_dropped(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(12))
+    forms = ["the node was started by %s on %s with all of its disks",
+             "the node was stopped after %s and %s had lost their last link",
+             "the node was moved from %s to %s because of a broken fan"]
+    assert len({len(f.split()) for f in forms}) == 1
+    templated = [[f % (word(), word()) for f in forms] for _ in range(9)]
+    prose = ["the node was " + " ".join(word() for _ in range(9)) for _ in range(9)]
+    twice = "the node was quite dear to both of the old owners"
+    texts = ["\n".join([*lines, own]) for lines, own in zip(templated, prose)]
+    texts[0] += "\n" + twice
+    texts[1] += "\n" + twice
+    for more in (texts, [*texts, *prose[:2]]):
+        left = _lines_left(spark, more)
+        for i in range(9):
+            assert left[i] == [prose[i], *([twice] if i < 2 else [])]
