@@ -1,5 +1,5 @@
 """Helpers the operators share: texts as bytes in Arrow batches, stored intermediate
-tables, fold numbers, and stratified counting."""
+tables, fold numbers, and hashed samples."""
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F

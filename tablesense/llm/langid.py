@@ -7,7 +7,7 @@ in batches; a text's language has the highest mean probability over its windows.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesense.llm.common import (
     broadcast_value, fold, hashed_sample, own_columns, texts_of)
@@ -20,6 +20,8 @@ EMBEDDED = 8
 #: Bounds of the training sample: documents, and windows from each (spread over the text).
 TRAIN_DOCS = 4096
 TRAIN_WINDOWS = 4
+#: Documents of each language that are in the sample besides, as far as it has so many.
+LEAST_DOCS = 32
 #: Windows convolved at once, so that the patches stay in the processor's cache.
 BATCH = 16
 #: Texts whose windows are scored together.
@@ -122,7 +124,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, docs_most: int = TRAIN_DOCS) -> list[tuple[str, bytes]]:
-    """(lang, bytes of TRAIN_WINDOWS windows) of at most `docs_most` training documents.
+    """(lang, bytes of TRAIN_WINDOWS windows) of at most `docs_most` training documents,
+    and of the first LEAST_DOCS of each language besides.
 
     The documents come by the hash of their id, so the sample is spread over the table;
     their windows are spread over the text.
@@ -135,11 +138,21 @@ def training_sample(docs: DataFrame, docs_most: int = TRAIN_DOCS) -> list[tuple[
     raw = F.col("text").cast("binary")
     cut = F.concat(*[F.rpad(F.substring(raw, F.floor(step * i).cast("int") + 1, F.lit(WINDOW)),
                             WINDOW, F.lit(b"\0")) for i in range(TRAIN_WINDOWS)])
-    total = docs.select("doc_id", "lang").where(
-        F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).count()
-    chosen = hashed_sample(own.select("lang", "doc_id", cut.alias("cut")),
-                           ["doc_id", "cut"], docs_most, total)
-    return [(r["lang"], bytes(r["cut"])) for r in chosen.collect()]
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = own.select("lang", "doc_id", cut.alias("cut"))
+    chosen = hashed_sample(rows, ["doc_id", "cut"], docs_most, total).collect()
+    # Rows beyond twice a language's share of the hashes never reach its window.
+    span = 1 << 40
+    at = F.pmod(F.xxhash64(F.lit(LEAST_DOCS), "doc_id", "cut"), F.lit(span))
+    first = Window.partitionBy("lang").orderBy("at", "doc_id", "cut")
+    each = rows.withColumn("at", at).join(sizes, "lang").where(
+        F.col("at") < F.lit(2.0 * LEAST_DOCS * span) / F.col("n")).withColumn(
+        "place", F.row_number().over(first)).where(F.col("place") <= LEAST_DOCS).collect()
+    held = {(r["lang"], r["doc_id"], bytes(r["cut"])) for r in chosen}
+    more = sorted((r for r in each if (r["lang"], r["doc_id"], bytes(r["cut"])) not in held),
+                  key=lambda r: (r["lang"], r["place"]))
+    return [(r["lang"], bytes(r["cut"])) for r in [*chosen, *more]]
 
 
 def trained(docs: DataFrame, docs_most: int = TRAIN_DOCS, seed: int = 42) -> ByteNetwork | None:
