@@ -326,3 +326,19 @@ def test_all_templates_of_a_leaf_are_dropped(spark):
         left = _lines_left(spark, more)
         for i in range(9):
             assert left[i] == [prose[i], *([twice] if i < 2 else [])]
+
+
+def test_every_language_is_a_label(spark):
+    rows = [(i, f"text number {i} of many", "aa") for i in range(3000)]
+    rows += [(5000 + i, f"other {i} words", f"l{i % 4}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    sample = langid.training_sample(df, 8)
+    assert {lang for lang, _ in sample} == learnt
+    assert len(sample) <= 8 + langid.LEAST_DOCS * len(learnt)
+
+
+def test_whole_trusted_texts_are_counted(spark):
+    sample = spark.createDataFrame([("a b " * 6000,), ("c",)], "text string")
+    counts = quality._counted(sample, {b"a": 3, b"b": 4}).collect()
+    assert sum(r.c for r in counts) == 12000 + 1 + 1 + 1
