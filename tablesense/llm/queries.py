@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesense.llm import (
-    exactdedup, langid, lattice, linedup, mixing, packing, quality, secrets, simhash, topk)
+    exactdedup, langid, lattice, linedup, mixing, packing, quality, secrets, simhash, tokencounts,
+    topk, wordruns)
 
 QUERIES = {}
 SQL = {}
@@ -71,6 +72,16 @@ def op10_byte_network_language(spark, folder):
     return langid.languages(_table(spark, folder, "documents"))
 
 
+@_query
+def op11_overlap_token_counts(spark, folder):
+    return tokencounts.token_counts(_table(spark, folder, "documents"))
+
+
+@_query
+def op13_grammar_word_runs(spark, folder):
+    return wordruns.word_runs(_table(spark, folder, "documents"), plant=True, texts=False)
+
+
 @_query
 def pipeline(spark, folder):
     import corpus_pipeline
