@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesense.llm import (
-    exactdedup, langid, lattice, linedup, mixing, packing, quality, secrets, simhash, tokencounts,
-    topk, wordruns)
+    exactdedup, langid, lattice, linedup, mixing, packing, quality, repair, secrets, simhash,
+    tokencounts, topk, wordruns)
 
 QUERIES = {}
 SQL = {}
@@ -77,6 +77,11 @@ def op11_overlap_token_counts(spark, folder):
     return tokencounts.token_counts(_table(spark, folder, "documents"))
 
 
+@_query
+def op12_grammar_repair(spark, folder):
+    return repair.damaged_and_repaired(_table(spark, folder, "conversations"))
+
+
 @_query
 def op13_grammar_word_runs(spark, folder):
     return wordruns.word_runs(_table(spark, folder, "documents"), plant=True, texts=False)
