@@ -16,53 +16,59 @@ def spark():
     session.stop()
 
 
-KRI = [
-    ("PL-10", "late pallets %", 0.91, 0.86, 0.75, "Red", "PL", "Jun-25"),
-    ("PL-11", "scans on time %", 0.12, 0.21, 0.60, "Red", "PL", "Jun-25"),
-    ("PL-12", "open returns %", 0.83, 0.80, 0.55, "Red", "PL", "Jun-25"),
-    ("PL-13", "damaged crates", 3.10, 3.10, 1.50, "Red", "PL", "Jun-25"),
-    ("PL-10", "late pallets %", 0.90, 0.88, 0.75, "Red", "PL", "May-25"),
-    ("PL-11", "scans on time %", 0.21, 0.05, 0.60, "Red", "PL", "May-25"),
-    ("CZ-1", "depot score", 0.88, 0.87, 0.85, "Green", "CZ", "Jun-25"),
-    ("CZ-1", "depot score", 0.86, 0.84, 0.85, "Amber", "CZ", "May-25"),
-]
-SALES = [
-    ("Coast", "A", 41000, 50000, "Yes", "Q3"), ("Hills", "B", 30500, 50000, "No", "Q3"),
-    ("Lakes", "A", 72000, 60000, "Yes", "Q4"), ("Plain", "C", 18000, 35000, "No", "Q4"),
-    ("Coast", "B", 57000, 50000, "Yes", "Q4"), ("Hills", "A", 33500, 50000, "Yes", "Q3"),
+MONTHS = ["Feb-24", "Mar-24", "Apr-24", "May-24"]
+
+
+def _survey():
+    """Three stations over four months: 10, 20, 30 and one more each month; each station
+    has its ceiling, so that 1, 3 and 3 of its months lie above."""
+    rows = []
+    for k, (code, label, county, ceiling) in enumerate([
+            ("W-A", "mill well", "North", 12.5), ("W-B", "park well", "North", 20.5),
+            ("W-C", "dock well", "South", 30.5)], 1):
+        for m, month in enumerate(MONTHS):
+            rate = 10.0 * k + m
+            band = "Red" if rate > ceiling + 2 else "Amber" if rate > ceiling else "Green"
+            rows.append((code, label, rate, rate - 1, ceiling, band, county, month))
+    return rows
+
+
+#: Two farms plant two crops in two seasons; a third sows once.
+HARVESTS = [
+    ("Birch", "rye", 400, 350, "No", "spring"), ("Birch", "oats", 300, 350, "No", "spring"),
+    ("Birch", "rye", 500, 450, "Yes", "autumn"), ("Birch", "oats", 200, 250, "Yes", "autumn"),
+    ("Heath", "rye", 150, 250, "No", "spring"), ("Heath", "oats", 250, 250, "No", "spring"),
+    ("Heath", "rye", 350, 350, "Yes", "autumn"), ("Heath", "oats", 450, 450, "Yes", "autumn"),
+    ("Shore", "beans", 120, 250, "No", "spring"),
 ]
-CDE = [
-    ("Plate Number", 6, "Freshness", "Fail Red", "Jun-25"),
-    ("Cargo Class", 3, "Freshness", "Fail Red", "Jun-25"),
-    ("Depot Code", 3, "Freshness", "Fail Amber", "Jun-25"),
-    ("Axle Load", 2, "Range", "Fail Amber", "Jun-25"),
-    ("Toll Sum", 0, "Freshness", "Pass", "Jun-25"),
-    ("Fuel Level", 0, "Range", "Pass", "Jun-25"),
+#: A status of several words, and dates as text.
+CHECKS = [
+    (f"field {i}", i % 4, ("format", "range", "source")[i % 3],
+     ("complete", "late amber", "missing red")[i % 3 if i % 4 else 0], f"2024-0{1 + i % 5}-11")
+    for i in range(10)
 ]
 
 
 @pytest.fixture(scope="session")
-def kri(spark):
-    return spark.createDataFrame(KRI, (
-        "KRI_ID string, KRI_NAME string, CURRENT_VALUE double, PREVIOUS_VALUE double, "
-        "RED_THRESHOLD double, RAG_STATUS string, REGION string, REPORT_MONTH string"))
+def survey(spark):
+    return spark.createDataFrame(_survey(), (
+        "STATION_CODE string, STATION_NAME string, ACTUAL_FLOW double, PRIOR_FLOW double, "
+        "FLOW_THRESHOLD double, ALERT_BAND string, COUNTY string, SURVEY_PERIOD string"))
 
 
 @pytest.fixture(scope="session")
-def sales(spark):
-    return spark.createDataFrame(SALES, (
-        "REGION string, PRODUCT string, REVENUE long, QUOTA long, CLOSED string, "
-        "QUARTER string"))
+def harvests(spark):
+    return spark.createDataFrame(HARVESTS, (
+        "FARM string, CROP string, TONS long, PLAN long, WATERED string, SEASON string"))
 
 
 @pytest.fixture(scope="session")
-def cde(spark):
-    return spark.createDataFrame(CDE, (
-        "CDE_NAME string, FAIL_COUNT long, DIMENSION string, STATUS string, "
-        "REPORT_DATE string"))
+def checks(spark):
+    return spark.createDataFrame(CHECKS, (
+        "FIELD string, MISSES long, ASPECT string, CHECK_STATUS string, CHECK_DATE string"))
 
 
 @pytest.fixture(scope="session")
-def kri_roles(kri):
+def survey_roles(survey):
     from tablesense.operators.roles import table_roles
-    return table_roles(kri, source_id="uk-kri")
+    return table_roles(survey, source_id="wells")

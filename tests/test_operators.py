@@ -18,34 +18,35 @@ def roles_of(df, classify=profile_roles, **kw):
     return {r["column"]: r["role"] for r in rows}, {r["column"]: r["sub_role"] for r in rows}
 
 
-def test_profile_roles_of_fixtures(kri, sales, cde):
-    role, sub = roles_of(kri)
+def test_profile_roles_of_fixtures(survey, harvests, checks):
+    role, sub = roles_of(survey)
     assert role == {
-        "KRI_ID": "id", "KRI_NAME": "dimension", "CURRENT_VALUE": "measure",
-        "PREVIOUS_VALUE": "measure", "RED_THRESHOLD": "measure", "RAG_STATUS": "status",
-        "REGION": "dimension", "REPORT_MONTH": "time"}
-    assert (sub["CURRENT_VALUE"], sub["PREVIOUS_VALUE"], sub["RED_THRESHOLD"]) == (
+        "STATION_CODE": "id", "STATION_NAME": "dimension", "ACTUAL_FLOW": "measure",
+        "PRIOR_FLOW": "measure", "FLOW_THRESHOLD": "measure", "ALERT_BAND": "status",
+        "COUNTY": "dimension", "SURVEY_PERIOD": "time"}
+    assert (sub["ACTUAL_FLOW"], sub["PRIOR_FLOW"], sub["FLOW_THRESHOLD"]) == (
         "kpi_value", "previous", "threshold")
-    assert roles_of(kri, mode="reference")[0]["REGION"] == "status"
-    assert roles_of(sales)[0]["CLOSED"] == "status"
-    assert roles_of(cde)[0] == {
-        "CDE_NAME": "dimension", "FAIL_COUNT": "measure", "DIMENSION": "dimension",
-        "STATUS": "status", "REPORT_DATE": "time"}
+    assert roles_of(survey, mode="reference")[0]["COUNTY"] == "status"
+    assert roles_of(harvests)[0] == {
+        "FARM": "dimension", "CROP": "dimension", "TONS": "measure", "PLAN": "measure",
+        "WATERED": "status", "SEASON": "dimension"}
+    assert roles_of(checks)[0] == {
+        "FIELD": "dimension", "MISSES": "measure", "ASPECT": "dimension", "CHECK_STATUS": "status",
+        "CHECK_DATE": "time"}
 
 
-def test_visual_and_semantic_roles(kri):
-    assert roles_of(kri, visual_roles)[0]["REGION"] == "geographic"
-    assert roles_of(kri, visual_roles)[0]["RED_THRESHOLD"] == "threshold"
-    assert roles_of(kri, semantic_roles)[0]["REPORT_MONTH"] == "time"
+def test_visual_and_semantic_roles(survey):
+    assert roles_of(survey, visual_roles)[0]["COUNTY"] == "geographic"
+    assert roles_of(survey, visual_roles)[0]["FLOW_THRESHOLD"] == "threshold"
+    assert roles_of(survey, semantic_roles)[0]["SURVEY_PERIOD"] == "time"
 
 
-def test_partners_and_kpis(kri, kri_roles):
-    row = kri_roles.row("CURRENT_VALUE")
-    assert (row["threshold_partner"], row["previous_partner"]) == (
-        "RED_THRESHOLD", "PREVIOUS_VALUE")
-    found = {r["kpi_name"]: (r["below_count"], r["above_count"], r["breach_count"])
-             for r in structure.kpi_patterns(kri, kri_roles).collect()}
-    assert found["PL-11"] == (2, 0, 2) and found["PL-10"] == (0, 2, 2)
+def test_partners_and_kpis(survey, survey_roles):
+    row = survey_roles.row("ACTUAL_FLOW")
+    assert (row["threshold_partner"], row["previous_partner"]) == ("FLOW_THRESHOLD", "PRIOR_FLOW")
+    found = {r["kpi_name"]: (r["below_count"], r["above_count"])
+             for r in structure.kpi_patterns(survey, survey_roles).collect()}
+    assert found == {"mill well": (3, 1), "park well": (1, 3), "dock well": (1, 3)}
 
 
 def test_inexact_profile_keeps_small_counts_exact(spark):
@@ -75,8 +76,14 @@ def test_hierarchy(spark):
 @pytest.mark.parametrize("values", [
     [float(i % 5) for i in range(300)], [3.0], [1.0, 2.0],
     [7.0] * 200 + [1e300, -5.0, 0.25], [random.Random(1).gauss(0, 1) for _ in range(500)],
-    list(range(1000)) + [7.0] * 500])
-def test_quantiles_against_numpy(spark, values):
+    list(range(1000)) + [7.0] * 500,
+    [random.Random(2).paretovariate(0.05) * random.choice([-1, 1]) for _ in range(2000)],
+    [5.0] * 1800 + [5.0 + i * 1e-15 for i in range(200)],
+    [5e-324, -5e-324, 0.0, -0.0, 1.7e308, -1.7e308, 1.0]])
+@pytest.mark.parametrize("few", [1 << 16, 3])
+def test_quantiles_against_numpy(spark, monkeypatch, values, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "SLICES", 16 if few == 3 else quantiles.SLICES)
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
     got = {r["prob"]: r["quantile"] for r in quantiles.exact_quantiles(df, ["v"], probs).collect()}
@@ -84,6 +91,19 @@ def test_quantiles_against_numpy(spark, values):
         assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
+def test_quantiles_of_several_columns(spark):
+    rng = random.Random(9)
+    rows = [(rng.random(), rng.randrange(3), None, float("inf") if i % 2 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double, e long")
+    got = {(r["column"], r["prob"]): r["quantile"]
+           for r in quantiles.exact_quantiles(df, df.columns, [0.25, 0.5, 0.75]).collect()}
+    for i, name in ((0, "a"), (1, "b"), (4, "e")):
+        for p in (0.25, 0.5, 0.75):
+            assert got.pop((name, p)) == pytest.approx(np.quantile([r[i] for r in rows], p), rel=1e-12)
+    assert {k[0] for k in got} == {"d"}
+    assert quantiles.exact_quantiles(df.limit(0), ["a"], [0.5]).count() == 0
+
+
 def test_dense_index_with_a_hot_group(spark):
     rows = [("hot", i) for i in range(400)] + [(f"g{i % 5}", i) for i in range(50)]
     random.Random(2).shuffle(rows)
@@ -99,43 +119,43 @@ def test_dense_index_with_a_hot_group(spark):
         dense_index(df, [])
 
 
-def test_aggregates_by_hand(sales):
-    rows = {r["REGION"]: r["avg_REVENUE"] for r in
-            aggregate.average_by(sales, "REGION", ["REVENUE"]).collect()}
-    assert rows == {"Coast": 49000.0, "Hills": 32000.0, "Lakes": 72000.0, "Plain": 18000.0}
+def test_aggregates_by_hand(harvests):
+    rows = {r["FARM"]: r["avg_TONS"] for r in
+            aggregate.average_by(harvests, "FARM", ["TONS"]).collect()}
+    assert rows == {"Birch": 350.0, "Heath": 300.0, "Shore": 120.0}
     spread = {r["value"]: (r["count"], r["pct"]) for r in
-              aggregate.distribution(sales, "CLOSED").collect()}
-    assert spread == {"Yes": (4, 66.7), "No": (2, 33.3)}
-    bars = aggregate.histogram(sales, "REVENUE").collect()
-    assert sum(r["count"] for r in bars) == 6 and len(bars) == 6
-    assert aggregate.histogram(sales, "QUOTA").count() == 0  # three distinct values
-    wide = {r["QUARTER"]: (r["A"], r["C"]) for r in
-            aggregate.cross_tab(sales, "QUARTER", "PRODUCT", "REVENUE", "ABC").collect()}
-    assert wide == {"Q3": (74500.0, 0.0), "Q4": (72000.0, 18000.0)}
-
-
-def test_aggregates_of_empty_and_constant(spark, sales):
-    none = sales.where("false")
-    assert aggregate.total(none, "REVENUE").first()[0] == 0.0
-    assert aggregate.histogram(none, "REVENUE").count() == 0
+              aggregate.distribution(harvests, "WATERED").collect()}
+    assert spread == {"Yes": (4, 44.4), "No": (5, 55.6)}
+    bars = aggregate.histogram(harvests, "TONS").collect()
+    assert sum(r["count"] for r in bars) == 9 and len(bars) == 9
+    assert aggregate.histogram(harvests, "PLAN").count() == 0  # three distinct values
+    wide = {r["SEASON"]: (r["rye"], r["beans"]) for r in aggregate.cross_tab(
+        harvests, "SEASON", "CROP", "TONS", ["rye", "beans"]).collect()}
+    assert wide == {"spring": (550.0, 120.0), "autumn": (850.0, 0.0)}
+
+
+def test_aggregates_of_empty_and_constant(spark, harvests):
+    none = harvests.where("false")
+    assert aggregate.total(none, "TONS").first()[0] == 0.0
+    assert aggregate.histogram(none, "TONS").count() == 0
     same = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert aggregate.correlation_pairs(same, ["a", "b"]).first()["correlation"] is None
 
 
-def test_breach_directions(kri):
-    # the mean value (0.98) lies above the mean threshold (0.81)
-    assert select.breach_rows(kri, "CURRENT_VALUE", "RED_THRESHOLD").count() == 6
-    assert select.breach_rows(kri, "CURRENT_VALUE", "RED_THRESHOLD", "below").count() == 2
-    marked = select.breaches(kri, [("CURRENT_VALUE", "RED_THRESHOLD")], "RAG_STATUS")
-    assert {r["kpi"] for r in marked.collect()} == {"CURRENT_VALUE"}
-    calm = kri.withColumn("CURRENT_VALUE", F.col("RED_THRESHOLD"))
-    by_status = select.breaches(calm, [("CURRENT_VALUE", "RED_THRESHOLD")], "RAG_STATUS")
-    assert {r["kpi"] for r in by_status.collect()} == {"RAG_STATUS"} and by_status.count() == 6
+def test_breach_directions(survey):
+    # the mean rate (21.5) lies above the mean ceiling (21.17)
+    assert select.breach_rows(survey, "ACTUAL_FLOW", "FLOW_THRESHOLD").count() == 7
+    assert select.breach_rows(survey, "ACTUAL_FLOW", "FLOW_THRESHOLD", "below").count() == 5
+    marked = select.breaches(survey, [("ACTUAL_FLOW", "FLOW_THRESHOLD")], "ALERT_BAND")
+    assert {r["kpi"] for r in marked.collect()} == {"ACTUAL_FLOW"}
+    calm = survey.withColumn("ACTUAL_FLOW", F.col("FLOW_THRESHOLD"))
+    by_status = select.breaches(calm, [("ACTUAL_FLOW", "FLOW_THRESHOLD")], "ALERT_BAND")
+    assert {r["kpi"] for r in by_status.collect()} == {"ALERT_BAND"} and by_status.count() == 2
 
 
-def test_rag_rows_take_the_first_word_present(kri):
-    assert select.rag_rows(kri, "RAG_STATUS", "any critical or amber ones?").count() == 1
-    assert select.rag_rows(kri, "RAG_STATUS", "all of them").count() == 0
+def test_rag_rows_take_the_first_word_present(survey):
+    assert select.rag_rows(survey, "ALERT_BAND", "any critical or amber ones?").count() == 5
+    assert select.rag_rows(survey, "ALERT_BAND", "all of them").count() == 0
 
 
 def test_filter_tree(spark):
@@ -181,15 +201,16 @@ def test_reversal_and_pattern(spark):
     assert ordered.temporal_patterns(series.where("t < 1"), "t", ["v"]).count() == 0
 
 
-def test_period_texts_are_ordered_as_periods(spark, kri):
-    found = ordered.temporal_patterns(kri, "REPORT_MONTH", ["CURRENT_VALUE"]).first()
-    assert (found["min_period"], found["max_period"]) == ("May-25", "Jun-25")
-    assert found["baseline_val"] == pytest.approx(0.6567) and found["latest_val"] == 1.168
-    change = aggregate.trend_change(kri, "REPORT_MONTH", "CURRENT_VALUE").first()["change"]
-    assert change == pytest.approx(1.168 - 1.97 / 3)
-    now = ordered.current_and_previous(kri, ["CURRENT_VALUE"], ["REPORT_MONTH", "KRI_ID"]).first()
-    assert (now["current_val"], now["prev_val"]) == (3.10, 0.83)  # Jun-25, PL-13 then PL-12
-    last = select.last_status(kri, "RAG_STATUS", ["REPORT_MONTH", "KRI_ID"]).first()
+def test_period_texts_are_ordered_as_periods(spark, survey):
+    found = ordered.temporal_patterns(survey, "SURVEY_PERIOD", ["ACTUAL_FLOW"]).first()
+    assert (found["min_period"], found["max_period"]) == ("Feb-24", "May-24")  # not Apr, Mar
+    assert (found["baseline_val"], found["latest_val"]) == (20.0, 23.0)
+    change = aggregate.trend_change(survey, "SURVEY_PERIOD", "ACTUAL_FLOW").first()["change"]
+    assert change == 3.0
+    order = ["SURVEY_PERIOD", "STATION_CODE"]
+    now = ordered.current_and_previous(survey, ["ACTUAL_FLOW"], order).first()
+    assert (now["current_val"], now["prev_val"]) == (33.0, 23.0)  # May-24, W-C then W-B
+    last = select.last_status(survey, "ALERT_BAND", order).first()
     assert last["status"] == "breaching"
     words = spark.createDataFrame([("b", 1.0), ("a", 3.0)], "t string, v double")
     assert ordered.temporal_patterns(words, "t", ["v"]).first()["max_period"] == "b"
@@ -202,14 +223,15 @@ def test_many_periods_take_the_distributed_way(spark, monkeypatch):
     assert ordered.temporal_patterns(series, "t", ["v"]).collect() == near
 
 
-def test_kpi_signals_by_hand(spark, kri):
-    df = kri.withColumn("n", F.monotonically_increasing_id())
-    roles = table_roles(kri, "semantic")
+def test_kpi_signals_by_hand(spark, survey):
+    df = survey.withColumn("n", F.monotonically_increasing_id())
+    roles = table_roles(survey, "semantic")
     found = {r["name"]: r for r in findings.kpi_signals(df, roles, ["n"]).collect()}
-    now = found["CURRENT_VALUE"]
-    assert (now["current_val"], now["prev_val"], now["threshold"]) == (0.86, 0.88, 0.85)
-    assert now["status"] == "on_track" and now["pct_change"] == -2.27
-    assert now["percentile"] == pytest.approx(50.0)
+    now = found["ACTUAL_FLOW"]
+    assert (now["current_val"], now["prev_val"], now["threshold"]) == (33.0, 32.0, 30.5)
+    assert now["status"] == "at_risk"  # 8 % away, no word in the name says which way is bad
+    assert now["pct_change"] == 3.13  # 1 / 32
+    assert now["percentile"] == 100.0  # all twelve lie at or below
 
 
 def greedy(rows, budget):
@@ -253,12 +275,14 @@ def test_budget_against_a_plain_walk(spark):
             assert got.get(s, "") == want
 
 
-def test_chunks_round_trip(spark, sales):
-    stored = chunks.row_chunks(sales, ["REGION", "PRODUCT"], "sales", "Sales", rows_per_chunk=4)
+def test_chunks_round_trip(spark, harvests):
+    order = ["FARM", "CROP", "SEASON"]
+    stored = chunks.row_chunks(harvests, order, "harvests", "Harvests", rows_per_chunk=4)
     assert sorted(r["metadata"] for r in stored.collect()) == [
-        '{"row_start":0,"row_end":4,"total":6}', '{"row_start":4,"row_end":6,"total":6}']
-    back = chunks.rows_from_chunks(stored, sales.schema.simpleString()[7:-1].replace(":", " "))
-    assert sorted(back.drop("source_id").collect()) == sorted(sales.collect())
+        '{"row_start":0,"row_end":4,"total":9}', '{"row_start":4,"row_end":8,"total":9}',
+        '{"row_start":8,"row_end":9,"total":9}']
+    back = chunks.rows_from_chunks(stored, harvests.schema.simpleString()[7:-1].replace(":", " "))
+    assert sorted(back.drop("source_id").collect()) == sorted(harvests.collect())
 
 
 def test_chunks_keep_any_text(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablesense.operators import ask, factsearch, structure
+from tablesense.operators import answerrows, ask, factsearch, structure
 from tablesense.operators.profile import profile_columns
 from tablesense.operators.roles import profile_roles
 from tablesense.plans.onboard import onboard, portable_document
@@ -34,37 +34,38 @@ def test_numbers(spark):
 
 
 @pytest.fixture(scope="module")
-def known(kri):
-    return onboard(kri, "uk-kri", "UK KRI", order_by=["REPORT_MONTH", "KRI_ID"])
+def known(survey):
+    return onboard(survey, "wells", "Wells", order_by=["SURVEY_PERIOD", "STATION_CODE"])
 
 
 def test_answers(spark, known):
     asked = spark.createDataFrame(list(enumerate([
-        "Which KRIs are in breach?", "Show all Red status items", "Average CURRENT_VALUE by KRI_NAME",
-        "What are the top 2 by CURRENT_VALUE?", "What changed vs previous period?",
-        "Show outliers in CURRENT_VALUE", "How many are there?",
-        "Show the trend of CURRENT_VALUE over REPORT_MONTH"])),
+        "Which KRIs are in breach?", "Show all Red status items",
+        "Average ACTUAL_FLOW by STATION_NAME", "What are the top 2 by ACTUAL_FLOW?",
+        "What changed vs previous period?", "Show outliers in ACTUAL_FLOW", "How many are there?",
+        "Show the trend of ACTUAL_FLOW over SURVEY_PERIOD"])),
         "question_id int, question string")
     answers = known.answer(asked).collect()
     rows = lambda i: sorted(((r["label"], r["series"], r["value"]) for r in answers
                              if r["question_id"] == i), key=str)
-    assert rows(0) == [("CURRENT_VALUE", "breaches", 6.0)]
-    assert rows(1) == [("Red", "matching", 6.0)]
-    assert ("damaged crates", "avg_CURRENT_VALUE", 3.1) in rows(2) and len(rows(2)) == 5
-    assert len(rows(3)) == 2 and max(v for _, _, v in rows(3)) == 3.1
+    assert rows(0) == [("ACTUAL_FLOW", "breaches", 7.0)]
+    assert rows(1) == [("Red", "matching", 2.0)]
+    assert rows(2) == [(f"{x} well", "avg_ACTUAL_FLOW", v)
+                       for x, v in (("dock", 31.5), ("mill", 11.5), ("park", 21.5))]
+    assert len(rows(3)) == 2 and max(v for _, _, v in rows(3)) == 33.0
     assert [r[0] for r in rows(4)] == ["mean % change", "mean delta"]
-    assert rows(6) == [("Amber", "count", 1.0), ("Green", "count", 1.0), ("Red", "count", 6.0)]
+    assert rows(6) == [("Amber", "count", 5.0), ("Green", "count", 5.0), ("Red", "count", 2.0)]
     assert [r["label"] for r in sorted(
         (r for r in answers if r["question_id"] == 7), key=lambda r: r["row_no"])] == [
-        "May-25"] * 3 + ["Jun-25"] * 5
+        x for x in ("Feb-24", "Mar-24", "Apr-24", "May-24") for _ in range(3)]
     replies = {r["question_id"]: r for r in ask.replies(known.answer(asked)).collect()}
-    assert replies[0]["confidence"] == 1.0 and "CURRENT_VALUE=6" in replies[0]["reply"]
+    assert replies[0]["confidence"] == 1.0 and "ACTUAL_FLOW=7" in replies[0]["reply"]
 
 
-def test_route_uses_facts_when_there_is_no_answer(spark, sales):
-    no_time = onboard(sales.drop("QUARTER"), "sales", order_by=["REGION", "PRODUCT"])
+def test_route_uses_facts_when_there_is_no_answer(spark, harvests):
+    no_time = onboard(harvests, "harvests", order_by=["FARM", "CROP", "SEASON"])
     asked = spark.createDataFrame(
-        [(1, "trend of REVENUE average PRODUCT A lowest"), (2, "Total REVENUE"),
+        [(1, "trend of TONS average CROP beans lowest"), (2, "Total TONS"),
          (3, "monthly zebra")], "question_id int, question string")
     got = {r["question_id"]: r["tier"] for r in no_time.route(asked).collect()}
     assert got == {1: 2, 2: 1, 3: 0}
@@ -72,10 +73,10 @@ def test_route_uses_facts_when_there_is_no_answer(spark, sales):
 
 def test_search_finds_the_fact(spark, known):
     index = factsearch.build_index(known.facts())
-    asked = spark.createDataFrame([(1, "CURRENT_VALUE of depot score")],
+    asked = spark.createDataFrame([(1, "ACTUAL_FLOW of dock well")],
                                   "question_id int, question string")
     best = factsearch.search(index, asked, 1).join(known.facts(), "doc_id").first()
-    assert best["dim_val"] == "depot score" and best["measure"] == "CURRENT_VALUE"
+    assert best["dim_val"] == "dock well" and best["measure"] == "ACTUAL_FLOW"
 
 
 def test_search_weights_against_plain_formula(spark):
@@ -100,18 +101,20 @@ def test_search_weights_against_plain_formula(spark):
             assert got[(i, g)] == pytest.approx(x / norm, rel=1e-12)
 
 
-def test_suggestions_are_unique_and_start_with_alerts(kri):
-    rows = profile_roles(profile_columns(kri, "uk-kri"))
+def test_suggestions_are_unique_and_start_with_alerts(survey):
+    rows = profile_roles(profile_columns(survey, "wells"))
     context = ask.question_context(rows, kinds=structure.dashboard_type(rows))
     got = [r["question"] for r in ask.generate_questions(context, 40).orderBy("rank").collect()]
     assert len({q.lower() for q in got}) == len(got)
-    assert got[0] == "Show all items where RAG_STATUS is Red."
-    assert "Which KRIs are in breach?" in got
+    assert got[0] == "Show all items where ALERT_BAND is Red."
+    # `actual` in a name makes it a finance table, so nothing is asked about indicators
+    assert "How many items are in each ALERT_BAND category?" in got
+    assert "Which KRIs are in breach?" not in got
 
 
 def test_document_round_trip(known):
     doc = document_from_json(portable_document(known)).first()
-    assert doc["total_rows"] == 8 and doc["dashboard_type"] == "kri"
+    assert doc["total_rows"] == 12 and doc["dashboard_type"] == "finance"
     assert doc["capabilities"]["geographic"] and len(doc["relationships"]) <= 10
     assert len(doc["agg_blocks"]) <= 8 and doc["questions"]
 
@@ -120,14 +123,14 @@ def test_ingest_and_read_back(spark, known):
     path = scratch_path(spark, "t-ingest")
     stored = ingest.ingest(known, path, rows_per_chunk=3)
     kinds = [r["chunk_type"] for r in stored.collect()]
-    assert sorted(kinds) == ["rows"] * 3 + ["schema", "stats", "summary"]
+    assert sorted(kinds) == ["rows"] * 4 + ["schema", "stats", "summary"]
     text = ingest.stored_context(spark, path).first()["context"]
-    assert text.startswith("=== LIVE DATA SUMMARY: UK KRI ===") and "=== DATA ROWS 7–8 of 8" in text
+    assert text.startswith("=== LIVE DATA SUMMARY: Wells ===") and "=== DATA ROWS 10–12 of 12" in text
 
 
-def test_chart_shapes(kri):
+def test_chart_shapes(survey):
     from tablesense.operators.roles import visual_roles
-    shapes = structure.chart_shapes(visual_roles(profile_columns(kri)))
+    shapes = structure.chart_shapes(visual_roles(profile_columns(survey)))
     found = {r["shape"]: r["confidence"] for r in shapes.collect()}
     assert found["kpi_scorecard"] == 0.72 and found["map"] == 0.75 and found["data_table"] == 0.25
 
@@ -169,3 +172,28 @@ def test_index_takes_only_the_terms_asked_for(spark):
                                  "doc_id int, text string")
     postings, _ = factsearch.build_index(docs, ngrams=1, max_terms=1)
     assert {r.term for r in postings.collect()} == {"red"}
+
+
+def test_rows_behind_answers(spark, known):
+    """Breaches by threshold, the first status word that occurs, outliers, all variances."""
+    asked = spark.createDataFrame(list(enumerate([
+        "Which KRIs are in breach?", "Show critical or amber status items", "What changed vs previous period?",
+        "Show outliers in ACTUAL_FLOW", "Which KRIs are in breach?", "Show all pass status items"])),
+        "question_id int, question string")
+    named, rows = known.answer_rows(asked)
+    combos = {r["question_id"]: r["combo"] for r in named.collect()}
+    assert len(combos) == 6 and combos[0] == combos[4]
+    found = {}
+    for r in sorted(rows.collect(), key=lambda r: r["row_no"]):
+        found.setdefault(r["combo"], []).append((r["row"]["SURVEY_PERIOD"], r["row"]["STATION_CODE"],
+                                                 r["delta"], r["pct_change"]))
+    breaching = [(m, c, None, None) for m, cs in (
+        ("Feb-24", ""), ("Mar-24", "BC"), ("Apr-24", "BC"), ("May-24", "ABC")) for c in
+        (f"W-{x}" for x in cs)]
+    assert sorted(found[combos[0]]) == sorted(breaching)
+    assert len(found[combos[1]]) == 5 and combos[3] not in found and combos[5] not in found
+    changes = found[combos[2]]
+    assert len(changes) == 12 and {d for _, _, d, _ in changes} == {1.0}
+    assert changes[0][:2] == ("May-24", "W-C") and changes[-1][3] == 11.11  # 1 / 32 and 1 / 9
+    shown = {r["question_id"]: r for r in answerrows.previews(named, rows, 2).collect()}
+    assert shown[0]["row_count"] == 7 and len(shown[0]["rows"]) == 2 and shown[3]["row_count"] == 0

@@ -37,14 +37,14 @@ def test_empty_parts_and_empty_table(spark):
     assert normalise.normalise(df.where("false")).columns == []
 
 
-def test_first_available_and_failures(spark, sales):
+def test_first_available_and_failures(spark, harvests):
     path = scratch_path(spark, "t-json")
-    sales.write.json(path)
+    harvests.write.json(path)
     found = readers.read_first_available(spark, [("csv", path + "-no"), ("json", path)])
-    assert found.select("strategy").distinct().collect()[0][0] == "json" and found.count() == 6
+    assert found.select("strategy").distinct().collect()[0][0] == "json" and found.count() == 9
     merged, errors = readers.ingest_batch(
         spark, [("a", "json", path), ("b", "parquet", path + "-no"), ("c", "xml", path)])
-    assert merged.count() == 6 and errors.count() == 2
+    assert merged.count() == 9 and errors.count() == 2
 
 
 def test_store_versions_expiry_and_invalidation(spark):
@@ -84,3 +84,34 @@ def test_number_like_source_ids_stay_as_written(spark, tmp_path):
     assert chunkstore.load_chunks(spark, path, "007").count() == 1
     chunkstore.invalidate(spark, path, "1e3")
     assert chunkstore.load_chunks(spark, path, "1e3").count() == 0
+
+
+def test_a_bad_file_costs_its_own_rows_only(spark, harvests, tmp_path):
+    """One unreadable parquet file of three, one bad line in each text format, one empty file."""
+    import glob
+    import json
+    harvests.repartition(3).write.parquet(str(tmp_path / "parquet"))
+    rows = [r.asDict() for r in harvests.collect()]
+    for kind, line in (("csv", lambda r: ",".join(map(str, r.values()))), ("json", json.dumps)):
+        (tmp_path / kind).mkdir()
+        for i in range(3):
+            lines = [",".join(rows[0])] * (kind == "csv") + [line(r) for r in rows[i::3]]
+            (tmp_path / kind / f"part{i}.{kind}").write_text("\n".join(lines) + "\n")
+    victim = sorted(glob.glob(str(tmp_path / "parquet" / "*.parquet")))[0]
+    lost = spark.read.parquet(victim).count()
+    with open(victim, "r+b") as file:
+        file.write(b"none")
+        file.truncate(90)
+    harvests.where("false").write.mode("append").parquet(str(tmp_path / "parquet"))
+    with open(sorted(glob.glob(str(tmp_path / "csv" / "*.csv")))[0], "a") as file:
+        file.write("Marsh,rye\n")
+    with open(sorted(glob.glob(str(tmp_path / "json" / "*.json")))[0], "a") as file:
+        file.write('{"FARM": "Marsh", \n')
+    merged, errors = readers.ingest_batch(spark, [
+        (kind, kind, str(tmp_path / kind)) for kind in ("parquet", "csv", "json")] + [
+        ("gone", "json", str(tmp_path / "gone"))])
+    counts = {r["source_id"]: r["count"] for r in merged.groupBy("source_id").count().collect()}
+    assert 0 < lost < 9 and counts == {"parquet": 9 - lost, "csv": 9, "json": 9}
+    found = {r["source_id"]: (r["records"], r["path"].rsplit(".", 1)[-1]) for r in errors.collect()}
+    assert errors.count() == 4 and found["csv"] == (1, "csv") and found["json"] == (1, "json")
+    assert found["parquet"] == (None, "parquet") and found["gone"][0] is None
