@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalogue.tables import monthly_kpis, query
+from catalogue.tables import MONTHLY_SQL, monthly_kpis, query
 from tablesense.functions import words
 from tablesense.operators import ask, factsearch, profile as prof, structure
 from tablesense.operators.roles import profile_roles, read_roles, partner_columns
@@ -178,3 +178,37 @@ def fact_replies(t):
     facts = _known(t).facts()
     hits = factsearch.search(factsearch.build_index(facts), _questions(t), 6)
     return ask.fact_replies(_questions(t).select("question_id", "question"), hits, facts)
+
+
+# One question of each kind that rows answer, for every month of the derived table.
+_ROW_QUESTIONS = ["Which KRIs are in breach?", "Show all Red or Green status items",
+                  "Show outliers in current_value", "What changed vs previous period?"]
+
+
+@query(f"""
+  WITH m AS ({MONTHLY_SQL}),
+  f AS (SELECT quantile_cont(current_value, 0.25) AS q1, quantile_cont(current_value, 0.75) AS q3 FROM m),
+  side AS (SELECT avg(current_value) < avg(red_threshold) AS below FROM m),
+  hit AS (
+    SELECT 'breach' AS intent, 'current_value' AS series, m.*, NULL::DOUBLE AS delta,
+           NULL::DOUBLE AS pct_change FROM m, side
+    WHERE CASE WHEN below THEN current_value < red_threshold ELSE current_value > red_threshold END
+    UNION ALL SELECT 'rag_filter', w, m.*, NULL, NULL FROM m,
+      (SELECT CASE WHEN count(*) FILTER (rag_status = 'Red') > 0 THEN 'red' ELSE 'green' END AS w FROM m)
+      WHERE contains(lower(rag_status), w)
+    UNION ALL SELECT 'outliers', 'current_value', m.*, NULL, NULL FROM m, f
+      WHERE current_value < q1 - 1.5 * (q3 - q1) OR current_value > q3 + 1.5 * (q3 - q1)
+    UNION ALL SELECT 'variance', 'current_value', m.*, round(current_value - previous_value, 4),
+      round((current_value - previous_value) / abs(previous_value) * 100, 2) FROM m)
+  SELECT intent, series, row_number() OVER (PARTITION BY intent, series ORDER BY
+           pct_change NULLS LAST, report_month, kri_name) AS row_no, kri_name, report_month,
+         current_value, rag_status, round(delta, 2) AS delta, pct_change FROM hit""")
+def answer_rows(t):
+    known = onboard(monthly_kpis(t), "kpis", order_by=["report_month", "kri_name"],
+                    grain="month", normalised=True)
+    asked = t.spark.createDataFrame(list(enumerate(_ROW_QUESTIONS)),
+                                    "question_id int, question string")
+    _, rows = known.answer_rows(asked)
+    return rows.select("intent", "series", "row_no", "row.kri_name", "row.report_month",
+                       "row.current_value", "row.rag_status", F.round("delta", 2).alias("delta"),
+                       "pct_change")

@@ -5,7 +5,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.operators import ask, factsearch, findings, profile as profiles, structure
+from tablesense.operators import (
+    answerrows, ask, factsearch, findings, profile as profiles, structure)
 from tablesense.operators.roles import (
     TableRoles, capability_flags, partner_columns, profile_roles, read_roles, semantic_roles,
     visual_roles,
@@ -68,6 +69,12 @@ class Onboarded:
         resolved = ask.resolve_questions(keyed, profile_roles(self.profile))
         return ask.answer_questions(self.table, self.roles, resolved)
 
+    def answer_rows(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(asked, rows): the rows behind breach, status, outlier and variance questions."""
+        keyed = questions.withColumn("source_id", F.lit(self.source_id))
+        resolved = ask.resolve_questions(keyed, profile_roles(self.profile))
+        return answerrows.answer_rows(self.table, self.roles, resolved, self.order_by)
+
     def route(self, questions: DataFrame, k=6) -> DataFrame:
         """Computed answer, fact search or fallback per question."""
         facts = self.facts()
