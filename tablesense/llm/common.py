@@ -10,13 +10,26 @@ from tablesense.session import ensure_checkpoint_dir, scratch_path
 SPACES = r"\x20\x09-\x0D"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends there, and a
-    lost executor cannot change what a second reader sees."""
+    lost executor cannot change what a second reader sees.
+
+    `batch` bounds the bytes of a batch that goes to Python while this table is written;
+    texts in larger ones are held by both sides.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch is not None:
+        spark.conf.set(_BATCH, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -30,6 +43,15 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table stored with a number for each row, and the number's column: `name` with
+    as many underscores before it as no other column needs. Rows that share an id, or have
+    none, are told apart by it."""
+    while name in df.columns:
+        name = "_" + name
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of an id written as text, modulo `folds`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
@@ -82,14 +104,19 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
 
 def slices(texts: list[bytes], most: int = 1 << 20):
     """(start, stop) of runs of texts of about `most` bytes, one text at least."""
+    return sized_slices([len(text) for text in texts], most)
+
+
+def sized_slices(sizes: list[int], most: int):
+    """The same for texts of known sizes."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > most:
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
             yield start, i
             start, held = i, 0
-        held += len(text) + 64
-    if start < len(texts):
-        yield start, len(texts)
+        held += size + 64
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def hashed_sample(df: DataFrame, keys: list[str], most: int, total: int) -> DataFrame:

@@ -15,10 +15,12 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.llm.common import broadcast_value, own_columns, slices, split_by_keys, stored, texts_of
+from tablesense.llm.common import (
+    broadcast_value, own_columns, sized_slices, split_by_keys, stored, texts_of)
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -33,6 +35,8 @@ LEAST_DOCS = 3
 FILTER_BITS = 1 << 24
 #: Distinct counts a task holds before it passes them on.
 COUNTED = 300_000
+#: Bytes of texts a task works on at once, and of a batch that goes to Python.
+PART, BATCH = 1 << 20, "8m"
 
 _DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
@@ -74,8 +78,8 @@ def _leaf_counts(depth: int):
                 "leaf": pa.array(list(found), pa.int64()),
                 "docs": pa.array(list(found.values()), pa.int64())})
 
-        for batch in batches:
-            for text in texts_of(batch):
+        for _, texts in chain.from_iterable(map(_parts, batches)):
+            for text in texts:
                 lines = [tokens_of(x) for x in text.split(b"\n")]
                 found.update({leaf_of(t, depth) for t in lines if len(t) >= LEAST_TOKENS})
             if len(found) > COUNTED:
@@ -86,9 +90,12 @@ def _leaf_counts(depth: int):
 
 
 def _parts(batch: pa.RecordBatch):
-    """The texts of a batch in runs of a few megabytes, which bounds what a run gives out."""
-    texts = texts_of(batch)
-    return (texts[at:stop] for at, stop in slices(texts, 4 << 20))
+    """A batch in runs of about PART bytes of text, with their texts, which bounds what is
+    held beside the batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    for at, stop in sized_slices(sizes.tolist(), PART):
+        part = batch.slice(at, stop - at)
+        yield part, texts_of(part)
 
 
 def _leaf_lines(sent, depth: int):
@@ -96,7 +103,7 @@ def _leaf_lines(sent, depth: int):
     hashes of the text, the line and each token."""
     def run(batches):
         bits = sent.value
-        for texts in chain.from_iterable(map(_parts, batches)):
+        for _, texts in chain.from_iterable(map(_parts, batches)):
             out = {"key": [], "leaf": [], "line": [], "tokens": []}
             for text in texts:
                 lines = {b" ".join(t): t for t in map(tokens_of, text.split(b"\n"))
@@ -175,9 +182,11 @@ def recurring(texts: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS
         F.bit_or(F.call_function("shiftleft", F.lit(1), at % 8)).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     bits[held.column("byte").to_numpy()] = held.column("bits").to_numpy()
+    sent = broadcast_value(texts, bits)
     lines = stored(texts.select("text").mapInArrow(
-        _leaf_lines(broadcast_value(texts, bits), depth),
-        "key binary, leaf long, line long, tokens array<long>"), "leaf-lines")
+        _leaf_lines(sent, depth),
+        "key binary, leaf long, line long, tokens array<long>"), "leaf-lines", BATCH)
+    sent.unpersist()
     unique = stored(lines.groupBy("leaf", "line").agg(
         F.count("*").alias("n"), F.first("tokens").alias("tokens")), "unique-lines")
     # A text has each of its lines once, so n counts different texts.
@@ -211,41 +220,42 @@ def without_recurring_lines(docs: DataFrame, depth: int = DEPTH,
     """
     own = own_columns(docs, "doc_id", "text")
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    copies = stored(own.groupBy(key.alias("sha")).agg(
-        F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
-    ids = own.select("doc_id", key.alias("sha")).join(copies, "sha")
-    others, shared = split_by_keys(own, "doc_id", ids.select("doc_id"))
+    copies = stored(own.groupBy(key.alias("sha")).agg(F.count("*").alias("n")).where(
+        "n > 1").select("sha"), "copies")
+    # Texts are told apart by their key alone, whatever their ids.
+    others, shared = split_by_keys(own.withColumn("sha", key), "sha", copies)
     texts = others.select("text").union(shared.select("text").distinct())
     drops = recurring(texts, depth, least_docs).groupBy("key").agg(
         F.collect_set("line").alias("lines"))
     drops = stored(drops, "drops")
 
     def keyed(batches):
-        for batch in batches:
+        for part, texts in chain.from_iterable(map(_parts, batches)):
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "text": batch.column("text"),
-                "key": pa.array([text_key(t) for t in texts_of(batch)], pa.binary())})
+                "doc_id": part.column("doc_id"), "text": part.column("text"),
+                "key": pa.array([text_key(t) for t in texts], pa.binary())})
 
     kind = own.schema["doc_id"].dataType.simpleString()
     marked = own.mapInArrow(keyed, f"doc_id {kind}, text string, key binary")
     plain, cut = split_by_keys(marked, "key", drops.select("key"))
 
     def rewritten(batches):
-        for batch in batches:
-            texts, counts, gone = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist()):
-                drop, lines = set(drop or ()), (text or "").encode().split(b"\n")
+        for part, texts in chain.from_iterable(map(_parts, batches)):
+            out, counts, gone = [], [], []
+            null = part.column("text").is_null().to_pylist()
+            for text, none, drop in zip(texts, null, part.column("lines").to_pylist()):
+                drop, lines = set(drop or ()), text.split(b"\n")
                 kept = [x for x in lines if not drop or _hash(b" ".join(tokens_of(x))) not in drop
                         or len(x.split()) < LEAST_TOKENS]
-                texts.append(None if text is None else b"\n".join(kept).decode())
+                out.append(None if none else b"\n".join(kept))
                 counts.append(len(lines) if text else 0)
                 gone.append(len(lines) - len(kept))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string()),
+                "doc_id": part.column("doc_id"), "text": pa.array(out, pa.binary()).cast(pa.string()),
                 "n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(gone, pa.int64())})
 
     none = F.array().cast("array<long>")
     both = plain.select("doc_id", "text", none.alias("lines")).union(
         cut.join(drops, "key").select("doc_id", "text", "lines"))
-    return both.mapInArrow(
-        rewritten, f"doc_id {kind}, text string, n_lines long, n_dropped long")
+    return stored(both.mapInArrow(
+        rewritten, f"doc_id {kind}, text string, n_lines long, n_dropped long"), "rewritten", BATCH)
