@@ -32,7 +32,9 @@ def pearson(a: Column, b: Column) -> Column:
     """Pearson correlation over complete pairs; NULL where one side is constant."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    # A constant side has a spread of rounding errors, not of exactly 0.
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varied, F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)))
 
 
 def relative_change(now: Column, before: Column, digits=2) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesense.functions.numbers import clean, pearson, percent, rounded
 from tablesense.functions.periods import period_order
+from tablesense.operators.gram import pair_correlations
 from tablesense.operators.quantiles import wide_quantiles
 
 
@@ -153,21 +154,34 @@ def cross_cells(df: DataFrame, rows: str, cols: str, measure: str) -> DataFrame:
     ).agg(F.sum(clean(df.schema, measure)).alias("value"))
 
 
-def correlation_pairs(df: DataFrame, measures, digits=3) -> DataFrame:
-    """Pearson correlation of every pair of measures, strongest first, in one scan.
+#: Up to so many measures, all pairs are expressions of one aggregate.
+FEW_MEASURES = 12
 
-    The number of pairs depends on the number of measures, never on the data.
-    """
-    cols = list(measures)
+
+def _pair_values(df: DataFrame, cols) -> DataFrame:
+    """(col_a, col_b, correlation) for every pair, the earlier measure first."""
+    if len(cols) > FEW_MEASURES:
+        name = lambda at: F.get(F.array(*[F.lit(c) for c in cols]), F.col(at))
+        return pair_correlations(df, cols).select(
+            name("i").alias("col_a"), name("j").alias("col_b"), "correlation")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     row = df.agg(*[pearson(clean(df.schema, a), clean(df.schema, b)).alias(f"r{i}")
                    for i, (a, b) in enumerate(pairs)])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("correlation"))
+        for i, (a, b) in enumerate(pairs)])))
+
+
+def correlation_pairs(df: DataFrame, measures, digits=3) -> DataFrame:
+    """Pearson correlation of every pair of measures, strongest first.
+
+    Few measures take one aggregate, many take matrices of moments: two scans, whatever
+    their number.
+    """
     r = F.abs("correlation")
     return (
-        row.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     rounded(F.col(f"r{i}"), digits).alias("correlation"))
-            for i, (a, b) in enumerate(pairs)])))
+        _pair_values(df, list(measures))
+        .withColumn("correlation", rounded(F.col("correlation"), digits))
         .withColumn("strength",
                     F.when(r > 0.7, "strong").when(r > 0.4, "moderate").otherwise("weak"))
         .orderBy(F.desc_nulls_last(r), "col_a", "col_b")
@@ -177,6 +191,8 @@ def correlation_pairs(df: DataFrame, measures, digits=3) -> DataFrame:
 def correlation_matrix(df: DataFrame, measures, digits=3) -> DataFrame:
     """The full matrix: one row per measure, one column per measure."""
     cols = list(measures)
+    if len(cols) > FEW_MEASURES:
+        return _matrix_of_pairs(df, cols, digits)
     pairs = {(a, b): f"r{i}_{j}" for i, a in enumerate(cols)
              for j, b in enumerate(cols) if i < j}
     aggs = [pearson(clean(df.schema, a), clean(df.schema, b)).alias(n)
@@ -191,6 +207,19 @@ def correlation_matrix(df: DataFrame, measures, digits=3) -> DataFrame:
         for a in cols])))
 
 
+def _matrix_of_pairs(df: DataFrame, cols, digits) -> DataFrame:
+    """The matrix from its pairs; a table of columns times columns, whatever the data."""
+    spreads = df.agg(*[F.stddev_samp(clean(df.schema, c)).alias(f"s{i}") for i, c in enumerate(cols)])
+    own = spreads.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(f"s{i}") > 0, 1.0).alias("r"))
+        for i, c in enumerate(cols)])))
+    pairs = _pair_values(df, cols)
+    cells = own.union(pairs).union(pairs.select("col_b", "col_a", "correlation"))
+    return cells.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "r"))).alias("m")
+                                  ).select(F.col("a").alias("measure"), *[
+        rounded(F.element_at("m", F.lit(c)), digits).alias(c) for c in cols])
+
+
 def geo_aggregate(df: DataFrame, geo: str, measure: str) -> DataFrame:
     """Sum, mean and count per place, largest sum first."""
     value = clean(df.schema, measure)

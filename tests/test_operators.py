@@ -311,3 +311,32 @@ def test_unreadable_values_are_changes(spark):
     rows = {r["k"]: r["status"] for r in
             reconcile.compare_rows(left, right, ["k"], {"v": "w"}).collect()}
     assert rows == {1: "changed", 2: "matched", 3: "changed"}
+
+
+def test_correlations_of_many_measures(spark, monkeypatch):
+    """Matrices of moments agree with one expression for each pair, nulls pair by pair."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(400):
+        x = rng.gauss(1e8, 1)
+        row = [x, x + rng.gauss(0, 0.5), rng.random(), 7.0, None, float("nan"), -x]
+        rows.append([v if v is None or rng.random() < 0.8 else None for v in row])
+    names = [f"m{i}" for i in range(7)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    plain = {(r["col_a"], r["col_b"]): r["correlation"]
+             for r in aggregate.correlation_pairs(df, names, None).collect()}
+    square = {r["measure"]: r.asDict() for r in aggregate.correlation_matrix(df, names).collect()}
+    monkeypatch.setattr(aggregate, "FEW_MEASURES", 2)
+    many = {(r["col_a"], r["col_b"]): r["correlation"]
+            for r in aggregate.correlation_pairs(df, names, None).collect()}
+    assert len(many) == 21 and many.keys() == plain.keys()
+    for pair, r in plain.items():
+        assert many[pair] == (None if r is None else pytest.approx(r, abs=1e-6)), pair
+    assert {r["measure"]: r.asDict() for r in aggregate.correlation_matrix(df, names).collect()} == square
+
+
+def test_three_hundred_measures(spark):
+    df = spark.range(200).select(*[F.sin(F.col("id") * (i % 7 + 1)).alias(f"m{i}") for i in range(300)])
+    found = aggregate.correlation_pairs(df, df.columns)
+    assert found.count() == 300 * 299 // 2
+    assert found.where("col_a = 'm0' AND col_b = 'm7'").first()["correlation"] == 1.0
