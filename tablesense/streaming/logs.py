@@ -4,7 +4,7 @@ Each function maps a (streaming or batch) DataFrame to another; the caller start
 query.  Event times must be TIMESTAMP, since watermarks do not take TIMESTAMP_NTZ.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesense.functions.numbers import clean
 
@@ -32,11 +32,21 @@ def activity_sessions(log: DataFrame, time: str, key: str, gap="30 minutes",
 
 
 def drop_replays(log: DataFrame, time: str, keys, ttl="1 hour") -> DataFrame:
-    """Keep the first row per key within the time to live."""
-    watermarked = log.withWatermark(time, ttl)
+    """The rows that no row of the same key precedes by the time to live or less.
+
+    A batch walks the gaps between ordered times, so a replay renews the time to live; of
+    rows of one time, the least hash stays. A stream keeps the first row of a key and drops
+    others until its watermark, which follows the latest time by the time to live, has
+    passed that row's own: it may take a row for a replay that a batch keeps, while its
+    watermark is behind, and start a long chain of replays anew, which a batch does not.
+    """
+    keys = list(keys)
     if log.isStreaming:
-        return watermarked.dropDuplicatesWithinWatermark(list(keys))
-    return watermarked.dropDuplicates(list(keys))
+        return log.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time, "_hash"))
+    marked = log.withColumn("_hash", F.xxhash64(*log.columns)).withColumn(
+        "_fresh", before.isNull() | (F.col(time) > before + F.expr(f"INTERVAL {ttl}")))
+    return marked.where("_fresh").drop("_hash", "_fresh")
 
 
 def breach_alerts(log: DataFrame, key: str, value: str, thresholds: DataFrame,

@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from tablesense.session import scratch_path
@@ -115,3 +118,33 @@ def test_a_bad_file_costs_its_own_rows_only(spark, harvests, tmp_path):
     found = {r["source_id"]: (r["records"], r["path"].rsplit(".", 1)[-1]) for r in errors.collect()}
     assert errors.count() == 4 and found["csv"] == (1, "csv") and found["json"] == (1, "json")
     assert found["parquet"] == (None, "parquet") and found["gone"][0] is None
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_replays_go_while_they_live(spark, tmp_path, streamed):
+    """Within a file, across files, and beyond the time to live of an hour."""
+    from tablesense.streaming import logs
+    files = [[(0, "a"), (0, "a"), (5, "b"), (50, "a")], [(60, "a"), (390, "c"), (390, "d")],
+             [(391, "e"), (392, "c")], [(400, "a"), (401, "e")]]
+    if not streamed:  # a chain: each row renews, and a gap of more than an hour ends it
+        files.append([(450, "a"), (505, "a"), (566, "a")])
+    for part in files:
+        spark.createDataFrame(part, "m int, k string").select(
+            "k", F.timestamp_seconds(F.col("m") * 60 + 1_700_000_000).alias("ts"), "m").coalesce(
+            1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    found = spark.read.parquet(str(tmp_path / "in"))
+    if streamed:
+        stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(
+            str(tmp_path / "in"))
+        logs.drop_replays(stream, "ts", ["k"]).writeStream.outputMode("append").format(
+            "parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(
+            availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        fresh = spark.read.parquet(str(tmp_path / "out"))
+    else:
+        fresh = logs.drop_replays(found, "ts", ["k"])
+    got = {}
+    for r in fresh.orderBy("m").collect():
+        got.setdefault(r["k"], []).append(r["m"])
+    more = [] if streamed else [566]
+    assert got == {"a": [0, 400, *more], "b": [5], "c": [390], "d": [390], "e": [391]}
