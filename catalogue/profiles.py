@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalogue.tables import MONTHLY_SQL, monthly_kpis, query
+from catalogue.tables import LABELLED_SQL, MONTHLY_SQL, labelled_documents, monthly_kpis, query
 from tablesense.functions import words
 from tablesense.operators import profile as prof, roles, structure
 
@@ -178,13 +178,15 @@ def column_profiles(t):
         F.round("sum", 2).alias("sum"), F.array_join("samples", "|").alias("samples"))
 
 
-@query("""SELECT source_id, "column", n_null, round(n_null * 100.0::DOUBLE / n_rows, 1) AS null_pct
-          FROM (SELECT 'labelled' AS source_id, 'quality' AS "column",
-                       count(*) - count(quality) AS n_null, count(*) AS n_rows
-                FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""")
+_NULL_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT 'labelled' AS source_id, '{c}' AS "column", count(*) - count({c}) AS n_null,
+               round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 1) AS null_pct
+        FROM ({LABELLED_SQL})""" for c in _NULL_COLUMNS))
 def null_percentages(t):
-    docs = t["documents"].select("doc_id").join(t["labels"], "doc_id", "left")
-    return prof.null_percent(prof.profile_columns(docs, "labelled", columns=["quality"])).select(
+    return prof.null_percent(prof.profile_columns(labelled_documents(t), "labelled")).select(
         "source_id", "column", "n_null", "null_pct")
 
 

@@ -32,15 +32,19 @@ def _questions(t):
 
 def _intent_sql(text, prefix):
     import re
-    cases = []
+
+    def begins(keys):
+        alternatives = "|".join(
+            "(?:^|[^a-z0-9])" + re.escape(k)
+            + ("(?:$|[^a-z0-9])" if k in words.WHOLE_WORD_INTENTS else "") for k in keys)
+        return f"regexp_matches(lower({text}), '{alternatives}')"
+
+    changes = [*dict(words.INTENT_WORDS)["variance"], "vs"]
+    cases = [f"WHEN contains(lower({text}), 'previous') AND {begins(changes)} THEN 'variance'"
+             ] if prefix else []
     for intent, keys in words.INTENT_WORDS:
-        if prefix:
-            alternatives = "|".join(
-                "(?:^|[^a-z0-9])" + re.escape(k)
-                + ("(?:$|[^a-z0-9])" if k in words.WHOLE_WORD_INTENTS else "") for k in keys)
-            cond = f"regexp_matches(lower({text}), '{alternatives}')"
-        else:
-            cond = " OR ".join(f"contains(lower({text}), '{k}')" for k in keys)
+        cond = begins(keys) if prefix else " OR ".join(
+            f"contains(lower({text}), '{k}')" for k in keys)
         cases.append(f"WHEN {cond} THEN '{intent}'")
     return f"CASE {' '.join(cases)} ELSE 'summary' END"
 
@@ -53,11 +57,9 @@ def question_intents_by_substring(t):
                         ask.classify_intent(F.col("text"), "substring").alias("intent"))
 
 
-@query(f"""SELECT doc_id, {_intent_sql('text', True)} AS intent FROM documents
-           WHERE NOT contains(lower(text), 'previous')""")
+@query(f"SELECT doc_id, {_intent_sql('text', True)} AS intent FROM documents")
 def question_intents(t):
-    docs = t["documents"].where(~F.lower("text").contains("previous"))
-    return docs.select("doc_id", ask.classify_intent(F.col("text")).alias("intent"))
+    return t["documents"].select("doc_id", ask.classify_intent(F.col("text")).alias("intent"))
 
 
 @query(r"""SELECT doc_id, coalesce(TRY_CAST(regexp_extract(text,

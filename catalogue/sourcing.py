@@ -346,14 +346,14 @@ def percent_range_lines(t):
 
 @query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey
                  || ',"o_orderstatus":"' || o_orderstatus || '","ratio":null}' AS record
-          FROM orders ORDER BY o_orderkey LIMIT 200""")
+          FROM orders""")
 def json_records(t):
     rows = t["orders"].select("o_orderkey", "o_custkey", "o_orderstatus",
                               F.lit(float("nan")).alias("ratio"))
     return export.json_records(rows, ["o_orderkey"])
 
 
-@query(f"""SELECT o_orderkey, {_ORDER_LINE} AS line FROM orders ORDER BY o_orderkey LIMIT 80""")
+@query(f"""SELECT o_orderkey, {_ORDER_LINE} AS line FROM orders""")
 def csv_preview(t):
     return export.csv_preview(_order_rows(t), ["o_orderkey"])
 

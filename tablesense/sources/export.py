@@ -1,29 +1,34 @@
-"""Exports: capped JSON-safe records, CSV previews, the portable profile document."""
+"""Exports: JSON-safe records, CSV previews, the portable profile document."""
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from tablesense.functions.numbers import finite
 
-RECORD_LIMIT = 200   # fixed values: rows of an answer, rows of a preview
-PREVIEW_ROWS = 80
+PREVIEW_ROWS = 80  # fixed value: rows of a preview text
 
 
-def json_records(df: DataFrame, order_by, n=RECORD_LIMIT) -> DataFrame:
-    """The first n rows in order as JSON objects, NaN and infinities as null."""
+def _first(df: DataFrame, order_by, n) -> DataFrame:
+    """All rows in order, or the first n."""
+    rows = df.orderBy(*order_by)
+    return rows if n is None else rows.limit(n)
+
+
+def json_records(df: DataFrame, order_by, n=None) -> DataFrame:
+    """The rows in order, or the first n, as JSON objects, NaN and infinities as null."""
     safe = [
         (finite(F.col(f"`{f.name}`")) if isinstance(f.dataType, (DoubleType, FloatType))
          else F.col(f"`{f.name}`")).alias(f.name)
         for f in df.schema.fields]
-    return df.orderBy(*order_by).limit(n).select(
+    return _first(df, order_by, n).select(
         *order_by,
         F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def csv_preview(df: DataFrame, order_by, n=PREVIEW_ROWS) -> DataFrame:
-    """The first n rows as CSV lines in order."""
+def csv_preview(df: DataFrame, order_by, n=None) -> DataFrame:
+    """The rows, or the first n, as CSV lines in order."""
     columns = [F.col(f"`{c}`") for c in df.columns]
-    return df.orderBy(*order_by).limit(n).select(
+    return _first(df, order_by, n).select(
         *order_by, F.to_csv(F.struct(*columns)).alias("line"))
 
 
