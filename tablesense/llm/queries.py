@@ -50,6 +50,15 @@ def op6_kneser_ney_quality(spark, folder):
     return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+SQL["op7_heavy_hitter_dedup"] = r"""
+  WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare
+             FROM documents)
+  SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+         row_number() OVER best = 1 AS kept, sha256(bare) AS text_sha256
+  FROM d WINDOW best AS (PARTITION BY bare ORDER BY n DESC, doc_id NULLS LAST)"""
+
+
 @_query
 def op7_heavy_hitter_dedup(spark, folder):
     return exactdedup.exact_groups(_table(spark, folder, "documents")).drop("hot")
