@@ -1,6 +1,9 @@
 """Helpers the operators share: texts as bytes in Arrow batches, stored intermediate
 tables, fold numbers, and hashed samples."""
 
+import ctypes
+import platform
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,6 +60,15 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def give_back() -> None:
+    """Return to the system what this worker no longer uses, such as an earlier job's
+    broadcast; a reused worker would hold it until its end. Elsewhere than on glibc nothing
+    happens."""
+    pa.default_memory_pool().release_unused()
+    if platform.libc_ver()[0] == "glibc":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def broadcast_value(df: DataFrame, value):
     """A Python value for every task. Callers state why its size is bounded."""
     return df.sparkSession.sparkContext.broadcast(value)

@@ -12,7 +12,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.llm.common import SPACES, own_columns, stored
+from tablesense.llm.common import SPACES, numbered, stored
 from tablesense.operators.indexing import dense_index
 
 #: Weights of the sources in code point order, repeating.
@@ -20,19 +20,19 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents per block of the reduction tree; a level shrinks the undecided ones so much.
 BLOCK = 1024
 
-_UNIT = "row long, doc_id long, source string, size long, source_size long, target double, " \
+_UNIT = "row long, number long, doc_id long, source string, size long, source_size long, target double, " \
         "whole long, part double, settled boolean"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of words between ASCII white space.
+def sizes(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """number, doc_id, source and size: the number of words between ASCII white space.
 
     Lower-casing changes no count. Null and empty texts have size 0.
     """
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACES}]+", " "))
     words = F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1
-    return own_columns(docs, "doc_id", "text", "source").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source",
+    return docs.select(
+        (F.lit(None) if number is None else F.col(f"`{number}`")).cast("long").alias("number"), F.col("doc_id").cast("long").alias("doc_id"), "source",
         F.when(text == "", F.lit(0)).otherwise(words).cast("long").alias("size"),
         F.monotonically_increasing_id().alias("row"))
 
@@ -119,7 +119,7 @@ def _round_block(seed: int):
 
 def _unit_batch(rows):
     schema = pa.schema([
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()),
+        ("row", pa.int64()), ("number", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()),
         ("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()),
         ("whole", pa.int64()), ("part", pa.float64()), ("settled", pa.bool_())])
     return pa.RecordBatch.from_pylist(
@@ -127,8 +127,9 @@ def _unit_batch(rows):
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share=1.5, most=2.0, seed: int = 42,
-          block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+          block: int = BLOCK, number: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken; and
+    number, if that names a column that numbers the rows.
 
     `taken` is copies * size. The words taken of a source differ from its target by less
     than its last undecided document, and no document is taken more than `most` times,
@@ -137,14 +138,14 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share=1.5, most=2.0, seed: int = 42,
     A null source is a source of its own, the last. Repeated rows are rounded one by one.
     An empty table gives an empty result. Other columns are ignored.
     """
-    sized = stored(sizes(docs), "sizes")
+    sized = stored(sizes(docs, number), "sizes")
     targets = source_targets(sized, weights, share, most)
     same = F.col("source").eqNullSafe(F.col("_source"))
     wanted = sized.join(targets.withColumnRenamed("source", "_source"), same)
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     part = rate - F.floor(rate)
     units = wanted.select(
-        F.xxhash64(F.lit(seed), "doc_id", "size").alias("row"), "doc_id", "source", "size",
+        F.xxhash64(F.lit(seed), "doc_id", "size").alias("row"), "number", "doc_id", "source", "size",
         "source_size", "target", F.floor(rate).alias("whole"), part.alias("part"),
         (part == 0).alias("settled"))
     total = sized.count()
@@ -166,20 +167,22 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share=1.5, most=2.0, seed: int = 42,
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
+    given = [] if number is None else ["number"]
     copies = F.col("whole") + F.col("part").cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target",
+    return out.select(*given, "doc_id", "source", "size", "source_size", "target",
                       copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def repeated_to_targets(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The documents, each as often as the mix takes it, with all their columns.
 
-    Rows that share a doc_id each get an even part of that id's copies, rounded up.
+    Rows are told apart by a number, so each of several rows with one id, or without, has
+    the copies that the mix gives it.
     """
-    counts = mixed(docs, seed=seed).groupBy(F.col("doc_id").alias("_mixed_id")).agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    joined = docs.join(counts.where("_copies > 0"),
-                       F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
-    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).drop(
-        "_mixed_id", "_copies", "_rows", "_copy")
+    rows, number = numbered(docs, "_mixed_row")
+    counts = mixed(rows, seed=seed, number=number)
+    taken = counts.where("copies > 0").select(
+        F.col("number").alias("_mixed_number"),
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_mixed_copy"))
+    return rows.join(taken, F.col(number) == F.col("_mixed_number")).select(
+        *[F.col(f"`{name}`") for name in docs.columns])

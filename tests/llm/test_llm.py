@@ -266,20 +266,22 @@ def test_near_stage_agrees_with_all_pairs(spark, docs, empty):
             if a == b or 5 * both >= 4 * (len(a) + len(b) - both):
                 links.setdefault(i, []).append(j)
                 links.setdefault(j, []).append(i)
-    want = {}
+    want, parts = {}, set()
     for i in range(len(rows)):
         seen, todo = {i}, [i]
         while todo:
             todo = [k for j in todo for k in links.get(j, ()) if k not in seen and not seen.add(k)]
         want[i] = min((rows[k][0] for k in seen if rows[k][0] is not None), default=None)
+        parts.add(frozenset(seen))
     df = spark.createDataFrame(rows, docs.schema).repartition(3)
     got = minhash.near_copies(df).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted(
         (str(r[0]), str(want[i])) for i, r in enumerate(rows))
     kept = minhash.without_near_copies(df)
     assert kept.columns == df.columns
+    # One row of each component, also where ids repeat or are missing.
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
-        str(r[0]) for i, r in enumerate(rows) if r[0] is None or r[0] == want[i])
+        str(min((rows[k][0] for k in part if rows[k][0] is not None), default=None)) for part in parts)
     assert minhash.near_copies(empty).count() == 0
 
 
@@ -342,3 +344,37 @@ def test_whole_trusted_texts_are_counted(spark):
     sample = spark.createDataFrame([("a b " * 6000,), ("c",)], "text string")
     counts = quality._counted(sample, {b"a": 3, b"b": 4}).collect()
     assert sum(r.c for r in counts) == 12000 + 1 + 1 + 1
+
+
+def test_lines_of_copies_without_ids_stay(spark):
+    rows = [(i if i > 2 else None, t, None, None, 1, 1, "d", "k", 3, "w") for i, t in enumerate(
+        ["one line that is here three times"] * 3 + ["a line that is here alone"] * 2)]
+    got = linedup.without_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.n_dropped for r in got) == 0 and len(got) == 5
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Ids that repeat, or are missing, decide nothing in the pipeline's stages."""
+    words = [f"w{i}" for i in range(40)]
+    near = [" ".join(words), " ".join([*words, "more"])]
+    rows = [(None, near[0]), (None, near[1]), (7, "quite another text"), (7, near[0]), (8, "x y z")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, 7, "d", "k", 3, "w") for i, t in rows], SCHEMA)
+    kept = minhash.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(
+        map(str, spark.createDataFrame([rows[2], rows[3], rows[4]], "doc_id long, text string").collect()))
+    many = spark.createDataFrame([(i // 4, f"a b c{i}", None, "s%d" % (i % 3), 1, 7, "d", "k", 3, "w")
+                                  for i in range(400)], SCHEMA)
+    mix, taken = mixing.mixed(many), mixing.repeated_to_targets(many)
+    assert taken.columns == many.columns
+    assert taken.count() == mix.groupBy().sum("copies").first()[0]
+    assert taken.groupBy("source").count().collect() and taken.groupBy("text").count().where(
+        "count > 2").count() == 0
+    rng = random.Random(1)
+    good = [" ".join(rng.choice(words[:12]) for _ in range(60)) for _ in range(300)]
+    odd = " ".join(f"zz{i}q" for i in range(200))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, "d", "k", 3, "w")
+                                  for i, t in [*enumerate(good), (5, odd), (None, odd)]], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    stay = [r.text for r in quality.accepted(docs, labels).collect()]
+    assert odd not in stay and good[5] in stay and len(stay) > 280
