@@ -1,30 +1,31 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is counted on a bounded sample of trusted text. Its n-gram, context and
-continuation counts are sharded tables that are joined to give each seen n-gram its
-interpolated probability. At scoring, words, bigrams and frequent trigrams, bounded by the
-sample, are at hand in every task; the other trigrams stay sharded, and the rows of a
-document that may hold one are joined to them. Documents above their language's quantile of
-trusted perplexity are rejected. There is no lower limit: near copies of trained text lie
-there as well.
+The model is counted on all texts that train, and every n-gram of theirs keeps its value.
+Words go by 64-bit hashes, so no task needs the vocabulary. The log probability of a text
+is a sum of one value for each word, pair and trigram: what the n-gram adds to the
+probability of the next shorter one, and what backing off from it costs; n-grams that the
+model has not seen add nothing. Words seen once are unknown: n-grams that end in one, and
+contexts that do, have no value. So a text is scored by one join on the hashes. A bounded
+number of the most frequent values is at hand in every task, and a filter of fixed size
+spares n-grams that are surely unseen; both only save work. Documents above their
+language's quantile of trusted perplexity are rejected. There is no lower limit: near
+copies of trained text lie there as well.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesense.llm.common import (
-    broadcast_value, give_back, hashed_sample, numbered, own_columns, sized_slices,
-    split_by_keys, stored,
+    broadcast_value, give_back, numbered, own_columns, sized_slices, split_by_keys, stored,
     texts_of, words_of)
 
-#: Bound of the trusted sample: documents, each with its whole text.
-TRAIN_DOCS = 4096
-#: Words with an id; the rest, and words seen once, are unknown.
-VOCABULARY = 1 << 17
-#: Trigrams counted so often are at hand in every task.
-FREQUENT = 2
+#: Values of the most frequent n-grams that every task has at hand, at most.
+HEAD = 1 << 20
 #: The quantile of trusted perplexity that is still accepted, and the margin beyond it in
 #: parts of its distance from the median.
 QUANTILE, MARGIN = 0.995, 0.1
@@ -32,14 +33,15 @@ QUANTILE, MARGIN = 0.995, 0.1
 CALIBRATED = 50
 #: Mean tokens that are added to a text, so that a few odd words decide nothing.
 PRIOR_TOKENS = 30
-#: Bits of the filter that spares most rows the join.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that spares unseen n-grams the join, and bits sent at once.
+FILTER_BITS, PAGE = 1 << 27, 1 << 23
 #: Bytes of a batch of texts that goes to Python at once, and of those worked on at once.
 BATCH, PART = "4m", 1 << 18
+#: Tokens that are counted at once, and words whose hashes are held.
+COUNTED, HELD = 1 << 18, 1 << 16
 
-UNKNOWN, START, END = 0, 1, 2
-_BITS = 20
-_WORD, _PAIR = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
+UNKNOWN = 0
+START, END = 0x5BD1E995D6E8FEB8, 0x1B873593CC9E2D51
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -49,101 +51,227 @@ def trusted(labels: DataFrame) -> DataFrame:
         "fit", F.pmod(F.xxhash64(F.lit(6), "_id"), F.lit(2)) == 0)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Texts of at most `most` trusted documents, by the hash of their id."""
-    good = trusted(labels).where("fit").select("_id")
-    ids = hashed_sample(good, ["_id"], most, good.count())
+def _fitting(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts that train."""
+    ids = trusted(labels).where("fit").select("_id")
     own = own_columns(docs, "doc_id", "text").where("text IS NOT NULL")
-    return stored(own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select(
-        "text"), "trusted")
-
+    return own.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
 
-def _counted(sample: DataFrame, words: dict[bytes, int]) -> DataFrame:
-    """(key, c): trigram counts of the sample, three ids in one long, summed by shard."""
-    sent = broadcast_value(sample, words)
 
-    def run(batches):
-        for batch in batches:
-            keys = []
-            for text in texts_of(batch):
-                ids = _ids(words_of(text), sent.value)
-                keys.append(ids[:-2] << 2 * _BITS | ids[1:-1] << _BITS | ids[2:])
-            keys, counts = np.unique(np.concatenate(keys), return_counts=True) if keys else ([], [])
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(keys, pa.int64()), "c": pa.array(counts, pa.int64())})
+class _Hashes(dict):
+    """The hash of each word."""
 
-    return sample.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, 6) - (1 << 63)
+        return found
 
 
 def _ids(found: list[bytes], words: dict[bytes, int]) -> np.ndarray:
-    """Two starts, the words' ids, and an end."""
+    """Two starts, the words' ids, and an end; UNKNOWN for words that `words` lacks."""
     out = np.empty(len(found) + 3, dtype=np.int64)
     out[:2], out[-1] = START, END
-    out[2:-1] = [words.get(w, UNKNOWN) for w in found]
+    if isinstance(words, _Hashes):
+        out[2:-1] = [words[w] for w in found]
+    else:
+        out[2:-1] = [words.get(w, UNKNOWN) for w in found]
+    return out
+
+
+def _key(*ids: np.ndarray) -> np.ndarray:
+    """One hash of the hashes of two or three words in a row; `_key_of` in numpy."""
+    out = ids[0].view(np.uint64).copy()
+    for i, x in enumerate(ids[1:], 1):
+        x, by = x.view(np.uint64), np.uint64(23 * i)
+        out ^= x << by | x >> np.uint64(64) - by
+    return out.view(np.int64)
+
+
+def _key_of(*names: str):
+    out = F.col(names[0])
+    for i, name in enumerate(names[1:], 1):
+        out = out.bitwiseXOR(F.shiftleft(name, 23 * i).bitwiseOR(
+            F.shiftrightunsigned(name, 64 - 23 * i)))
     return out
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from counts of counts."""
-    n = counts.agg(*[F.count(F.when(F.col("c") == i, 1)) for i in range(1, 5)]).first()
+def _counted(texts: DataFrame, words: dict[bytes, int] | None = None) -> DataFrame:
+    """(u, v, w, c): trigrams of word ids, counted within the tasks. Words have the ids of
+    `words`, or their hashes."""
+    def run(batches):
+        known = _Hashes() if words is None else words
+        held, size = [], 0
+
+        def counted():
+            u, v, w = (np.concatenate([x[i:len(x) - 2 + i] for x in held]) for i in (0, 1, 2))
+            _, first, counts = np.unique(_key(u, v, w), return_index=True, return_counts=True)
+            order = np.argsort(v[first], kind="stable")
+            first, counts = first[order], counts[order]
+            return pa.RecordBatch.from_pydict({
+                "u": pa.array(u[first]), "v": pa.array(v[first]), "w": pa.array(w[first]),
+                "c": pa.array(counts, pa.int64())})
+
+        for batch in batches:
+            for text in texts_of(batch):
+                held.append(_ids(words_of(text), known))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+        known, held = None, []
+        give_back()
+
+    return texts.mapInArrow(run, "u long, v long, w long, c long")
+
+
+def _with_contexts(counts: DataFrame) -> DataFrame:
+    """Each trigram once, with what the probabilities need, all whole numbers.
+
+    c: its count. total, one, two, kinds: the counts of its context (u, v) together, and how
+    many trigrams of that context occur once, twice, at all. n: how many words precede
+    (v, w). v_total, v_one, v_two, v_kinds: the same of the context v over n; v_often: how
+    often v occurs. opens, leads and starts mark one row of each (u, v), (v, w) and v.
+    """
+    context, pair, word = (Window.partitionBy(*x) for x in (["v", "u"], ["v", "w"], ["v"]))
+    each = counts.repartition("v").groupBy("v", "u", "w").agg(F.sum("c").alias("c"))
+
+    def many(condition, over):
+        return F.count(F.when(condition, 1)).over(over)
+
+    each = each.withColumns({
+        "total": F.sum("c").over(context), "one": many(F.col("c") == 1, context),
+        "two": many(F.col("c") == 2, context), "kinds": F.count("*").over(context),
+        "opens": F.min("w").over(context) == F.col("w")})
+    each = each.withColumns({
+        "n": F.count("*").over(pair), "leads": F.min("u").over(pair) == F.col("u")})
+    return each.withColumns({
+        "v_total": F.count("*").over(word), "v_often": F.sum("c").over(word),
+        "v_one": many(F.col("leads") & (F.col("n") == 1), word),
+        "v_two": many(F.col("leads") & (F.col("n") == 2), word),
+        "v_kinds": many(F.col("leads"), word),
+        "starts": F.col("leads") & (F.min("w").over(word) == F.col("w"))})
+
+
+def _discounts(n: list[int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from how many n-grams
+    have count 1, 2, 3 and 4."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
     raw = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
     return tuple(min(max(d, 0.05), i - 0.05) for d, i in zip(raw, (1, 2, 3)))
 
 
-def _ordered(counts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(key, c, less) with discounted counts, and (context, total, freed) of the contexts."""
-    d = _discounts(counts)
-    less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    counts = counts.withColumn("less", F.col("c") - less).withColumn(
-        "context", F.shiftright("key", bits))
-    contexts = counts.groupBy("context").agg(
-        F.sum("c").cast("double").alias("total"), F.sum(less).alias("freed"))
-    return counts, contexts
+def _ones_to_fours(column: str, condition=True) -> list:
+    return [F.count(F.when(F.lit(condition) & (F.col(column) == i), 1)) for i in range(1, 5)]
+
 
+def _left(count: str, d: tuple[float, float, float]):
+    """A count less its discount."""
+    c = F.col(count)
+    return c - F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
-def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(words, pairs, pair contexts, trigrams) of trigram counts (key, c).
 
-    words: key, p, backoff; pairs and trigrams: key, p (and c); pair contexts: context,
-    backoff. All values are log10; a context that is not listed backs off at no cost.
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float] | None:
+    """((key, value, often), log10 probability of an unknown word) of trigram counts.
+
+    The values of all rows of the n-grams of a text, and the unknown word's for each token,
+    add up to the text's log10 probability. A pair has a row as such and one as a context, a
+    word likewise. `often` tells about how frequent the n-gram is. None without counts.
     """
-    pairs = stored(counts.groupBy(F.col("key").bitwiseAND(_PAIR).alias("key")).agg(
-        F.count("*").alias("c")), "pair-counts")
-    words = stored(pairs.groupBy(F.col("key").bitwiseAND(_WORD).alias("key")).agg(
-        F.count("*").alias("c")), "word-counts")
-    one, none = _ordered(words, _BITS)
-    known = one.count() + 1  # the unknown word is a word even if the sample has none
-    freed = F.col("freed") / F.col("total")
-    one = one.join(none, "context").select(
-        "key", (F.col("less") / F.col("total") + freed / known).alias("p"))
-    two, after = _ordered(pairs, _BITS)
-    two = stored(two.join(after, "context").withColumn(
-        "last", F.col("key").bitwiseAND(_WORD)).join(
-        one.select(F.col("key").alias("last"), F.col("p").alias("lower")), "last").select(
-        "key", (F.col("less") / F.col("total") + freed * F.col("lower")).alias("p")), "pairs")
-    three, around = _ordered(counts, _BITS)
-    three = three.join(around, "context").withColumn(
-        "last", F.col("key").bitwiseAND(_PAIR)).join(
-        two.select(F.col("key").alias("last"), F.col("p").alias("lower")), "last").select(
-        "key", "c", F.log10(F.col("less") / F.col("total") + freed * F.col("lower")).alias("p"))
-    backoff = F.log10(F.col("freed") / F.col("total"))
-    words = one.join(after.withColumnRenamed("context", "key"), "key", "full").select(
-        "key", F.log10("p").alias("p"), backoff.alias("backoff"))
-    return (words, two.select("key", F.log10("p").alias("p")),
-            around.select("context", backoff.alias("backoff")), three)
-
-
-def _column(table, name: str, kind=np.float64) -> np.ndarray:
-    return table.column(name).to_numpy().astype(kind)
-
-
-def _sorted(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """A table bounded by the training sample as sorted keys and their values."""
-    table = df.select(key, value).toArrow()
-    keys = _column(table, key, np.int64)
+    each = stored(_with_contexts(counts), "trigrams")
+    found = each.agg(*_ones_to_fours("c"), *_ones_to_fours("n", F.col("leads"))).first()
+    d3, d2 = _discounts(found[:4]), _discounts(found[4:])
+    words = stored(each.groupBy("w").agg(
+        F.count(F.when(F.col("leads"), 1)).alias("m"), F.sum("c").alias("often")), "words")
+    once = (F.col("often") == 1) & (F.col("w") != END)
+    size, total, alone, *few = words.agg(
+        F.count("*"), F.sum("m"), F.count(F.when(once, 1)), *_ones_to_fours("m")).first()
+    if not size:
+        return None
+    d1 = _discounts(few)
+    kept = words.agg(F.sum(_left("m", d1))).first()[0]
+    share = (1 - kept / total) / (size + 1)
+    # An unknown word is one more of those seen once.
+    unknown = share + alone / (alone + 1) * (1 - d1[0]) / total
+
+    def freed(prefix, d):
+        one, two, kinds = (F.col(prefix + x) for x in ("one", "two", "kinds"))
+        return (d[0] * one + d[1] * two + d[2] * (kinds - one - two)) / F.col(prefix + "total")
+
+    known = words.where(~once).withColumn("p1", _left("m", d1) / total + share)
+    all_ = each.where((F.col("v_often") > 1) | (F.col("v") == START)).join(
+        known.select("w", "p1"), "w", "left").withColumns(
+        {"back1": freed("v_", d2), "back2": freed("", d3)})
+    all_ = all_.withColumn("p2", _left("n", d2) / F.col("v_total") + F.col("back1") * F.col("p1"))
+    all_ = all_.withColumn("p3", _left("c", d3) / F.col("total") + F.col("back2") * F.col("p2"))
+
+    def row(key, value, often):
+        return F.struct(key.alias("key"), F.log10(value).cast("float").alias("value"),
+                        F.col(often).alias("often"))
+
+    rows = all_.select(F.inline(F.filter(F.array(
+        F.when(F.col("p1").isNotNull(), row(
+            _key_of("u", "v", "w"), F.col("p3") / F.col("back2") / F.col("p2"), "c")),
+        F.when(F.col("p1").isNotNull() & F.col("leads"), row(
+            _key_of("v", "w"), F.col("p2") / F.col("back1") / F.col("p1"), "n")),
+        F.when(F.col("opens"), row(_key_of("u", "v"), F.col("back2"), "total")),
+        F.when(F.col("starts"), row(F.col("v"), F.col("back1"), "v_often"))),
+        lambda x: x.isNotNull())))
+    rows = rows.union(known.select(F.inline(F.array(
+        row(F.col("w"), F.col("p1") / F.lit(unknown), "often")))))
+    return stored(rows, "n-grams"), float(np.log10(unknown))
+
+
+def _at_hand(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of at most `most` of the most frequent n-grams, and their whole values."""
+    step = F.floor(F.log2("often") * 4).alias("step")
+    left, least = most, None
+    for found in sorted(grams.groupBy(step).count().collect(), reverse=True):
+        left -= found["count"]
+        if left < 0:
+            break
+        least = found["step"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    keys = grams.where(step >= least).select("key").distinct()  # `most` rows bound it
+    table = grams.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(
+        F.sum("value").cast("float").alias("value")).toArrow()
+    keys = table.column("key").to_numpy()
     order = np.argsort(keys)
-    return keys[order], _column(table, value, np.float32)[order]
+    return keys[order], table.column("value").to_numpy()[order]
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(
+        np.int64) % FILTER_BITS
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, those of all keys set. Each of as many tasks as there are cores
+    sends one filter, in pages."""
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for batch in batches:
+            slots = _slots(batch.column("key").to_numpy())
+            np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+        for at in range(0, len(bits), PAGE // 8):
+            part = bits[at:at + PAGE // 8]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({
+                    "at": pa.array([at], pa.int64()),
+                    "bits": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+        del bits
+        give_back()
+
+    tasks = grams.sparkSession.sparkContext.defaultParallelism
+    pages = stored(grams.select("key").coalesce(tasks).mapInArrow(run, "at long, bits binary"), "filter")
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for page in pages.toLocalIterator():
+        part = np.frombuffer(zlib.decompress(page["bits"]), dtype=np.uint8)
+        bits[page["at"]:page["at"] + len(part)] |= part
+    return bits
 
 
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
@@ -154,114 +282,81 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
     return keys[at] == wanted, values[at]
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(
-        np.int64) % FILTER_BITS
-
-
 def _looked_up(sent):
-    """Per text its words, unknown words and log probability so far, and a row for each
-    trigram that the sharded table may hold."""
+    """Per text a row with its tokens and log probability so far, and a row for each n-gram
+    whose value is not at hand."""
     def run(batches):
-        words, one, backoff, pairs, contexts, frequent, bits = sent.value
+        unknown, keys, values, bits = sent.value
         give_back()  # what unpacking the model has left
+        words = _Hashes()
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(
                 zero_copy_only=False).tolist()
             for at, stop in sized_slices(lengths, PART):
                 own = batch.slice(at, stop - at)
                 coded = [_ids(words_of(t), words) for t in texts_of(own)]
-                u, v, w = (np.concatenate([c[i:len(c) - 2 + i] for c in coded]) for i in (0, 1, 2))
                 sizes = np.array([len(c) - 2 for c in coded])
-                which = np.repeat(np.arange(len(coded)), sizes)
-                has, p = _found(*pairs, v << _BITS | w)
-                p = np.where(has, p, backoff[v] + one[w])
-                open_, cost = _found(*contexts, u << _BITS | v)
-                p = p + np.where(open_, cost, 0)
-                keys = u << 2 * _BITS | v << _BITS | w
-                has, own_p = _found(*frequent, keys)
-                p = np.where(has, own_p, p)
-                slots = _slots(keys)
-                rare = np.flatnonzero(~has & open_ & (bits[slots >> 3] >> (slots & 7) & 1 > 0))
-                totals = np.bincount(which, p, minlength=len(coded))
-                unknown = np.bincount(which, w == UNKNOWN, minlength=len(coded))
-                rows = own.column("row").to_numpy()
-                count, more = len(coded), len(rare)
+                grams = [np.concatenate([c[1:] for c in coded])]
+                u, v, w = (np.concatenate([c[i:len(c) - 2 + i] for c in coded]) for i in (0, 1, 2))
+                first = np.full(len(coded), START)
+                grams += [_key(v, w), _key(first, first), _key(u, v, w)]
+                texts = np.arange(len(coded))
+                which = np.concatenate([np.repeat(texts, sizes + 1), np.repeat(texts, sizes),
+                                        texts, np.repeat(texts, sizes)])
+                grams = np.concatenate(grams)
+                slots = _slots(grams)
+                maybe = bits[slots >> 3] >> (slots & 7) & 1 > 0
+                grams, which = grams[maybe], which[maybe]
+                has, p = _found(keys, values, grams)
+                totals = np.bincount(which[has], p[has], minlength=len(coded)) + sizes * unknown
+                count, more = len(coded), int((~has).sum())
+                rows, null = own.column("row").to_numpy(), np.arange(count + more) >= count
                 yield pa.RecordBatch.from_pydict({
-                    "row": pa.array(np.concatenate([rows, rows[which[rare]]])),
-                    "key": pa.array(np.concatenate([np.zeros(count, np.int64), keys[rare]]),
-                                    mask=np.arange(count + more) < count),
+                    "row": pa.array(np.concatenate([rows, rows[which[~has]]])),
+                    "key": pa.array(np.concatenate([rows, grams[~has]])),
                     "p": pa.array(np.concatenate([totals, np.zeros(more)])),
-                    "lower": pa.array(np.concatenate([np.zeros(count), p[rare]]), pa.float32(),
-                                      mask=np.arange(count + more) < count),
-                    "n": pa.array(np.concatenate([sizes, np.zeros(more, np.int64)])),
-                    "unknown": pa.array(np.concatenate([unknown, np.zeros(more)]).astype(np.int64)),
+                    "n": pa.array(np.concatenate([sizes, np.zeros(more, np.int64)]), mask=null),
                     "doc_id": pa.concat_arrays([own.column("doc_id"), pa.nulls(more, pa.int64())]),
-                    "lang": pa.concat_arrays([own.column("lang"), pa.nulls(more, pa.string())])})
+                    "of": pa.concat_arrays([own.column("of"), pa.nulls(more, pa.int64())])})
+        words.clear()
         give_back()
     return run
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS,
+def perplexities(docs: DataFrame, labels: DataFrame, head: int = HEAD,
                  row: str | None = None) -> DataFrame | None:
     """row, doc_id, lang, n_tokens, log_prob (log10) of every whole text; None if there is
     no trusted text to learn from. A text's tokens are its words and one end; row
     numbers the rows, by the column that `row` names or anew."""
     number = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
-    sample = _sample(docs, labels, most)
-
-    def count(batches):
-        from collections import Counter
-        found = Counter()
-        for batch in batches:
-            for text in texts_of(batch):
-                found.update(words_of(text))
-        yield pa.RecordBatch.from_pydict({
-            "word": pa.array(list(found), pa.binary()), "c": pa.array(list(found.values()), pa.int64())})
-
-    seen = stored(sample.mapInArrow(count, "word binary, c long").groupBy("word").agg(
-        F.sum("c").alias("c")), "sample-words")
-    once = max(1, seen.where("c = 1").count())
-    listed = seen.where("c > 1").orderBy(F.desc("c"), "word").limit(VOCABULARY).collect()
-    if sample.limit(1).count() == 0:
+    model = kneser_ney(_counted(_fitting(docs, labels)))
+    if model is None:
         return None
-    words = {bytes(r["word"]): i for i, r in enumerate(listed, 3)}
-    counts = stored(_counted(sample, words), "trigram-counts")
-    one, pairs, contexts, three = kneser_ney(counts)
-    three = stored(three, "trigrams")
-    rest = three.where(F.col("c") < FREQUENT)
-    held = one.toArrow()
-    ids = _column(held, "key", np.int64)
-    p, backoff = np.full(len(words) + 3, np.nan), np.zeros(len(words) + 3)
-    p[ids], backoff[ids] = _column(held, "p"), np.nan_to_num(_column(held, "backoff"))
-    p = np.where(np.isnan(p), np.nanmin(p), p)
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    slots = _slots(_column(rest.select("key").toArrow(), "key", np.int64))
-    np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    sent = broadcast_value(docs, (
-        words, p, backoff, _sorted(pairs, "key", "p"), _sorted(contexts, "context", "backoff"),
-        _sorted(three.where(F.col("c") >= FREQUENT), "key", "p"), bits))
+    grams, unknown = model
+    sent = broadcast_value(docs, (unknown, *_at_hand(grams, head), _filter(grams)))
+    of = F.when(F.col("lang").isNotNull(), F.xxhash64("lang"))
     own = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", number.alias("row"))
-    met = stored(own.mapInArrow(
-        _looked_up(sent), "row long, key long, p double, lower float, n long, unknown long, "
-        "doc_id long, lang string"), "looked-up", BATCH)
+        F.col("doc_id").cast("long").alias("doc_id"), "text", of.alias("of"), number.alias("row"))
+    met = own.mapInArrow(
+        _looked_up(sent), "row long, key long, p double, n long, doc_id long, of long")
+    # A text's own row has a count of tokens and meets nothing.
+    same = met["n"].isNull() & (met["key"] == F.col("_key"))
+    found = met.join(grams.select(F.col("key").alias("_key"), "value"), same, "left")
+    scored = stored(found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("of").alias("of"), F.max("n").alias("n_tokens"),
+        F.sum(F.col("p") + F.coalesce("value", F.lit(0.0))).alias("log_prob")), "summed", BATCH)
     sent.unpersist()
-    gained = met.where("key IS NOT NULL").select("row", "key", "lower").join(
-        rest.select("key", "p"), "key").groupBy("row").agg(
-        F.sum(F.col("p") - F.col("lower")).alias("gain"))
-    # An unknown word is spelled out as one of as many as the sample has seen once.
-    return met.where("key IS NULL").drop("lower").join(gained, "row", "left").select(
-        "row", "doc_id", "lang", F.col("n").alias("n_tokens"),
-        (F.col("p") + F.coalesce("gain", F.lit(0.0))
-         - F.col("unknown") * float(np.log10(once))).alias("log_prob"))
+    langs = docs.select("lang").where("lang IS NOT NULL").distinct().select(
+        "lang", F.xxhash64("lang").alias("of"))
+    return scored.join(langs, "of", "left").select("row", "doc_id", "lang", "n_tokens", "log_prob")
 
 
-def quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame:
     """One row per document: doc_id, lang, n_tokens, log_prob, perplexity, surprise, limit, kept.
 
-    Half of the trusted labelled documents, at most `most`, train the model; the other
-    half calibrates. `surprise` is a text's mean -log10 probability with PRIOR_TOKENS tokens
+    Half of the trusted labelled documents train the model, all of them with their whole
+    texts; the other half calibrates. Values of `head` n-grams are at hand in every task,
+    which changes no result. `surprise` is a text's mean -log10 probability with PRIOR_TOKENS tokens
     of its language's mean added; `limit` is the QUANTILE of the calibrating texts of the
     language, raised by MARGIN. A language with few of them, and a null one, takes the
     limit of all. Null and empty texts are an end alone and stay, as few tokens decide
@@ -269,7 +364,7 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataF
     out repeated. Other columns are ignored.
     """
     own = own_columns(docs, "doc_id", "text", "lang")
-    judged = _judged(own, labels, most)
+    judged = _judged(own, labels, head)
     if judged is None:
         null = F.lit(None).cast("double")
         return own.select(
@@ -280,9 +375,9 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataF
     return judged.drop("row")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, most: int, row: str | None = None) -> DataFrame | None:
+def _judged(docs: DataFrame, labels: DataFrame, head: int, row: str | None = None) -> DataFrame | None:
     """`quality` with the rows' numbers; None without trusted text."""
-    scored = perplexities(docs, labels, most, row)
+    scored = perplexities(docs, labels, head, row)
     if scored is None:
         return None
     scored = stored(scored, "scored")
@@ -319,13 +414,13 @@ def _judged(docs: DataFrame, labels: DataFrame, most: int, row: str | None = Non
         F.coalesce(F.col("x") <= F.col("limit"), F.lit(True)).alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame:
     """The documents that stay, with all their columns; only the rejected move.
 
     Rows are judged one by one, also where they share an id or have none.
     """
     rows, number = numbered(docs, "_quality_row")
-    judged = _judged(rows, labels, most, number)
+    judged = _judged(rows, labels, head, number)
     if judged is None:
         return docs
     return split_by_keys(rows, number, judged.where("not kept").select("row"))[0].drop(number)
