@@ -36,6 +36,11 @@ def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
     ends = (ends - 1).tolist()[words - 1:] or [len(joined)]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends)], dtype="<u8")
+    return print_of(hashes)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 without hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for part in np.array_split(hashes, len(hashes) // 65536 + 1):
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1,
