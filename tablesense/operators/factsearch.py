@@ -74,8 +74,10 @@ def fact_documents(df: DataFrame, roles: TableRoles, tie_break=(), grain=None) -
 def _terms(docs: DataFrame, id_col: str, text_col: str, ngrams: int, stop_words) -> DataFrame:
     """(id, term, tf) with stop words removed before n-grams are formed.
 
-    Terms are counted per document with map-side combination, whole texts at a time.
+    Texts are dealt out by document before they are unfolded: a text is smaller than its
+    terms, and the counting of a document's terms then moves nothing more.
     """
+    docs = docs.select(id_col, text_col).repartition(id_col)
     if ngrams == 1:
         # the stop words are dropped after unfolding, in compiled code
         found = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
@@ -110,9 +112,15 @@ def build_index(docs: DataFrame, id_col="doc_id", text_col="text", ngrams=2,
     if max_terms is not None:
         found = found.orderBy(F.desc("total"), "term").limit(max_terms)
     terms = found.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(terms, "term").select(
-        id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    return weighted.select(id_col, "term", _scaled(id_col).alias("weight")), terms
+    # One row per term and per document is looked up; the many rows beside it need no sort.
+    weighted = stored(counts.join(terms.hint("shuffle_hash"), "term").select(
+        id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), "weights")
+    # A length for each document: less to move and to sort than all its terms.
+    lengths = weighted.groupBy(F.col(id_col).alias("_of")).agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length"))
+    return weighted.join(lengths.hint("shuffle_hash"), weighted[id_col].eqNullSafe(
+        lengths["_of"])).select(
+        id_col, "term", (F.col("w") / F.col("_length")).alias("weight")), terms
 
 
 def _scaled(key: str):
