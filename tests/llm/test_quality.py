@@ -62,7 +62,7 @@ def _plain(texts):
 @pytest.mark.parametrize("head", [0, 40, 1 << 20])
 def test_scores_are_those_of_all_trusted_texts(spark, head):
     """Whatever part of the values is at hand, each text has the probability that a plain
-    programme gives after counting all 4,400 training texts, not a sample."""
+    programme gives after counting all training texts, more than 4,096, not a sample."""
     rng = random.Random(8)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choice(words[:1 + i % 60]) if rng.random() < 0.97 else f"x{i}"
