@@ -1,4 +1,4 @@
-"""Column profiles: one row of facts per column, read in one or two scans."""
+"""Column profiles: one row of facts per column, read in a bounded number of scans."""
 
 from functools import reduce
 
@@ -40,12 +40,13 @@ def estimate_distinct(df: DataFrame, columns) -> dict[str, int]:
 def profile_columns(df: DataFrame, source_id="table", exact=True, columns=None) -> DataFrame:
     """One row per column: type, nulls, distinct values, statistics, samples.
 
-    A first scan estimates distinct counts.  The second reads everything else; columns
-    with few values get their exact count from the value set, which map-side
-    aggregation keeps small.  The others are counted exactly (`exact=True`), each in its
-    own one-column subquery, or keep the estimate, marked `n_unique_exact = false`;
-    that is the setting for tables where counting every distinct key is not worth a
-    shuffle of the column.
+    A first scan estimates distinct counts, a second reads the statistics.  Columns with
+    few values get their value set, its size and the facts of texts from their counted
+    values, in one scan for each data type; map-side aggregation keeps them small.  The
+    others are counted exactly (`exact=True`), each in its own one-column subquery that
+    moves long texts as their SHA-256, or keep the estimate, marked
+    `n_unique_exact = false`; that is the setting for tables where counting every distinct
+    key is not worth a shuffle of the column.
     """
     columns = columns or profiled_columns(df)
     return _described(df, source_id, exact, columns, estimate_distinct(df, columns))
@@ -56,42 +57,67 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _value_counts(df: DataFrame, columns: list[tuple[int, str]]):
+    """Map of each column's number to its sorted (v, n), values and their counts; columns of
+    one type with few values, which bounds it."""
+    structs = [f"named_struct('i', {i}, 'v', {c})" for i, c in columns]
+    each = (df.selectExpr(f"{columns[0][0]} AS i", f"{columns[0][1]} AS v") if len(columns) == 1
+            else df.selectExpr(f"inline(array({', '.join(structs)}))"))
+    counted = each.where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    sets = counted.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("s"))
+    return sets.agg(F.map_from_entries(F.collect_list(F.struct("i", "s")))).scalar()
+
+
+def _total(i: int, value: str) -> str:
+    """Whole sum over the counted values `p` of column `i`."""
+    return f"aggregate(counts{i}, 0L, (a, p) -> a + {value})"
+
+
 def _described(df: DataFrame, source_id: str, exact: bool, columns, estimate) -> DataFrame:
     # SQL texts rather than column objects: a wide table has hundreds of expressions
     aggregates, counters, records = ["count(1) AS n_rows"], {}, []
+    alike, counts = {}, {}  # few-valued columns by type, and what their counted values give
     for i, name in enumerate(columns):
         kind = df.schema[name].dataType
         numeric, is_text = isinstance(kind, NumericType), isinstance(kind, StringType)
         c = "`" + name.replace("`", "``") + "`"
         if isinstance(kind, (DoubleType, FloatType)):
             c = f"nanvl({c}, NULL)"  # NaN counts as missing
-        aggregates.append(f"count({c}) AS n{i}")
         few = estimate[name] <= _SMALL
+        stats, length, visual, semantic = ["NULL"] * 5, "0", "0", "0"
         if few:
-            aggregates.append(f"sort_array(collect_set({c})) AS set{i}")
+            alike.setdefault(kind, []).append((i, c))
+            counts[f"n{i}"] = _total(i, "p.n")
+            counts[f"set{i}"] = f"transform(counts{i}, p -> p.v)"
             unique = f"CAST(size(set{i}) AS BIGINT)"
             samples = (f"CASE WHEN size(set{i}) <= {_SAMPLED} THEN slice(set{i}, 1, 5) "
                        f"ELSE array(set{i}[0], element_at(set{i}, -1)) END")
             values = f"CASE WHEN size(set{i}) <= {_LISTED} THEN set{i} END"
+            if is_text:
+                hits = lambda p: _total(i, f"IF(p.v RLIKE {_quoted(p)}, p.n, 0L)")
+                length = f"try_divide({_total(i, 'length(p.v) * p.n')}, n{i})"
+                visual, semantic = hits(_VISUAL_DATE), hits(_SEMANTIC_DATE)
         else:
+            aggregates.append(f"count({c}) AS n{i}")
             if exact:
-                distinct = df.selectExpr(f"{c} AS v").where("v IS NOT NULL").distinct()
+                # plain texts of 32 bytes and more are told apart by 32 bytes of SHA-256
+                v = (f"IF(octet_length({c}) < 32, CAST({c} AS BINARY), unhex(sha2({c}, 256)))"
+                     if kind == StringType() else c)
+                distinct = df.selectExpr(f"{v} AS v").where("v IS NOT NULL").distinct()
                 counters[f"u{i}"] = distinct.agg(F.count(F.lit(1))).scalar()
             else:
                 aggregates.append(f"approx_count_distinct({c}, 0.02) AS u{i}")
             aggregates += [f"min({c}) AS lo{i}", f"max({c}) AS hi{i}"]
             unique, samples, values = f"u{i}", f"array(lo{i}, hi{i})", "NULL"
-        stats = ["NULL"] * 5
+            if is_text:
+                aggregates += [f"avg(length({c})) AS len{i}",
+                               f"count_if({c} RLIKE {_quoted(_VISUAL_DATE)}) AS vdate{i}",
+                               f"count_if({c} RLIKE {_quoted(_SEMANTIC_DATE)}) AS sdate{i}"]
+                length, visual, semantic = f"len{i}", f"vdate{i}", f"sdate{i}"
         if numeric:
             aggregates += [f"min({c}) AS min{i}", f"max({c}) AS max{i}", f"avg({c}) AS mean{i}",
                            f"stddev_samp({c}) AS std{i}", f"sum(CAST({c} AS DOUBLE)) AS sum{i}"]
             stats = [f"{s}{i}" for s in _STATISTICS]
-        length, visual, semantic = "0", "0", "0"
-        if is_text:
-            aggregates += [f"avg(length({c})) AS len{i}",
-                           f"count_if({c} RLIKE {_quoted(_VISUAL_DATE)}) AS vdate{i}",
-                           f"count_if({c} RLIKE {_quoted(_SEMANTIC_DATE)}) AS sdate{i}"]
-            length, visual, semantic = f"len{i}", f"vdate{i}", f"sdate{i}"
         flag = lambda b: "true" if b else "false"
         dated = isinstance(kind, (DateType, TimestampType, TimestampNTZType))
         fields = {
@@ -109,8 +135,14 @@ def _described(df: DataFrame, source_id: str, exact: bool, columns, estimate) ->
         records.append("named_struct(" + ", ".join(
             f"'{k}', {v}" for k, v in fields.items()) + ")")
     gathered = df.selectExpr(*aggregates)
+    maps = {i: (f"kind{k}", _value_counts(df, own)) for k, own in enumerate(alike.values())
+            for i, _ in own}
+    counters |= dict(maps.values())
     if counters:
         gathered = gathered.withColumns(counters)
+    for more in ({f"counts{i}": f"coalesce({m}[{i}], array())" for i, (m, _) in maps.items()},
+                 counts):
+        gathered = gathered.selectExpr("*", *[f"{e} AS {name}" for name, e in more.items()])
     rows = gathered.selectExpr(f"{_quoted(source_id)} AS source_id", "n_rows",
                                f"inline(array({', '.join(records)}))")
     keep = [c for c in rows.columns if c not in _STATISTICS]

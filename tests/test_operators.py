@@ -65,6 +65,33 @@ def test_profile_of_awkward_columns(spark):
     assert rows["nothing"]["n_unique"] == 0 and rows["same"]["min"] is None
 
 
+def test_profile_counts_few_values_and_moves_digests_of_long_texts(spark):
+    """Facts of few-valued columns come from their counted values, not from every row, and
+    counting long texts moves no text; both have the facts a plain programme gives."""
+    n = 4000
+    words = ["red", "green", "2024-01-05", None]
+    df = spark.createDataFrame(
+        [(words[i % 4], i % 3, i % 2 == 0, float("nan") if i % 5 == 0 else i % 5 / 2, None,
+          "long text " * 5 + str(i // 2), str(i)) for i in range(n)],
+        "word string, few int, flag boolean, real double, none string, text string, short string")
+    profile = profile_columns(df)
+    plan = profile._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "sha2" in plan
+    rows = {r["column"]: r for r in profile.collect()}
+    assert rows["word"].value_list == sorted(words[:3]) and rows["word"].n_null == n // 4
+    assert rows["word"].samples == sorted(words[:3])
+    assert rows["word"].mean_length == (3 + 5 + 10) / 3
+    assert rows["word"].semantic_dates == rows["word"].visual_dates == n // 4
+    few = [i % 3 for i in range(n)]
+    assert (rows["few"].n_unique, rows["few"].min, rows["few"].max) == (3, 0, 2)
+    assert rows["few"].sum == sum(few) and abs(rows["few"].mean - sum(few) / n) < 1e-12
+    assert rows["flag"].value_list == ["false", "true"]
+    assert (rows["real"].n_null, rows["real"].n_unique) == (n // 5, 4)
+    assert (rows["none"].n_null, rows["none"].n_unique, rows["none"].samples) == (n, 0, [])
+    assert rows["none"].mean_length is None
+    assert (rows["text"].n_unique, rows["short"].n_unique) == (n // 2, n)
+
+
 def test_hierarchy(spark):
     df = spark.createDataFrame(
         [("Eu", "Fr", "Paris"), ("Eu", "Fr", "Lyon"), ("Eu", "De", "Bonn"), ("As", "Jp", "Kobe"),
