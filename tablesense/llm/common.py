@@ -14,6 +14,8 @@ SPACES = r"\x20\x09-\x0D"
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Whether Spark deletes a query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str, batch: str | None = None) -> DataFrame:
@@ -21,21 +23,33 @@ def stored(df: DataFrame, name: str, batch: str | None = None) -> DataFrame:
     lost executor cannot change what a second reader sees.
 
     `batch` bounds the bytes of a batch that goes to Python while this table is written;
-    texts in larger ones are held by both sides.
+    texts in larger ones are held by both sides. The files that were shuffled for it go when
+    it is written.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, name)
-    before = spark.conf.get(_BATCH)
-    if batch is not None:
-        spark.conf.set(_BATCH, batch)
+    wanted = {_CLEANUP: "true"} if batch is None else {_CLEANUP: "true", _BATCH: batch}
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of an Arrow batch as UTF-8; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

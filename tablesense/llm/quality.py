@@ -13,6 +13,7 @@ copies of trained text lie there as well.
 """
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesense.llm.common import (
-    broadcast_value, give_back, numbered, own_columns, sized_slices, split_by_keys, stored,
+    broadcast_value, forget, give_back, numbered, own_columns, sized_slices, split_by_keys, stored,
     texts_of, words_of)
 
 #: Values of the most frequent n-grams that every task has at hand, at most.
@@ -35,6 +36,9 @@ CALIBRATED = 50
 PRIOR_TOKENS = 30
 #: Bits of the filter that spares unseen n-grams the join, and bits sent at once.
 FILTER_BITS, PAGE = 1 << 27, 1 << 23
+#: Rounds in which the n-grams of texts with stored row numbers are looked up, a power of two;
+#: each moves that part of the n-grams only, so that the files of one go before the next.
+ROUNDS = 4
 #: Bytes of a batch of texts that goes to Python at once, and of those worked on at once.
 BATCH, PART = "4m", 1 << 18
 #: Tokens that are counted at once, and words whose hashes are held.
@@ -221,7 +225,9 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float] | None:
         lambda x: x.isNotNull())))
     rows = rows.union(known.select(F.inline(F.array(
         row(F.col("w"), F.col("p1") / F.lit(unknown), "often")))))
-    return stored(rows, "n-grams"), float(np.log10(unknown))
+    rows = stored(rows, "n-grams")
+    forget(each, words)
+    return rows, float(np.log10(unknown))
 
 
 def _at_hand(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +277,7 @@ def _filter(grams: DataFrame) -> np.ndarray:
     for page in pages.toLocalIterator():
         part = np.frombuffer(zlib.decompress(page["bits"]), dtype=np.uint8)
         bits[page["at"]:page["at"] + len(part)] |= part
+    forget(pages)
     return bits
 
 
@@ -282,13 +289,18 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
     return keys[at] == wanted, values[at]
 
 
-def _looked_up(sent):
+def _looked_up(sent, turn: int, rounds: int):
     """Per text a row with its tokens and log probability so far, and a row for each n-gram
-    whose value is not at hand."""
+    whose value is not at hand; of the n-grams whose key leaves `turn` divided by `rounds`."""
     def run(batches):
         unknown, keys, values, bits = sent.value
         give_back()  # what unpacking the model has left
         words = _Hashes()
+
+        def maybe(grams):
+            slots = _slots(grams)
+            return bits[slots >> 3] >> (slots & 7) & 1 > 0
+
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(
                 zero_copy_only=False).tolist()
@@ -296,25 +308,34 @@ def _looked_up(sent):
                 own = batch.slice(at, stop - at)
                 coded = [_ids(words_of(t), words) for t in texts_of(own)]
                 sizes = np.array([len(c) - 2 for c in coded])
-                grams = [np.concatenate([c[1:] for c in coded])]
                 u, v, w = (np.concatenate([c[i:len(c) - 2 + i] for c in coded]) for i in (0, 1, 2))
-                first = np.full(len(coded), START)
-                grams += [_key(v, w), _key(first, first), _key(u, v, w)]
-                texts = np.arange(len(coded))
-                which = np.concatenate([np.repeat(texts, sizes + 1), np.repeat(texts, sizes),
-                                        texts, np.repeat(texts, sizes)])
+                first, texts = np.full(len(coded), START), np.arange(len(coded))
+                each = np.repeat(texts, sizes)
+                pairs = _key(v, w)
+                seen = maybe(pairs)
+                # A trigram is unseen if its last pair is, or its first, the pair before.
+                both = np.concatenate([seen[:1], seen[:-1]])
+                both[np.cumsum(sizes) - sizes] = True
+                both &= seen
+                grams = np.concatenate([c[1:] for c in coded])
+                alone = maybe(grams)
+                grams = [grams[alone], pairs[seen], _key(first, first), _key(u, v, w)[both]]
+                which = np.concatenate([np.repeat(texts, sizes + 1)[alone], each[seen], texts,
+                                        each[both]])
                 grams = np.concatenate(grams)
-                slots = _slots(grams)
-                maybe = bits[slots >> 3] >> (slots & 7) & 1 > 0
-                grams, which = grams[maybe], which[maybe]
+                mine = grams & rounds - 1 == turn
+                mine[mine] = maybe(grams[mine])
+                grams, which = grams[mine], which[mine]
                 has, p = _found(keys, values, grams)
-                totals = np.bincount(which[has], p[has], minlength=len(coded)) + sizes * unknown
+                totals = np.bincount(which[has], p[has], minlength=len(coded))
+                if not turn:
+                    totals = totals + sizes * unknown
                 count, more = len(coded), int((~has).sum())
                 rows, null = own.column("row").to_numpy(), np.arange(count + more) >= count
                 yield pa.RecordBatch.from_pydict({
                     "row": pa.array(np.concatenate([rows, rows[which[~has]]])),
                     "key": pa.array(np.concatenate([rows, grams[~has]])),
-                    "p": pa.array(np.concatenate([totals, np.zeros(more)])),
+                    "p": pa.array(np.concatenate([totals, np.zeros(more)]), pa.float64()),
                     "n": pa.array(np.concatenate([sizes, np.zeros(more, np.int64)]), mask=null),
                     "doc_id": pa.concat_arrays([own.column("doc_id"), pa.nulls(more, pa.int64())]),
                     "of": pa.concat_arrays([own.column("of"), pa.nulls(more, pa.int64())])})
@@ -337,14 +358,24 @@ def perplexities(docs: DataFrame, labels: DataFrame, head: int = HEAD,
     of = F.when(F.col("lang").isNotNull(), F.xxhash64("lang"))
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", of.alias("of"), number.alias("row"))
-    met = own.mapInArrow(
-        _looked_up(sent), "row long, key long, p double, n long, doc_id long, of long")
-    # A text's own row has a count of tokens and meets nothing.
-    same = met["n"].isNull() & (met["key"] == F.col("_key"))
-    found = met.join(grams.select(F.col("key").alias("_key"), "value"), same, "left")
-    scored = stored(found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("of").alias("of"), F.max("n").alias("n_tokens"),
-        F.sum(F.col("p") + F.coalesce("value", F.lit(0.0))).alias("log_prob")), "summed", BATCH)
+    # Numbers that are given anew may differ from one reading to the next.
+    rounds, parts = 1 if row is None else ROUNDS, []
+    for turn in range(rounds):
+        met = own.mapInArrow(_looked_up(sent, turn, rounds),
+                             "row long, key long, p double, n long, doc_id long, of long")
+        mine = grams.where(F.col("key").bitwiseAND(F.lit(rounds - 1)) == turn).select(
+            F.col("key").alias("_key"), "value")
+        # A text's own row has a count of tokens and meets nothing.
+        same = met["n"].isNull() & (met["key"] == F.col("_key"))
+        parts.append(stored(met.join(mine, same, "left").groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"), F.max("of").alias("of"), F.max("n").alias("n_tokens"),
+            F.sum(F.col("p") + F.coalesce("value", F.lit(0.0))).alias("log_prob")), "summed", BATCH))
+    forget(grams)
+    scored = parts[0]
+    if rounds > 1:
+        more = reduce(DataFrame.union, [part.select("row", "log_prob") for part in parts[1:]])
+        more = more.groupBy("row").agg(F.sum("log_prob").alias("more"))
+        scored = scored.join(more, "row").withColumn("log_prob", F.col("log_prob") + F.col("more"))
     sent.unpersist()
     langs = docs.select("lang").where("lang IS NOT NULL").distinct().select(
         "lang", F.xxhash64("lang").alias("of"))

@@ -1,10 +1,13 @@
 """Kneser-Ney scores against a plain programme over all trusted texts."""
 
 import math
+import os
 import random
+import urllib.parse
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablesense.llm import quality
 
@@ -80,3 +83,38 @@ def test_scores_are_those_of_all_trusted_texts(spark, head):
     for i, text, lang in rows:
         assert got[i].lang == lang and got[i].n_tokens == len((text or "").split()) + 1
         assert math.isclose(got[i].log_prob, score(text or ""), rel_tol=1e-5)
+
+
+def test_rounds_move_parts_and_leave_no_files(spark, monkeypatch):
+    """Looked up in rounds, texts have the scores of one round; no round moves more than its
+    part, and neither the model nor what was shuffled for it stays on disk."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(40)), "en")
+            for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn(
+        "number", F.col("doc_id") * 7)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)],
+                                   "doc_id long, quality int, toxic int")
+    kept, moved = [], []
+    stored, looked_up = quality.stored, quality._looked_up
+
+    def watched(df, name, *more):
+        kept.append((name, stored(df, name, *more)))
+        return kept[-1][1]
+
+    def counted(sent, turn, rounds):
+        moved.append((turn, rounds))
+        return looked_up(sent, turn, rounds)
+
+    monkeypatch.setattr(quality, "stored", watched)
+    monkeypatch.setattr(quality, "_looked_up", counted)
+    one = {r.doc_id: r for r in quality.perplexities(docs, labels, 40).collect()}
+    some = {r.row: r for r in quality.perplexities(docs, labels, 40, "number").collect()}
+    assert moved == [(0, 1)] + [(turn, quality.ROUNDS) for turn in range(quality.ROUNDS)]
+    assert sorted(some) == [7 * i for i in range(600)]
+    for i in range(600):
+        assert some[7 * i].doc_id == i and some[7 * i].n_tokens == one[i].n_tokens == 41
+        assert math.isclose(some[7 * i].log_prob, one[i].log_prob, rel_tol=1e-6)
+    for name, df in kept:
+        files = [os.path.exists(urllib.parse.urlparse(f).path) for f in df.inputFiles()]
+        assert all(files) if name == "summed" else not any(files)
