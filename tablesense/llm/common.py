@@ -5,6 +5,7 @@ import ctypes
 import platform
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesense.session import ensure_checkpoint_dir, scratch_path
@@ -60,13 +61,41 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def addressed(df: DataFrame, name: str) -> DataFrame | None:
+    """The rows of Parquet files with a number for each, in the column `name`: the file's,
+    and the row's within it. It is the same at every reading, so nothing has to be stored.
+    None if the table is not of such rows, or holds one of them twice."""
+    if "_metadata" in df.columns or not df.inputFiles():
+        return None
+    own, file = [F.col(f"`{x}`") for x in df.columns], f"{name}_file"
+    try:
+        rows = df.select(*own, F.col("_metadata.file_path").alias(file),
+                         F.col("_metadata.row_index").alias(name))
+    except AnalysisException:
+        return None
+    # One row for each file.
+    files = sorted(r[0] for r in rows.select(file).distinct().collect())
+    if not files:
+        return None
+    table = df.sparkSession.createDataFrame(pa.table({f"{name}_at": range(len(files)), file: files}))
+    number = F.shiftleft(f"{name}_at", 40) + F.col(name)
+    rows = rows.join(F.broadcast(table), file).select(*own, number.alias(name))
+    if rows.groupBy(name).count().where("count > 1").isEmpty():
+        return rows
+    return None
+
+
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The table stored with a number for each row, and the number's column: `name` with
-    as many underscores before it as no other column needs. Rows that share an id, or have
-    none, are told apart by it."""
+    """The table with a number for each row, and the number's column: `name` with as many
+    underscores before it as no other column needs. Rows that share an id, or have none, are
+    told apart by it. Rows of Parquet files go by their place there; a table of other rows
+    is stored."""
     while name in df.columns:
         name = "_" + name
-    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    rows = addressed(df, name)
+    if rows is None:
+        rows = stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return rows, name
 
 
 def fold(key: str, folds: int) -> Column:
@@ -128,6 +157,36 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
             rest.join(keys, same, "left_semi"))
 
 
+def with_small_values(df: DataFrame, key: str, values: DataFrame, most: int, name: str) -> DataFrame:
+    """The rows of `df` with a value from 0 to `most` in the column `name`; the two columns of
+    `values` are the key, once each and none null, and its value. Every key of `df` has one.
+
+    A filter of FILTER_BITS bits for each value, whatever the number of keys, tells which
+    values a row may have. Where that is one, the row stays where it is; only the others are
+    joined, so wide rows move only if they must.
+    """
+    at, value = (F.col(f"`{x}`") for x in values.columns)
+
+    def slot(column):
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+
+    held = F.call_function("shiftleft", F.lit(1).cast("long"), slot(at) % 64)
+    # FILTER_BITS / 64 rows at most, which bounds the broadcast.
+    words = stored(values.groupBy(F.floor(slot(at) / 64).cast("int").alias("_value_word")).agg(
+        *[F.bit_or(F.when(value == i, held)).alias(f"_value_{i}") for i in range(most + 1)]), "filter")
+    place = slot(f"`{key}`")
+    marked = df.join(F.broadcast(words), F.floor(place / 64).cast("int") == F.col("_value_word"), "left")
+    may = [F.coalesce(F.call_function("shiftright", F.col(f"_value_{i}"), place % 64).bitwiseAND(
+        F.lit(1)) == 1, F.lit(False)) for i in range(most + 1)]
+    several = sum((x.cast("int") for x in may[1:]), may[0].cast("int")) != 1
+    only = F.coalesce(*[F.when(x, F.lit(i)) for i, x in enumerate(may)])
+    own = [F.col(f"`{x}`") for x in df.columns]
+    sure = marked.where(~several).select(*own, only.alias(name))
+    rest = marked.where(several).select(*own)
+    told = values.select(at.alias("_value_key"), value.cast("int").alias(name))
+    return sure.unionByName(rest.join(told, F.col(f"`{key}`") == F.col("_value_key")).drop("_value_key"))
+
+
 def slices(texts: list[bytes], most: int = 1 << 20):
     """(start, stop) of runs of texts of about `most` bytes, one text at least."""
     return sized_slices([len(text) for text in texts], most)

@@ -12,7 +12,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.llm.common import SPACES, numbered, stored
+from tablesense.llm.common import SPACES, numbered, stored, with_small_values
 from tablesense.operators.indexing import dense_index
 
 #: Weights of the sources in code point order, repeating.
@@ -180,9 +180,9 @@ def repeated_to_targets(docs: DataFrame, seed: int = 42) -> DataFrame:
     the copies that the mix gives it.
     """
     rows, number = numbered(docs, "_mixed_row")
-    counts = mixed(rows, seed=seed, number=number)
-    taken = counts.where("copies > 0").select(
-        F.col("number").alias("_mixed_number"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_mixed_copy"))
-    return rows.join(taken, F.col(number) == F.col("_mixed_number")).select(
-        *[F.col(f"`{name}`") for name in docs.columns])
+    counts = stored(mixed(rows, seed=seed, number=number).select("number", "copies"), "copies")
+    top = counts.agg(F.max("copies")).first()[0] or 0  # a source's words are taken twice at most
+    given = with_small_values(rows, number, counts, top, "_mixed_copies")
+    return given.where("_mixed_copies > 0").select(
+        *[F.col(f"`{name}`") for name in docs.columns],
+        F.explode(F.sequence(F.lit(1), F.col("_mixed_copies"))).alias("_mixed_copy")).drop("_mixed_copy")

@@ -5,25 +5,26 @@ Words go by 64-bit hashes, so no task needs the vocabulary. The log probability
 is a sum of one value for each word, pair and trigram: what the n-gram adds to the
 probability of the next shorter one, and what backing off from it costs; n-grams that the
 model has not seen add nothing. Words seen once are unknown: n-grams that end in one, and
-contexts that do, have no value. So a text is scored by one join on the hashes. A bounded
+contexts that do, have no value. So a text's n-grams and the model are dealt into buckets by
+those hashes, a bucket's meet in one task, and a text adds up what its buckets give. A bounded
 number of the most frequent values is at hand in every task, and a filter of fixed size
 spares n-grams that are surely unseen; both only save work. Documents above their
 language's quantile of trusted perplexity are rejected. There is no lower limit: near
 copies of trained text lie there as well.
 """
 
+import math
 import zlib
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablesense.llm.common import (
-    broadcast_value, forget, give_back, numbered, own_columns, sized_slices, split_by_keys, stored,
-    texts_of, words_of)
+    addressed, broadcast_value, forget, give_back, numbered, own_columns, sized_slices, slices, split_by_keys,
+    stored, texts_of)
 
 #: Values of the most frequent n-grams that every task has at hand, at most.
 HEAD = 1 << 20
@@ -41,8 +42,10 @@ FILTER_BITS, PAGE = 1 << 27, 1 << 23
 ROUNDS = 4
 #: Bytes of a batch of texts that goes to Python at once, and of those worked on at once.
 BATCH, PART = "4m", 1 << 18
-#: Tokens that are counted at once, and words whose hashes are held.
-COUNTED, HELD = 1 << 18, 1 << 16
+#: Tokens that are counted at once, and n-grams that a task sends at once.
+COUNTED, SENT = 1 << 18, 1 << 18
+#: Words whose values meet the trigrams without moving these, and n-grams of a bucket.
+WORDS, BUCKET = 1 << 18, 1 << 19
 
 UNKNOWN = 0
 START, END = 0x5BD1E995D6E8FEB8, 0x1B873593CC9E2D51
@@ -62,25 +65,62 @@ def _fitting(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
 
 
-class _Hashes(dict):
-    """The hash of each word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 6) - (1 << 63)
-        return found
-
-
-def _ids(found: list[bytes], words: dict[bytes, int]) -> np.ndarray:
-    """Two starts, the words' ids, and an end; UNKNOWN for words that `words` lacks."""
-    out = np.empty(len(found) + 3, dtype=np.int64)
-    out[:2], out[-1] = START, END
-    if isinstance(words, _Hashes):
-        out[2:-1] = [words[w] for w in found]
-    else:
-        out[2:-1] = [words.get(w, UNKNOWN) for w in found]
-    return out
+_rng = np.random.default_rng(6)
+_BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWER = 0x9E3779B97F4A7C15
+_GAPS = np.zeros(256, dtype=bool)
+_GAPS[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _powers(of: int, many: int) -> np.ndarray:
+    """The first powers of an odd number modulo 2 ** 64; those of a usual part are held."""
+    if 0 < many < 2 * PART:
+        return _held_powers(of)[:many]
+    out = np.full(many, of, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+@lru_cache(maxsize=2)
+def _held_powers(of: int) -> np.ndarray:
+    return _powers(of, 2 * PART)
+
+
+def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two starts, the hashes of the words and an end, text after text; and how many each has.
+
+    A word's hash is a polynomial of its bytes' numbers modulo 2 ** 64, then mixed; all words
+    come from one running sum."""
+    joined = np.frombuffer(b" ".join(texts).lower() + b" ", dtype=np.uint8)
+    gap = _GAPS[joined]
+    edges = np.flatnonzero(np.diff(gap, prepend=True))
+    first, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(joined) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[joined] * _powers(_POWER, len(joined)), out=sums[1:])
+    back = _powers(pow(_POWER, -1, 1 << 64), len(joined))
+    found = (sums[end] - sums[first]) * back[first]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        found ^= found >> np.uint64(shift)
+        found *= np.uint64(factor)
+    found ^= found >> np.uint64(33)
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    words = np.diff(np.searchsorted(first, stops), prepend=0)
+    sizes = words + 3
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.int64)
+    own = np.ones(len(out), dtype=bool)
+    for at, what in ((starts, START), (starts + 1, START), (starts + sizes - 1, END)):
+        out[at], own[at] = what, False
+    out[own] = found.view(np.int64)
+    return out, sizes
+
+
+def _thirds(sizes: np.ndarray) -> np.ndarray:
+    """The places of all but the first two of each text."""
+    out = np.ones(int(sizes.sum()), dtype=bool)
+    starts = np.cumsum(sizes) - sizes
+    out[starts], out[starts + 1] = False, False
+    return np.flatnonzero(out)
 
 
 def _key(*ids: np.ndarray) -> np.ndarray:
@@ -101,14 +141,16 @@ def _key_of(*names: str):
 
 
 def _counted(texts: DataFrame, words: dict[bytes, int] | None = None) -> DataFrame:
-    """(u, v, w, c): trigrams of word ids, counted within the tasks. Words have the ids of
-    `words`, or their hashes."""
+    """(u, v, w, c): trigrams of word ids, counted within the tasks. Words have their hashes;
+    those of `words` have the ids given there, and then all others are UNKNOWN."""
     def run(batches):
-        known = _Hashes() if words is None else words
         held, size = [], 0
+        given = {START: START, END: END}
+        if words is not None:
+            given |= {int(_coded([word])[0][2]): number for word, number in words.items()}
 
         def counted():
-            u, v, w = (np.concatenate([x[i:len(x) - 2 + i] for x in held]) for i in (0, 1, 2))
+            u, v, w = (np.concatenate(x) for x in zip(*held))
             _, first, counts = np.unique(_key(u, v, w), return_index=True, return_counts=True)
             order = np.argsort(v[first], kind="stable")
             first, counts = first[order], counts[order]
@@ -117,15 +159,20 @@ def _counted(texts: DataFrame, words: dict[bytes, int] | None = None) -> DataFra
                 "c": pa.array(counts, pa.int64())})
 
         for batch in batches:
-            for text in texts_of(batch):
-                held.append(_ids(words_of(text), known))
-                size += len(held[-1])
+            found = texts_of(batch)
+            for at, stop in slices(found, PART):
+                flat, sizes = _coded(found[at:stop])
+                third = _thirds(sizes)
+                if words is not None:
+                    flat = np.array([given.get(x, UNKNOWN) for x in flat.tolist()], dtype=np.int64)
+                held.append((flat[third - 2], flat[third - 1], flat[third]))
+                size += len(third)
                 if size >= COUNTED:
                     yield counted()
                     held, size = [], 0
         if held:
             yield counted()
-        known, held = None, []
+        held = None
         give_back()
 
     return texts.mapInArrow(run, "u long, v long, w long, c long")
@@ -205,8 +252,7 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float] | None:
         return (d[0] * one + d[1] * two + d[2] * (kinds - one - two)) / F.col(prefix + "total")
 
     known = words.where(~once).withColumn("p1", _left("m", d1) / total + share)
-    all_ = each.where((F.col("v_often") > 1) | (F.col("v") == START)).join(
-        known.select("w", "p1"), "w", "left").withColumns(
+    all_ = _with_words(each.where((F.col("v_often") > 1) | (F.col("v") == START)), known).withColumns(
         {"back1": freed("v_", d2), "back2": freed("", d3)})
     all_ = all_.withColumn("p2", _left("n", d2) / F.col("v_total") + F.col("back1") * F.col("p1"))
     all_ = all_.withColumn("p3", _left("c", d3) / F.col("total") + F.col("back2") * F.col("p2"))
@@ -230,18 +276,42 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float] | None:
     return rows, float(np.log10(unknown))
 
 
-def _at_hand(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of at most `most` of the most frequent n-grams, and their whole values."""
-    step = F.floor(F.log2("often") * 4).alias("step")
+def _step():
+    """About how frequent an n-gram is, in quarters of a power of two."""
+    return F.floor(F.log2("often") * 4)
+
+
+def _least_step(grams: DataFrame, most: int) -> int | None:
+    """The least step from which on there are at most `most` rows; None if there is none."""
     left, least = most, None
-    for found in sorted(grams.groupBy(step).count().collect(), reverse=True):
+    for found in sorted(grams.groupBy(_step().alias("step")).count().collect(), reverse=True):
         left -= found["count"]
         if left < 0:
             break
         least = found["step"]
+    return least
+
+
+def _with_words(each: DataFrame, known: DataFrame) -> DataFrame:
+    """The trigrams with `p1` of their last word, null if it has none. The values of at most
+    WORDS of the most frequent words go to the trigrams; others meet in a join."""
+    values, least = known.select("w", "p1"), _least_step(known, WORDS)
+    if least is None:
+        return each.join(values, "w", "left")
+    met = each.join(F.broadcast(known.where(_step() >= least).select("w", "p1")), "w", "left")
+    rare = known.where(_step() < least)
+    if rare.isEmpty():
+        return met
+    rest = met.where("p1 IS NULL").drop("p1").join(rare.select("w", "p1"), "w", "left")
+    return met.where("p1 IS NOT NULL").unionByName(rest)
+
+
+def _at_hand(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of at most `most` of the most frequent n-grams, and their whole values."""
+    least = _least_step(grams, most)
     if least is None:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    keys = grams.where(step >= least).select("key").distinct()  # `most` rows bound it
+    keys = grams.where(_step() >= least).select("key").distinct()  # `most` rows bound it
     table = grams.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(
         F.sum("value").cast("float").alias("value")).toArrow()
     keys = table.column("key").to_numpy()
@@ -289,61 +359,161 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray):
     return keys[at] == wanted, values[at]
 
 
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each key, one of 2 ** bits."""
+    mixed = keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+
+
+def _runs(order: np.ndarray):
+    """(value, start, stop) of the runs of equal values."""
+    at = np.flatnonzero(np.diff(order, prepend=order[:1] - 1)) if len(order) else order
+    return zip(order[at].tolist(), at.tolist(), [*at[1:].tolist(), len(order)])
+
+
+_LOOKED = "bucket long, base long, rows binary, keys binary, texts array<struct<row: long, n: long, " \
+          "p: double, doc_id: long, of: long>>"
+_TEXT = pa.struct([("row", pa.int64()), ("n", pa.int64()), ("p", pa.float64()),
+                   ("doc_id", pa.int64()), ("of", pa.int64())])
+
+
 def _looked_up(sent, turn: int, rounds: int):
-    """Per text a row with its tokens and log probability so far, and a row for each n-gram
-    whose value is not at hand; of the n-grams whose key leaves `turn` divided by `rounds`."""
+    """For each bucket the n-grams of a task's texts whose value is not at hand, with the
+    rows they are of (`base` and 32 bits); of the buckets that leave `turn` divided by `rounds`.
+    Each text goes along with its tokens and log probability so far, in one bucket of the turn."""
     def run(batches):
-        unknown, keys, values, bits = sent.value
+        unknown, bits, keys, values, filled = sent.value
         give_back()  # what unpacking the model has left
-        words = _Hashes()
+        held, size, texts, flushed = [], 0, [], 0
 
         def maybe(grams):
             slots = _slots(grams)
-            return bits[slots >> 3] >> (slots & 7) & 1 > 0
+            return filled[slots >> 3] >> (slots & 7) & 1 > 0
+
+        def packed():
+            rows, grams = (np.concatenate(x) for x in zip(*held))
+            found = {"bucket": [], "base": [], "rows": [], "keys": [], "texts": []}
+
+            def add(*one):
+                for column, value in zip(found.values(), one):
+                    column.append(value)
+
+            high = rows >> 32
+            for base in np.unique(high):
+                mine = high == base
+                low, own = rows[mine].astype(np.uint32), grams[mine]
+                at = _buckets(own, bits)
+                order = np.argsort(at, kind="stable")
+                low, own = low[order], own[order]
+                for bucket, start, stop in _runs(at[order]):
+                    add(bucket, int(base) << 32, low[start:stop].tobytes(), own[start:stop].tobytes(), None)
+            each = pa.StructArray.from_arrays(
+                [pa.concat_arrays(x) for x in zip(*texts)], fields=list(_TEXT))
+            many = max(1, (1 << bits) // rounds)
+            for i, at in enumerate(range(0, len(each), 256)):
+                add((flushed + i) % many * rounds + turn, None, None, None, each[at:at + 256])
+            lists = pa.array([None if x is None else x.to_pylist() for x in found.pop("texts")],
+                             pa.list_(_TEXT))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found["bucket"], pa.int64()), pa.array(found["base"], pa.int64()),
+                 pa.array(found["rows"], pa.binary()), pa.array(found["keys"], pa.binary()), lists],
+                names=["bucket", "base", "rows", "keys", "texts"])
 
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(
                 zero_copy_only=False).tolist()
             for at, stop in sized_slices(lengths, PART):
                 own = batch.slice(at, stop - at)
-                coded = [_ids(words_of(t), words) for t in texts_of(own)]
-                sizes = np.array([len(c) - 2 for c in coded])
-                u, v, w = (np.concatenate([c[i:len(c) - 2 + i] for c in coded]) for i in (0, 1, 2))
-                first, texts = np.full(len(coded), START), np.arange(len(coded))
-                each = np.repeat(texts, sizes)
+                flat, sizes = _coded(texts_of(own))
+                third = _thirds(sizes)
+                sizes = sizes - 2
+                u, v, w = flat[third - 2], flat[third - 1], flat[third]
+                first, each = np.full(len(sizes), START), np.repeat(np.arange(len(sizes)), sizes)
                 pairs = _key(v, w)
                 seen = maybe(pairs)
                 # A trigram is unseen if its last pair is, or its first, the pair before.
                 both = np.concatenate([seen[:1], seen[:-1]])
                 both[np.cumsum(sizes) - sizes] = True
                 both &= seen
-                grams = np.concatenate([c[1:] for c in coded])
-                alone = maybe(grams)
-                grams = [grams[alone], pairs[seen], _key(first, first), _key(u, v, w)[both]]
-                which = np.concatenate([np.repeat(texts, sizes + 1)[alone], each[seen], texts,
-                                        each[both]])
+                alone = maybe(w)
+                texts_at = np.arange(len(sizes))
+                grams = [first, w[alone], pairs[seen], _key(first, first), _key(u, v, w)[both]]
+                which = np.concatenate([texts_at, each[alone], each[seen], texts_at, each[both]])
                 grams = np.concatenate(grams)
-                mine = grams & rounds - 1 == turn
+                mine = _buckets(grams, bits) & rounds - 1 == turn
                 mine[mine] = maybe(grams[mine])
                 grams, which = grams[mine], which[mine]
                 has, p = _found(keys, values, grams)
-                totals = np.bincount(which[has], p[has], minlength=len(coded))
+                totals = np.bincount(which[has], p[has], minlength=len(sizes))
                 if not turn:
                     totals = totals + sizes * unknown
-                count, more = len(coded), int((~has).sum())
-                rows, null = own.column("row").to_numpy(), np.arange(count + more) >= count
-                yield pa.RecordBatch.from_pydict({
-                    "row": pa.array(np.concatenate([rows, rows[which[~has]]])),
-                    "key": pa.array(np.concatenate([rows, grams[~has]])),
-                    "p": pa.array(np.concatenate([totals, np.zeros(more)]), pa.float64()),
-                    "n": pa.array(np.concatenate([sizes, np.zeros(more, np.int64)]), mask=null),
-                    "doc_id": pa.concat_arrays([own.column("doc_id"), pa.nulls(more, pa.int64())]),
-                    "of": pa.concat_arrays([own.column("of"), pa.nulls(more, pa.int64())])})
-        words.clear()
+                rows = own.column("row").to_numpy()
+                held.append((rows[which[~has]], grams[~has]))
+                texts.append((own.column("row"), pa.array(sizes), pa.array(totals, pa.float64()),
+                              own.column("doc_id"), own.column("of")))
+                size += len(held[-1][0]) + len(rows)
+                if size >= SENT:
+                    yield packed()
+                    held, size, texts, flushed = [], 0, [], flushed + 1
+        if held:
+            yield packed()
+        held, texts = None, None
         give_back()
     return run
 
 
+def _dealt(turn: int, rounds: int, bits: int):
+    """The n-grams of a turn's buckets with their values, packed by bucket."""
+    def run(batches):
+        held, size = [], 0
+
+        def packed():
+            keys, values = (np.concatenate(x) for x in zip(*held))
+            at = _buckets(keys, bits)
+            order = np.argsort(at, kind="stable")
+            keys, values = keys[order], values[order]
+            runs = list(_runs(at[order]))
+            return pa.RecordBatch.from_pydict({
+                "bucket": pa.array([b for b, _, _ in runs], pa.int64()),
+                "keys": pa.array([keys[i:j].tobytes() for _, i, j in runs], pa.binary()),
+                "values": pa.array([values[i:j].tobytes() for _, i, j in runs], pa.binary())})
+
+        for batch in batches:
+            keys, values = batch.column("key").to_numpy(), batch.column("value").to_numpy()
+            mine = _buckets(keys, bits) & rounds - 1 == turn
+            held.append((keys[mine], values[mine].astype(np.float32)))
+            size += len(held[-1][0])
+            if size >= SENT:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+    return run
+
+
+def _numbers(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=kind)
+
+
+def _met(wanted: pa.Table, model: pa.Table) -> pa.Table:
+    """The texts of a bucket with what their n-grams there add."""
+    grams, of = np.unique(_numbers(model.column("keys"), np.int64), return_inverse=True)
+    values = np.bincount(of, _numbers(model.column("values"), np.float32), minlength=len(grams))
+    keys = _numbers(wanted.column("keys"), np.int64)
+    lists = wanted.column("rows").to_pylist()
+    bases = np.repeat(np.array([x or 0 for x in wanted.column("base").to_pylist()], dtype=np.int64),
+                      [len(x or b"") // 4 for x in lists])
+    rows = bases + _numbers(wanted.column("rows"), np.uint32).astype(np.int64)
+    has, p = _found(grams, values, keys)
+    rows, at = np.unique(rows[has], return_inverse=True)
+    sums = pa.StructArray.from_arrays(
+        [pa.array(rows), pa.nulls(len(rows), pa.int64()),
+         pa.array(np.bincount(at, p[has], minlength=len(rows)), pa.float64()),
+         pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], fields=list(_TEXT))
+    texts = pa.chunked_array([sums, *(x.flatten() for x in wanted.column("texts").chunks)], _TEXT)
+    return pa.Table.from_arrays(texts.flatten(), names=_TEXT.names)
+
+
 def perplexities(docs: DataFrame, labels: DataFrame, head: int = HEAD,
                  row: str | None = None) -> DataFrame | None:
     """row, doc_id, lang, n_tokens, log_prob (log10) of every whole text; None if there is
@@ -354,22 +524,22 @@ def perplexities(docs: DataFrame, labels: DataFrame, head: int = HEAD,
     if model is None:
         return None
     grams, unknown = model
-    sent = broadcast_value(docs, (unknown, *_at_hand(grams, head), _filter(grams)))
+    bits = max(6, math.ceil(math.log2(max(1, grams.count() / BUCKET))))
+    sent = broadcast_value(docs, (unknown, bits, *_at_hand(grams, head), _filter(grams)))
     of = F.when(F.col("lang").isNotNull(), F.xxhash64("lang"))
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", of.alias("of"), number.alias("row"))
     # Numbers that are given anew may differ from one reading to the next.
     rounds, parts = 1 if row is None else ROUNDS, []
     for turn in range(rounds):
-        met = own.mapInArrow(_looked_up(sent, turn, rounds),
-                             "row long, key long, p double, n long, doc_id long, of long")
-        mine = grams.where(F.col("key").bitwiseAND(F.lit(rounds - 1)) == turn).select(
-            F.col("key").alias("_key"), "value")
-        # A text's own row has a count of tokens and meets nothing.
-        same = met["n"].isNull() & (met["key"] == F.col("_key"))
-        parts.append(stored(met.join(mine, same, "left").groupBy("row").agg(
+        wanted = own.mapInArrow(_looked_up(sent, turn, rounds), _LOOKED)
+        mine = grams.select("key", "value").mapInArrow(
+            _dealt(turn, rounds, bits), "bucket long, keys binary, values binary")
+        met = wanted.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(
+            _met, "row long, n long, p double, doc_id long, of long")
+        parts.append(stored(met.groupBy("row").agg(
             F.max("doc_id").alias("doc_id"), F.max("of").alias("of"), F.max("n").alias("n_tokens"),
-            F.sum(F.col("p") + F.coalesce("value", F.lit(0.0))).alias("log_prob")), "summed", BATCH))
+            F.sum("p").alias("log_prob")), "summed", BATCH))
     forget(grams)
     scored = parts[0]
     if rounds > 1:
@@ -395,7 +565,8 @@ def quality(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame:
     out repeated. Other columns are ignored.
     """
     own = own_columns(docs, "doc_id", "text", "lang")
-    judged = _judged(own, labels, head)
+    rows = addressed(own, "_quality_row")
+    judged = _judged(own, labels, head) if rows is None else _judged(rows, labels, head, "_quality_row")
     if judged is None:
         null = F.lit(None).cast("double")
         return own.select(

@@ -118,3 +118,57 @@ def test_rounds_move_parts_and_leave_no_files(spark, monkeypatch):
     for name, df in kept:
         files = [os.path.exists(urllib.parse.urlparse(f).path) for f in df.inputFiles()]
         assert all(files) if name == "summed" else not any(files)
+
+
+def test_words_have_one_hash_wherever_they_stand():
+    """Hashes that come from running sums depend on the word alone, in short and long parts."""
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcDEé　") for _ in range(rng.randint(1, 9)))
+                      for _ in range(rng.randint(0, 400))).encode() for _ in range(2000)]
+    texts += [b"", b" \t", b"\x0bAb\x0c aB"]
+    hashes = {}
+    for parts in ([texts], [texts[:3], texts[3:40], texts[40:1000], texts[1000:]]):
+        for part in parts:
+            flat, sizes = quality._coded(part)
+            assert sizes.tolist() == [len(t.split()) + 3 for t in part]
+            start = 0
+            for text, size in zip(part, sizes.tolist()):
+                own = flat[start:start + size].tolist()
+                assert own[:2] == [quality.START] * 2 and own[-1] == quality.END
+                for word, value in zip(text.lower().split(), own[2:]):
+                    assert hashes.setdefault(word, value) == value
+                start += size
+    assert len(set(hashes.values())) == len(hashes) > 10000
+
+
+def test_files_are_looked_up_in_rounds(spark, tmp_path, monkeypatch):
+    """op6 tells rows of files apart by their places there, stores no copy of them, and moves
+    the n-grams of a text packed by bucket, not one row each."""
+    rng = random.Random(5)
+    rows = [(i % 500, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(40)), "en")
+            for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(
+        str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)],
+                                   "doc_id long, quality int, toxic int")
+    names, moved = [], []
+    stored, looked_up = quality.stored, quality._looked_up
+
+    def watched(df, name, *more):
+        names.append(name)
+        return stored(df, name, *more)
+
+    def counted(sent, turn, rounds):
+        moved.append((turn, rounds))
+        return looked_up(sent, turn, rounds)
+
+    monkeypatch.setattr(quality, "stored", watched)
+    monkeypatch.setattr(quality, "_looked_up", counted)
+    got = quality.quality(docs, labels)
+    assert got.count() == 600 and moved == [(turn, quality.ROUNDS) for turn in range(quality.ROUNDS)]
+    assert "numbered" not in names
+    key = ["doc_id", "n_tokens", "kept"]
+    monkeypatch.undo()
+    plain = quality.quality(spark.createDataFrame(docs.collect(), docs.schema), labels)
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, plain.select(key).collect()))
