@@ -8,7 +8,7 @@ other digests take an ordinary shuffle.
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.llm.common import SPACES, own_columns, split_by_keys, stored
+from tablesense.llm.common import SPACES, give_back, own_columns, split_by_keys, stored
 
 #: Counters per Misra-Gries summary. Any digest on more than 1/COUNTERS of all rows is
 #: found, and no more than COUNTERS digests are ever broadcast.
@@ -49,6 +49,7 @@ def frequent(rows: DataFrame, total: int, counters: int = COUNTERS) -> DataFrame
     most still reaches that value for every digest looked for.
     """
     def summarise(batches):
+        give_back()  # an earlier stage's
         held = misra_gries((key for batch in batches
                             for key in batch.column("digest").to_pylist()), 2 * counters)
         yield pa.RecordBatch.from_pydict({

@@ -43,9 +43,9 @@ ROUNDS = 4
 #: Bytes of a batch of texts that goes to Python at once, and of those worked on at once.
 BATCH, PART = "4m", 1 << 18
 #: Tokens that are counted at once, and n-grams that a task sends at once.
-COUNTED, SENT = 1 << 18, 1 << 18
+COUNTED, SENT = 1 << 18, 1 << 17
 #: Words whose values meet the trigrams without moving these, and n-grams of a bucket.
-WORDS, BUCKET = 1 << 18, 1 << 19
+WORDS, BUCKET = 1 << 18, 1 << 18
 
 UNKNOWN = 0
 START, END = 0x5BD1E995D6E8FEB8, 0x1B873593CC9E2D51
@@ -488,6 +488,8 @@ def _dealt(turn: int, rounds: int, bits: int):
                 held, size = [], 0
         if size:
             yield packed()
+        held = None
+        give_back()
     return run
 
 
@@ -511,6 +513,7 @@ def _met(wanted: pa.Table, model: pa.Table) -> pa.Table:
          pa.array(np.bincount(at, p[has], minlength=len(rows)), pa.float64()),
          pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], fields=list(_TEXT))
     texts = pa.chunked_array([sums, *(x.flatten() for x in wanted.column("texts").chunks)], _TEXT)
+    give_back()
     return pa.Table.from_arrays(texts.flatten(), names=_TEXT.names)
 
 
